@@ -90,7 +90,7 @@ def read_lines(spark: SparkSession, root: str, selectors: list[str] | None = Non
         .select(
             _relative(F.col("_metadata.file_path"), root).alias("source"),
             F.col("_metadata.file_block_start").alias("_start"),
-            F.regexp_replace(F.make_valid_utf8("value"), "^﻿", "").alias("original_content"),
+            F.regexp_replace(F.make_valid_utf8("value"), "^\ufeff", "").alias("original_content"),
         )
     )
     kept = raw.filter(

@@ -32,7 +32,7 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
         .option("encoding", "UTF-8")
         .csv(path)
     )
-    names = [c.lstrip("﻿") for c in table.columns]
+    names = [c.lstrip("\ufeff") for c in table.columns]
     return table.toDF(*names).na.fill("")
 
 
@@ -73,7 +73,7 @@ def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
         .csv(path)
         .select(
             F.col("_metadata.file_name").alias("file_name"),
-            snake_name(F.regexp_replace(F.coalesce("field", F.lit("")), "^﻿", "")).alias("field"),
+            snake_name(F.regexp_replace(F.coalesce("field", F.lit("")), "^\ufeff", "")).alias("field"),
             strip(F.coalesce("description", F.lit(""))).alias("description"),
         )
     )
