@@ -134,14 +134,13 @@ def super_users(events: DataFrame, keys: list[str] = ()) -> DataFrame:
 
 def many_roles(events: DataFrame, keys: list[str] = ()) -> DataFrame:
     """First document (per key) with all distinct roles in first-seen order."""
-    keys = list(keys)
-    seen = events.filter(F.col("user_role") != "").groupBy(*keys, "user_role").agg(F.min("pos").alias("_at"))
+    rows, on = (events, list(keys)) if keys else (events.withColumn("_all", F.lit(1)), ["_all"])
+    seen = rows.filter(F.col("user_role") != "").groupBy(*on, "user_role").agg(F.min("pos").alias("_at"))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("_at", "user_role"))), lambda x: x["user_role"])
-    listed = seen.groupBy(*keys).agg(F.array_join(ordered, ROLE_SEPARATOR).alias("_roles"))
-    first = _first(events, keys)
-    joined = first.join(listed, keys, "left") if keys else first.join(F.broadcast(listed))
+    listed = seen.groupBy(*on).agg(F.array_join(ordered, ROLE_SEPARATOR).alias("_roles"))
+    joined = _first(rows, on).join(listed, on, "left")
     roles = F.when(F.coalesce("_roles", F.lit("")) != "", F.col("_roles")).otherwise(F.col("user_role"))
-    joined = joined.withColumn("user_role", roles).drop("_roles")
+    joined = joined.withColumn("user_role", roles).drop("_roles", "_all")
     action = F.concat(F.col("user"), F.lit("存在多个角色, 分别为: "), F.col("user_role"))
     return _named(joined, MANY_ROLES, 6, action)
 
