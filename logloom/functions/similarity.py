@@ -15,30 +15,24 @@ def jaccard_distance(a: Column, b: Column) -> Column:
     return F.when(union == 0, F.lit(0.0)).otherwise(1 - common / union)
 
 
-def token_counts(words: Column) -> Column:
-    """Array of (token, number of times)."""
-    return F.transform(
-        F.array_distinct(words),
-        lambda w: F.struct(w.alias("token"), F.size(F.filter(words, lambda x: x == w)).alias("n")),
-    )
+def times(words: Column, token: Column) -> Column:
+    return F.size(words) - F.size(F.array_remove(words, token))
 
 
 def _dot(a: Column, b: Column) -> Column:
-    def add(total: Column, left: Column) -> Column:
-        same = F.filter(b, lambda right: right["token"] == left["token"])
-        return total + F.coalesce(F.try_element_at(same, F.lit(1))["n"], F.lit(0)) * left["n"]
-
-    return F.aggregate(a, F.lit(0), add)
+    """Sum over distinct tokens of how often both arrays hold them."""
+    return F.aggregate(
+        F.array_distinct(a), F.lit(0).cast("long"), lambda total, w: total + (times(a, w) * times(b, w)).cast("long")
+    )
 
 
 def cosine_distance(a: Column, b: Column) -> Column:
     """Token-count distance of two token arrays; one empty line is at distance 1."""
-    left, right = token_counts(a), token_counts(b)
-    norm = F.sqrt(_dot(left, left).cast("double")) * F.sqrt(_dot(right, right).cast("double"))
+    norm = F.sqrt(_dot(a, a).cast("double")) * F.sqrt(_dot(b, b).cast("double"))
     return (
         F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(0.0))
         .when(norm == 0, F.lit(1.0))
-        .otherwise(1 - _dot(left, right) / norm)
+        .otherwise(1 - _dot(a, b) / norm)
     )
 
 
