@@ -79,9 +79,11 @@ def _ordered(value: Column, operand: str, op: str) -> Column:
     return F.when(value.rlike(NUMBER), by_number).otherwise(by_text)
 
 
-def _predicate(clause: Clause, columns: Collection[str]) -> Column:
-    present = clause.field in columns
-    value = clean(F.col(f"`{clause.field}`")) if present else F.lit(None).cast("string")
+def _predicate(clause: Clause, columns: Collection[str], cleaned: bool) -> Column:
+    if clause.field not in columns:
+        value = F.lit(None).cast("string")
+    else:
+        value = F.col(f"`{clause.field}`") if cleaned else clean(F.col(f"`{clause.field}`"))
     operand = None if clause.operand.strip().lower() in NULL_WORDS else clause.operand.strip()
     if clause.op == "not_null":
         return value.isNotNull()
@@ -102,9 +104,12 @@ def _predicate(clause: Clause, columns: Collection[str]) -> Column:
     return _ordered(value, operand, clause.op)
 
 
-def compile_condition(expression: str | None, columns: Collection[str]) -> Column:
-    """Predicate that is true or false, never NULL; a field the table lacks reads as NULL."""
+def compile_condition(expression: str | None, columns: Collection[str], cleaned: bool = False) -> Column:
+    """Predicate that is true or false, never NULL; a field the table lacks reads as NULL.
+
+    ``cleaned`` says that the columns are trimmed already, with NULL for null words.
+    """
     result = F.lit(True)
     for clause in parse(expression):
-        result = result & F.coalesce(_predicate(clause, columns), F.lit(False))
+        result = result & F.coalesce(_predicate(clause, columns, cleaned), F.lit(False))
     return result

@@ -41,7 +41,8 @@ class Graph:
 
 
 def _field(name: str, columns: list[str]) -> Column:
-    return clean(F.col(f"`{name}`")) if name in columns else F.lit(None).cast("string")
+    """A cleaned column, NULL when the table has none."""
+    return F.col(f"`{name}`") if name in columns else F.lit(None).cast("string")
 
 
 def node_id(label: str, source: str, columns: list[str]) -> Column:
@@ -76,18 +77,20 @@ def facts(params: DataFrame, rules: list[Rule], order: str) -> DataFrame:
     ``order`` is a unique numeric column: it decides which value of a property comes first.
     A rule whose condition holds but whose ids are missing is no hit.
     """
-    columns = params.columns
+    read = dict.fromkeys(["host", *[f for rule in rules for f in rule.referenced]])
+    columns = [c for c in read if c in params.columns]
+    params = params.select(F.col(order).cast("long").alias("_order"), *[clean(F.col(f"`{c}`")).alias(c) for c in columns])
     hits = []
     for position, rule in enumerate(rules):
         start = node_id(rule.subject_type, rule.subject_id_source, columns)
         end = node_id(rule.object_type, rule.object_id_source, columns)
-        holds = compile_condition(rule.condition, columns) & start.isNotNull() & end.isNotNull()
+        holds = compile_condition(rule.condition, columns, cleaned=True) & start.isNotNull() & end.isNotNull()
         hits.append(
             F.when(
                 holds,
                 F.struct(
                     F.lit(rule.rule_id).alias("rule_id"),
-                    (F.col(order).cast("long") * len(rules) + position).alias("ord"),
+                    (F.col("_order") * len(rules) + position).alias("ord"),
                     F.lit(rule.subject_type).alias("start_label"),
                     start.alias("start_id"),
                     _map(node_properties(rule.subject_type, rule.subject_id_source, columns)).alias("start_properties"),

@@ -11,6 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 import logloom
 
 
+def builder(app: str = "logloom") -> SparkSession.Builder:
+    """Session builder with the settings that have to be there from the start."""
+    return (
+        SparkSession.builder.appName(app)
+        .config("spark.sql.session.timeZone", "UTC")
+        # Otherwise every column call looks up its call site, which slows down wide plans.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+    )
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Settings the expressions of this package rely on; all are runtime settings."""
     # The few Python functions travel with their tasks: workers need no installed package.
