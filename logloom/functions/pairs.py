@@ -20,21 +20,28 @@ def pairs(text: Column) -> Column:
     text = F.coalesce(text, F.lit(""))
     leftover = F.regexp_replace(text, rf"{QUOTED}|\\.", "")
     broken = leftover.rlike(r"""["'\\]""")
-    found = F.when(broken, F.regexp_extract_all(text, F.lit(LOOSE_TOKEN), F.lit(0))).otherwise(
-        F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
-    )
 
-    def entry(token: Column) -> Column:
-        raw = F.regexp_replace(token, r"(?s)^[^=]*=", "")
+    def key_of(token: Column) -> Column:
+        return strip(F.substring_index(token, "=", 1))
+
+    def raw_of(token: Column) -> Column:
+        return F.substr(token, F.instr(token, "=") + 1)
+
+    def quoted(token: Column) -> Column:
+        raw = raw_of(token)
         plain = F.regexp_replace(raw, r""""((?:[^"\\]|\\.)*)"|'([^']*)'""", "$1$2")
         plain = F.regexp_replace(plain, r"\\(.)", "$1")
-        value = F.when(broken, raw).otherwise(plain)
-        return F.struct(
-            strip(F.substring_index(token, "=", 1)).alias("key"),
-            F.trim(strip(value), F.lit('"')).alias("value"),
-        )
+        plain = F.when(raw.rlike(r"""["'\\]"""), plain).otherwise(raw)
+        return F.struct(key_of(token).alias("key"), F.trim(strip(plain), F.lit('"')).alias("value"))
 
-    return F.map_from_entries(F.transform(found, entry))
+    def loose(token: Column) -> Column:
+        return F.struct(key_of(token).alias("key"), F.trim(strip(raw_of(token)), F.lit('"')).alias("value"))
+
+    return F.map_from_entries(
+        F.when(broken, F.transform(F.regexp_extract_all(text, F.lit(LOOSE_TOKEN), F.lit(0)), loose)).otherwise(
+            F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), quoted)
+        )
+    )
 
 
 def value(mapping: Column | str, key: str) -> Column:

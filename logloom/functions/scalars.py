@@ -162,11 +162,9 @@ def is_mac(value: Column) -> Column:
 
 def label_of(value: Column, labels: Mapping[str, str], default: Column | None = None) -> Column:
     """Literal dictionary lookup; NULL or the default for other keys."""
-    chain = None
-    for key, label in labels.items():
-        hit = value == key
-        chain = F.when(hit, label) if chain is None else chain.when(hit, label)
-    return chain if default is None else chain.otherwise(default)
+    literal = F.create_map(*[F.lit(x) for pair in labels.items() for x in pair])
+    found = F.try_element_at(literal, value)
+    return found if default is None else F.coalesce(found, default)
 
 
 def reversed_labels(labels: Mapping[str, str]) -> dict[str, str]:

@@ -86,15 +86,17 @@ INTERFACE_SET = r"(?i)(?:接口集合|ifset)\s+(.+)$"
 IPV4_WORD = r"\b(?:\d{1,3}\.){3}\d{1,3}\b"
 
 
-def prefix_of(log: Column) -> Column:
-    """Struct (host, program, body); the prefix counts only before a device line."""
-    text = strip(F.coalesce(log, F.lit("")))
-    body = F.regexp_extract(text, PREFIX, 3)
-    known = body.contains("devid=")
-    return F.struct(
-        F.when(known, F.regexp_extract(text, PREFIX, 1)).otherwise("").alias("host"),
-        F.when(known, F.regexp_extract(text, PREFIX, 2)).otherwise("").alias("program"),
-        F.when(known, body).otherwise(text).alias("body"),
+def with_prefix(lines: DataFrame) -> DataFrame:
+    """Columns _host, _prefix_program, _body; the prefix counts only before a device line."""
+    rows = lines.withColumn("_text", strip(F.coalesce(F.col("content"), F.lit(""))))
+    rows = rows.withColumn("_rest", F.regexp_extract("_text", PREFIX, 3))
+    known = F.col("_rest").contains("devid=")
+    return rows.withColumns(
+        {
+            "_host": F.when(known, F.regexp_extract("_text", PREFIX, 1)).otherwise(""),
+            "_prefix_program": F.when(known, F.regexp_extract("_text", PREFIX, 2)).otherwise(""),
+            "_body": F.when(known, F.col("_rest")).otherwise(F.col("_text")),
+        }
     )
 
 
@@ -119,19 +121,20 @@ def _any_of(text: Column, words: list[str]) -> Column:
 
 
 def outcome_of(result: Column, message: Column) -> Column:
+    """``message`` is the lower-case message."""
     raw = strip(result)
     word = F.lower(raw)
     return (
         F.when(word.isin(GOOD_WORDS), "success")
         .when(word.isin(BAD_WORDS), "failure")
-        .when(_any_of(F.lower(message), BAD_MESSAGES), "failure")
+        .when(_any_of(message, BAD_MESSAGES), "failure")
         .when(raw == "", "unknown")
         .otherwise(raw)
     )
 
 
-def policy_kind(policy: Column, message: Column) -> Column:
-    text = F.lower(message)
+def policy_kind(policy: Column, text: Column) -> Column:
+    """``text`` is the lower-case message."""
     by_words = None
     for words, kind in POLICY_WORDS:
         hit = _any_of(text, words)
@@ -174,8 +177,8 @@ def rule_key(device: Column, policy: Column, rule: Column) -> Column:
 
 def firewall_params(lines: DataFrame, keep: list[str] = ()) -> DataFrame:
     """Columns timestamp and content to the 43 firewall columns; row-local."""
-    rows = lines.withColumn("_p", prefix_of(F.col("content")))
-    rows = rows.withColumn("_kv", pairs(F.col("_p.body")))
+    rows = with_prefix(lines)
+    rows = rows.withColumn("_kv", pairs(F.col("_body")))
     kv = F.col("_kv")
 
     def one(*keys: str) -> Column:
@@ -184,19 +187,21 @@ def firewall_params(lines: DataFrame, keep: list[str] = ()) -> DataFrame:
     def either(left: Column, right: Column) -> Column:
         return F.when(left != "", left).otherwise(F.coalesce(right, F.lit("")))
 
-    program = F.col("_p.program")
+    program = F.col("_prefix_program")
     rows = rows.withColumns(
         {
             "_message": one("dsp_msg", "msg"),
             "_module": module_name(either(value(kv, "mod"), program)),
             "_action": action_name(value(kv, "act")),
-            "_device": either(value(kv, "dname"), F.col("_p.host")),
+            "_device": either(value(kv, "dname"), F.col("_host")),
             "_program": F.lower(program),
         }
     )
     message, module, action, device = (F.col(c) for c in ("_message", "_module", "_action", "_device"))
     policy, rule = value(kv, "policy"), value(kv, "id")
-    rows = rows.withColumn("_kind", event_kind(module, F.col("_program"), action, message))
+    rows = rows.withColumns(
+        {"_kind": event_kind(module, F.col("_program"), action, message), "_low": F.lower(message)}
+    )
     stamp = either(value(kv, "date"), F.col("timestamp"))
     found = {
         "time": stamp,
@@ -206,7 +211,7 @@ def firewall_params(lines: DataFrame, keep: list[str] = ()) -> DataFrame:
         "event_action": action,
         "user": one("user", "admin"),
         "management_ip": value(kv, "from"),
-        "outcome": outcome_of(value(kv, "result"), message),
+        "outcome": outcome_of(value(kv, "result"), F.col("_low")),
         "src_addr": value(kv, "sa"),
         "dst_addr": value(kv, "da"),
         "interface_in": value(kv, "iif"),
@@ -216,7 +221,7 @@ def firewall_params(lines: DataFrame, keep: list[str] = ()) -> DataFrame:
         "policy_id": policy,
         "rule_id": rule,
         "rule_key": rule_key(device, policy, rule),
-        "policy_type": policy_kind(policy, message),
+        "policy_type": policy_kind(policy, F.col("_low")),
         "rule_state": switch_state(value(kv, "active")),
         "log_enabled": switch_state(value(kv, "log")),
         "translated_src": value(kv, "sat"),
@@ -234,8 +239,9 @@ def firewall_params(lines: DataFrame, keep: list[str] = ()) -> DataFrame:
         "login_time": either(value(kv, "login_time"), stamp),
         "control_name": either(value(kv, "control_name"), device),
     }
+    rows = rows.withColumns({f"_f_{name}": column for name, column in found.items()})
     columns = []
     for name in FIREWALL:
         spare = one(*[k for k in (KEY_OF_COLUMN.get(name), name) if k])
-        columns.append((either(found[name], spare) if name in found else value(kv, name)).alias(name))
+        columns.append((either(F.col(f"_f_{name}"), spare) if name in found else value(kv, name)).alias(name))
     return rows.select(*keep, *columns)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -115,66 +117,91 @@ def unquoted(text: Column) -> Column:
     return F.regexp_replace(word, r"""(?s)^(['"])(.*)\1$""", "$2")
 
 
-def error_values(content: Column) -> Column:
-    """Map of the parsed fields of an error line; empty when the line does not fit."""
-    text = strip(content)
-    module, severity, pid, client, rest = (F.regexp_extract(text, ERROR_LINE, n) for n in range(1, 6))
-    has_referer = rest.contains(", referer: ")
-    message = F.when(has_referer, F.regexp_replace(rest, r"(?s), referer: (?!.*, referer: ).*$", "")).otherwise(rest)
-    referer = F.when(has_referer, strip(F.regexp_extract(rest, r"(?s)^.*, referer: (.*)$", 1))).otherwise("")
-    php = module == "php7"
-    fatal = php & (severity == "error") & message.startswith("PHP Fatal error:")
-    base = {
-        "module": module, "severity": severity, "pid": pid, "client": client, "program": module,
-        "component": module, "log_level": severity, "referer": referer, "message": message,
-        "src_ip": endpoint(client)["ip"], "src_port": endpoint(client)["port"],
-        "log_component": F.concat(module, F.lit(":"), severity),
-        "php7_error": F.when(php, F.concat(module, F.lit(":"), severity)).otherwise(""),
-        "negotiation_error": F.when(module == "negotiation", severity).otherwise(""),
-        "autoindex_error": F.when(module == "autoindex", severity).otherwise(""),
-        "error_type": F.when(fatal, "Fatal error").when(php & (severity == "warn"), "Warning").otherwise(""),
-        "outcome": F.lit("failure"),
-    }
-    code = F.regexp_extract(message, r"^(AH\d+):", 1)
+def with_error_values(lines: DataFrame, out: str) -> DataFrame:
+    """Add a map of the parsed fields of error lines; it is empty where the line does not fit.
+
+    Built in steps, so that no pattern is evaluated twice and the generated code stays small.
+    """
+    text = strip(F.col("content"))
+    names = ("module", "severity", "pid", "client", "rest")
+    cells = F.struct(*[F.regexp_extract(text, ERROR_LINE, n).alias(c) for n, c in enumerate(names, start=1)])
+    rows = lines.withColumn("_e", F.when(text.rlike(ERROR_LINE), cells))
+    rest = F.coalesce("_e.rest", F.lit(""))
+    rows = rows.withColumn("_cut", F.when(rest.contains(", referer: "), F.length(F.substring_index(rest, ", referer: ", -1))))
+    rows = rows.withColumn(
+        "_message",
+        F.when(F.col("_cut").isNotNull(), F.substr(rest, F.lit(1), F.length(rest) - F.col("_cut") - 11)).otherwise(rest),
+    ).withColumn("_referer", F.when(F.col("_cut").isNotNull(), strip(F.substring_index(rest, ", referer: ", -1))).otherwise(""))
+    message = F.col("_message")
+    kind = None
+    for number, (pattern, *_) in enumerate(ERROR_SHAPES):
+        hit = message.rlike(pattern)
+        kind = F.when(hit, number) if kind is None else kind.when(hit, number)
+    rows = rows.withColumn("_kind", kind)
+    groups = None
+    for number, (pattern, *_) in enumerate(ERROR_SHAPES):
+        hit = F.col("_kind") == number
+        count = re.compile(pattern).groups
+        part = F.array(*[strip(F.regexp_extract(message, pattern, n)) for n in range(1, count + 1)])
+        groups = F.when(hit, part) if groups is None else groups.when(hit, part)
+    rows = rows.withColumn("_groups", groups).withColumn("_code", F.regexp_extract(message, r"^(AH\d+):", 1))
     shapes = None
-    for pattern, about, quoted, kind, action, status, names, function in ERROR_SHAPES:
-        def group(n: int, p: str = pattern) -> Column:
-            return strip(F.regexp_extract(message, p, n))
+    for number, (_, about, quoted, kind_name, action, status, fields, function) in enumerate(ERROR_SHAPES):
+        def group(n: int) -> Column:
+            return F.element_at("_groups", n)
 
         subject = unquoted(group(about)) if quoted else group(about)
-        values = {name: (subject if n == about else group(n)) for name, n in names.items()}
+        values = {name: (subject if n == about else group(n)) for name, n in fields.items()}
         values |= {
-            "object_name": subject, "event_type": F.lit(kind), "event_action": F.lit(action),
-            "status_code": F.lit(status), "error_code": values.get("errno", code),
+            "object_name": subject, "event_type": F.lit(kind_name), "event_action": F.lit(action),
+            "status_code": F.lit(status), "error_code": values.get("errno", F.col("_code")),
         }
         if function:
             values["error_function"] = F.lit(function)
-        elif "warning_message" in names:
+        elif "warning_message" in fields:
             values["error_function"] = F.when(values["warning_message"].startswith("require("), "require()").otherwise("")
         if status == "500":
             values["error_message"] = message
         part = F.create_map(*[x for k, c in values.items() for x in (F.lit(k), c)])
-        hit = message.rlike(pattern)
+        hit = F.col("_kind") == number
         shapes = F.when(hit, part) if shapes is None else shapes.when(hit, part)
-    shapes = shapes.otherwise(F.create_map(F.lit("error_code"), code))
+    rows = rows.withColumn("_shape", shapes.otherwise(F.create_map(F.lit("error_code"), F.col("_code"))))
+    module, severity = F.col("_e.module"), F.col("_e.severity")
+    php = module == "php7"
+    both = F.concat(module, F.lit(":"), severity)
+    fatal = php & (severity == "error") & message.startswith("PHP Fatal error:")
+    end = endpoint(F.col("_e.client"))
+    base = {
+        "module": module, "severity": severity, "pid": F.col("_e.pid"), "client": F.col("_e.client"), "program": module,
+        "component": module, "log_level": severity, "referer": F.col("_referer"), "message": message,
+        "src_ip": end["ip"], "src_port": end["port"], "log_component": both,
+        "php7_error": F.when(php, both).otherwise(""),
+        "negotiation_error": F.when(module == "negotiation", severity).otherwise(""),
+        "autoindex_error": F.when(module == "autoindex", severity).otherwise(""),
+        "error_type": F.when(fatal, "Fatal error").when(php & (severity == "warn"), "Warning").otherwise(""),
+        "outcome": F.lit("failure"),
+    }
     common = F.create_map(*[x for k, c in base.items() for x in (F.lit(k), c)])
     empty = F.create_map().cast("map<string,string>")
-    return F.when(text.rlike(ERROR_LINE), F.map_concat(common, shapes)).otherwise(empty)
+    found = F.when(F.col("_e").isNotNull(), F.map_concat(common, F.col("_shape"))).otherwise(empty)
+    return rows.withColumn(out, found).drop("_e", "_cut", "_message", "_referer", "_kind", "_groups", "_code", "_shape")
 
 
 def error_params(lines: DataFrame, log_source: str = "", host: str = "", keep: list[str] = ()) -> DataFrame:
     """Columns timestamp and content to web params, with a flag for lines that do not fit."""
-    rows = lines.withColumn("_v", error_values(F.col("content")))
+    rows = with_error_values(lines, "_v")
 
     def v(name: str) -> Column:
         return F.coalesce(F.try_element_at("_v", F.lit(name)), F.lit(""))
 
-    action = F.when(v("event_action") != "", v("event_action")).otherwise("")
     found = {
         "log": F.col("content"), "time": audit_time(F.col("timestamp")), "log_source": F.lit(log_source),
-        "host": F.lit(host), "event_action": action,
+        "host": F.lit(host),
     }
-    for name in ("program", "pid", "event_type", "src_ip", "src_port", "object_name", "status_code", "outcome", "referer", "severity", "error_code"):
+    for name in (
+        "program", "pid", "event_type", "event_action", "src_ip", "src_port", "object_name", "status_code",
+        "outcome", "referer", "severity", "error_code",
+    ):
         found[name] = v(name)
     return rows.select(
         *keep, *[found.get(c, F.lit("")).alias(c) for c in WEB], (F.size("_v") == 0).alias("quarantined")
