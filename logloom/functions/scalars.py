@@ -101,9 +101,9 @@ def event_time(value: Column) -> Column:
     """Typed time of three text layouts; NULL (sorted last by the callers) otherwise."""
     text = strip(F.coalesce(value, F.lit("")))
     shape = text.rlike(r"^\d{4}([/-])\d{1,2}\1\d{1,2}[ T]\d{1,2}:\d{1,2}:\d{1,2}$")
-    return F.when(
-        shape, F.coalesce(*[F.try_to_timestamp(text, F.lit(p)) for p in EVENT_TIME_LAYOUTS])
-    )
+    slashed, dashed, iso = (F.try_to_timestamp(text, F.lit(p)) for p in EVENT_TIME_LAYOUTS)
+    parsed = F.when(text.contains("/"), slashed).when(text.contains("T"), iso).otherwise(dashed)
+    return F.when(shape, parsed)
 
 
 def iso_wall_clock(value: Column) -> Column:
@@ -149,11 +149,10 @@ def is_address(value: Column) -> Column:
     short = six.rlike(rf"^(?:{HEX_GROUP}(?::{HEX_GROUP})*)?::(?:{HEX_GROUP}(?::{HEX_GROUP})*)?$") & (groups <= 7)
     v6 = host.contains(":") & (full | short)
     v6_prefix = F.coalesce(bits <= 128, F.lit(False))
-    return (
-        (F.lower(text) == "any")
-        | (~slashed & (v4 | v6))
-        | (slashed & ((v4 & v4_prefix) | (v6 & v6_prefix)))
-    )
+    other = (~slashed & (v4 | v6)) | (slashed & ((v4 & v4_prefix) | (v6 & v6_prefix)))
+    # The common forms are settled first; the branches behind them are rarely evaluated.
+    usual = text.rlike(rf"^(?i:any|{IPV4}(?:/(?:[0-9]|[12][0-9]|3[0-2]))?)$")
+    return F.when(usual, True).when(~text.rlike("[:/]"), False).otherwise(other)
 
 
 def is_mac(value: Column) -> Column:

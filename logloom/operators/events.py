@@ -21,6 +21,7 @@ from logloom.functions.text import strip
 from logloom.operators.rollup import is_firewall_name
 from logloom.operators.rule_state import BLOCK_SECONDS, carry_forward, time_block
 from logloom.operators.skew import lookup_join
+from logloom.session import durable
 
 # Labels of actions and policies.
 ACTION_LABELS = {
@@ -144,65 +145,90 @@ def _dimension(rows: DataFrame, table: DataFrame, fields: list[str], key: Column
     return lookup_join(rows.withColumn("_lookup", key), side, ["_lookup"]).drop("_lookup")
 
 
+def _default_rows(table: DataFrame, keys: list[str]) -> dict[str, dict[str, str]]:
+    """The rows of a few fixed keys, at most one each."""
+    return {row["_key"]: row.asDict() for row in table.filter(F.col("_key").isin(keys)).collect()}
+
+
 def build_events(
     params: DataFrame, assets: DataFrame, devices: DataFrame, block_seconds: int = BLOCK_SECONDS
 ) -> DataFrame:
     """Params (with source, source_row) with their alarm type or refusal and payload ``data``.
 
-    ``assets`` and ``devices`` are keyed tables as made by ``sources.tables.keyed``.
+    ``assets`` and ``devices`` are keyed tables as made by ``sources.tables.keyed``. The
+    rows are materialised before rule state is carried, because that reads them twice.
     """
+    assets, devices = durable(assets), durable(devices)
+    default_device = _default_rows(devices, [DEFAULT_DEVICE]).get(DEFAULT_DEVICE, {})
+    default_assets = _default_rows(assets, [TERMINAL_IP, MANAGEMENT_IP])
     rows = with_fields(params, ROW_FIELDS)
-    permissive = is_firewall_name(F.col("source"))
-    rows = rows.withColumn("_c", classify(permissive))
+    lenient = is_firewall_name(F.col("source"))
+    terminal = F.lower("module") == "terminal"
+
+    def when_lenient(value: Column | str) -> Column:
+        return F.when(lenient, value).otherwise("")
+
+    def default_asset(field: str) -> Column:
+        at_terminal, at_desk = (default_assets.get(ip, {}).get(field) or "" for ip in (TERMINAL_IP, MANAGEMENT_IP))
+        return when_lenient(F.when(terminal, at_terminal).otherwise(at_desk))
+
+    default_ip = when_lenient(F.when(terminal, TERMINAL_IP).otherwise(MANAGEMENT_IP))
+    device_name = first_filled(
+        F.col("control_name"), F.col("device_name"), when_lenient(default_device.get("device_name") or "")
+    )
     rows = rows.withColumns(
         {
-            "_type": F.col("_c.type"),
-            "_reason": F.col("_c.reason"),
-            "_permissive": permissive,
-            "_module": F.lower("module"),
+            "_c": classify(lenient),
             "_time": event_time(F.col("time")),
+            "_device": device_name,
+            "_default_ip": default_ip,
+            "_source_ip": first_filled(F.col("src_ip"), F.col("management_ip"), default_ip),
         }
-    ).drop("_c")
-    lenient = F.col("_permissive")
-
-    def when_lenient(value: Column) -> Column:
-        return F.when(lenient, value).otherwise("")
-
-    rows = _dimension(rows, devices, DEVICE_FIELDS, F.lit(DEFAULT_DEVICE), "_dd_")
-    rows = rows.withColumn(
-        "_device", first_filled(F.col("control_name"), F.col("device_name"), when_lenient(F.col("_dd_device_name")))
     )
     rows = _dimension(rows, devices, DEVICE_FIELDS, F.lower("_device"), "_de_")
+    rows = _dimension(rows, assets, ASSET_FIELDS, F.col("_source_ip"), "_as_")
 
     def device(field: str) -> Column:
-        fallback = when_lenient(F.coalesce(F.col(f"_dd_{field}"), F.lit("")))
-        return F.when(F.col("_de_found"), F.col(f"_de_{field}")).otherwise(fallback)
+        return F.when(F.col("_de_found"), F.col(f"_de_{field}")).otherwise(when_lenient(default_device.get(field) or ""))
 
-    module = F.col("_module")
-    default_ip = F.when(module == "terminal", TERMINAL_IP).otherwise(MANAGEMENT_IP)
-    rows = rows.withColumn(
-        "_source_ip", first_filled(F.col("src_ip"), F.col("management_ip"), when_lenient(default_ip))
-    )
-    rows = _dimension(rows, assets, ASSET_FIELDS, F.col("_source_ip"), "_as_")
-    rows = _dimension(rows, assets, ASSET_FIELDS, default_ip, "_da_")
+    kind = F.col("_c.type")
+    web = (kind == 2) | (F.lower("module") == "webui")
+    raw_action = F.when(F.col("event_action") != "", F.col("event_action")).otherwise(F.col("action"))
     rule = first_filled(F.col("rule_id"), F.col("rule_key"))
-    keyed = (F.col("_type") == 4) & (rule != "")
-    rows = rows.withColumns(
-        {
-            "_action": F.lower("event_action"),
-            "_account": first_filled(
-                F.col("login_account"), F.col("user"), F.col("_as_default_user"),
-                when_lenient(F.col("_da_default_user")), device("default_user"),
-            ),
-            "_login_time": first_filled(F.col("login_time"), F.col("time")),
-            "_keyed": F.coalesce(keyed, F.lit(False)),
-            "_key": F.when(keyed, F.concat_ws("\u0001", "source", F.lower("_device"), rule)).otherwise(
-                F.concat_ws("\u0002", "source", F.col("source_row").cast("string"))
+    keyed = F.coalesce((kind == 4) & (rule != ""), F.lit(False))
+    cells = {
+        "_type": kind,
+        "_reason": F.col("_c.reason"),
+        "_keyed": keyed,
+        "_key": F.when(keyed, F.concat_ws("\u0001", "source", F.lower("_device"), rule)).otherwise(
+            F.concat_ws("\u0002", "source", F.col("source_row").cast("string"))
+        ),
+        "_block": time_block(F.col("_time"), F.col("source_row"), block_seconds),
+        "_untimed": F.col("_time").isNull(),
+        "_action": F.lower("event_action"),
+        "_account": first_filled(
+            F.col("login_account"), F.col("user"), F.col("_as_default_user"),
+            default_asset("default_user"), device("default_user"),
+        ),
+        "_login_time": first_filled(F.col("login_time"), F.col("time")),
+        "_managed": device("management_ip"),
+        "_port": first_filled(
+            F.col("dst_port"),
+            F.when(web, first_filled(device("web_port"), F.lit(DEFAULT_WEB_PORT))).otherwise(
+                first_filled(device("cli_port"), device("terminal_port"), F.lit(DEFAULT_CLI_PORT))
             ),
-            "_block": time_block(F.col("_time"), F.col("source_row"), block_seconds),
-            "_untimed": F.col("_time").isNull(),
-        }
-    )
+        ),
+        "_mac": first_filled(F.col("src_mac"), F.col("srp_mac"), F.col("_as_src_mac"), default_asset("src_mac")),
+        "_login_action": first_filled(label_of(F.lower(raw_action), ACTION_LABELS), raw_action, F.lit("登录")),
+        "_protocol": first_filled(F.col("protocol"), device("protocol"), F.lit("TCP")),
+        "_raw_policy": first_filled(F.col("policy"), F.col("pcpolicy")),
+        "_device_type": first_filled(F.col("control_device_type"), device("device_type")),
+        "_lenient": lenient,
+    }
+    kept = [*params.columns, "_time", "_device", "_default_ip", "_source_ip"]
+    state = ["policy_type", "src_addr", "src_ip", "dst_addr", "dst_ip", "control_ip"]
+    extra = [c for c in state if c not in params.columns]
+    rows = durable(rows.select(*kept, *extra, *[c.alias(n) for n, c in cells.items()]))
 
     def or_null(value: Column) -> Column:
         return F.when(value != "", value)
@@ -215,53 +241,36 @@ def build_events(
         F.col("_keyed") & (F.col("_action") == "del"),
         {
             "_policy_type": (or_null(F.col("policy_type")), None),
-            "_src": (
-                or_null(first_filled(F.col("src_addr"), F.col("src_ip"))),
-                or_null(when_lenient(default_ip)),
-            ),
+            "_src": (or_null(first_filled(F.col("src_addr"), F.col("src_ip"))), or_null(F.col("_default_ip"))),
             "_dst": (
                 or_null(first_filled(F.col("dst_addr"), F.col("dst_ip"))),
-                or_null(when_lenient(device("management_ip"))),
+                F.when(F.col("_lenient"), or_null(F.col("_managed"))),
             ),
         },
     )
-    return rows.withColumn("data", _payload(device)).select(
-        *params.columns, F.col("_type"), F.col("_reason"), F.col("_keyed"), F.col("_untimed"), F.col("_time"), "data"
+    return rows.select(
+        *params.columns, "_type", "_reason", "_keyed", "_untimed", "_time", _payload().alias("data")
     )
 
 
-def _payload(device) -> Column:
-    kind, account, stamp = F.col("_type"), F.col("_account"), F.col("_login_time")
-    lenient, module = F.col("_permissive"), F.col("_module")
-    source = F.col("_source_ip")
-    target = first_filled(F.col("dst_ip"), device("management_ip"))
-    web = (kind == 2) | (module == "webui")
-    port = first_filled(
-        F.col("dst_port"),
-        F.when(web, first_filled(device("web_port"), F.lit(DEFAULT_WEB_PORT))).otherwise(
-            first_filled(device("cli_port"), device("terminal_port"), F.lit(DEFAULT_CLI_PORT))
-        ),
-    )
-    mac = first_filled(
-        F.col("src_mac"), F.col("srp_mac"), F.col("_as_src_mac"),
-        F.when(lenient, F.col("_da_src_mac")).otherwise(""),
-    )
-    raw_action = F.when(F.col("event_action") != "", F.col("event_action")).otherwise(F.col("action"))
-    login_action = first_filled(label_of(F.lower(raw_action), ACTION_LABELS), raw_action, F.lit("登录"))
-    protocol = first_filled(F.col("protocol"), device("protocol"), F.lit("TCP"))
+def _payload() -> Column:
+    """Map of the contract fields of the row's type."""
+    kind, account, stamp, source = (F.col(c) for c in ("_type", "_account", "_login_time", "_source_ip"))
+    protocol = F.col("_protocol")
     protocol = F.when(protocol.startswith("IP协议"), protocol).otherwise(F.concat(F.lit("IP协议"), F.upper(protocol)))
     login = {
-        "src_ip": source, "src_mac": mac, "dst_ip": target, "dst_port": port, "protocol": protocol,
-        "login_account": account, "login_time": stamp, "subject": source, "action": login_action,
-        "object": join_filled("_", [source, account]), "time": stamp,
+        "src_ip": source, "src_mac": F.col("_mac"), "dst_ip": first_filled(F.col("dst_ip"), F.col("_managed")),
+        "dst_port": F.col("_port"), "protocol": protocol, "login_account": account, "login_time": stamp,
+        "subject": source, "action": F.col("_login_action"), "object": join_filled("_", [source, account]),
+        "time": stamp,
     }
-    raw_policy = first_filled(F.col("policy"), F.col("pcpolicy"))
+    raw_policy = F.col("_raw_policy")
     policy = F.when(raw_policy.isin(POLICY_VALUES), raw_policy).otherwise(
         F.coalesce(label_of(F.col("_policy_type"), POLICY_LABELS), F.lit(""))
     )
-    control_ip = first_filled(F.col("control_ip"), device("management_ip"))
+    control_ip = first_filled(F.col("control_ip"), F.col("_managed"))
     change = {
-        "control_device_type": first_filled(F.col("control_device_type"), device("device_type")),
+        "control_device_type": F.col("_device_type"),
         "control_name": F.col("_device"), "control_ip": control_ip,
         "action": first_filled(label_of(F.col("_action"), ACTION_LABELS), F.col("_action"), F.lit("修改")),
         "policy": first_filled(policy, F.lit("允许")),
@@ -296,13 +305,16 @@ def validate(built: DataFrame, contract: dict[int, list[str]] = CONTRACT) -> Dat
         F.when(F.size(blank) > 0, F.concat(F.lit(MISSING), F.array_join(blank, ", "))),
         F.when(F.size(extra) > 0, F.concat(F.lit(EXTRA), F.array_join(extra, ", "))),
     )
-    odd = F.transform(
-        F.filter(
-            F.map_entries("data"),
-            lambda e: e["key"].endswith("_ip") & (strip(e["value"]) != "") & ~is_address(e["value"]),
-        ),
-        lambda e: F.concat(e["key"], F.lit(BAD_ADDRESS)),
-    )
+    addresses = list(dict.fromkeys(n for names in contract.values() for n in names if n.endswith("_ip")))
+    for name in addresses:
+        bad = (_get(name) != "") & ~is_address(_get(name))
+        rows = rows.withColumn(f"_bad_{name}", F.when(bad, F.lit(name + BAD_ADDRESS)))
+    odd = None
+    for number, names in contract.items():
+        part = F.array(*[F.col(f"_bad_{n}") for n in names if n in addresses])
+        hit = F.col("_type") == number
+        odd = F.when(hit, part) if odd is None else odd.when(hit, part)
+    odd = F.coalesce(odd, F.array().cast("array<string>"))
     mac, policy, stamp = _get("src_mac"), _get("policy"), _get("login_time")
     policy_row = F.col("_type") == 4
     warnings = F.concat(
@@ -318,7 +330,7 @@ def validate(built: DataFrame, contract: dict[int, list[str]] = CONTRACT) -> Dat
     )
     return rows.withColumns(
         {"errors": F.array_compact(errors), "warnings": F.array_compact(warnings)}
-    ).drop("_required")
+    ).drop("_required", *[f"_bad_{n}" for n in addresses])
 
 
 def export(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,9 +22,22 @@ def text_bytes(df: DataFrame) -> int:
     return df.agg(F.sum(F.octet_length(row)).alias("b")).first()["b"] or 0
 
 
+@dataclass(frozen=True)
+class Lookup:
+    """A materialised table with unique keys, and whether its size allows a broadcast."""
+
+    table: DataFrame
+    small: bool
+
+
+def lookup(table: DataFrame, max_bytes: int = BROADCAST_BYTES) -> Lookup:
+    table = durable(table)
+    return Lookup(table, text_bytes(table) <= max_bytes)
+
+
 def lookup_join(
     facts: DataFrame,
-    table: DataFrame,
+    table: DataFrame | Lookup,
     keys: list[str],
     how: str = "left",
     max_bytes: int = BROADCAST_BYTES,
@@ -34,10 +49,10 @@ def lookup_join(
     facts are not shuffled; beyond it each entry gets ``salts`` copies, and the facts of
     one key spread over that many partitions.
     """
-    table = durable(table)
-    if text_bytes(table) <= max_bytes:
-        return facts.join(F.broadcast(table), keys, how)
-    salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    side = table if isinstance(table, Lookup) else lookup(table, max_bytes)
+    if side.small:
+        return facts.join(F.broadcast(side.table), keys, how)
+    salted = side.table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     spread = facts.withColumn(
         "_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in facts.columns]), F.lit(salts)).cast("int")
     )

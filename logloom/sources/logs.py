@@ -44,8 +44,8 @@ def _name(source: Column) -> Column:
     return F.substring_index(source, "/", -1)
 
 
-def is_log_source(source: Column) -> Column:
-    return _name(source).rlike(LOG_NAME) & ~_name(source).rlike(LABEL_NAME)
+def is_log_source(source: Column, names: str = LOG_NAME) -> Column:
+    return _name(source).rlike(names) & ~_name(source).rlike(LABEL_NAME)
 
 
 def without_suffix(source: Column) -> Column:
@@ -82,7 +82,9 @@ def require_some(sources: DataFrame, what: str) -> DataFrame:
     return sources
 
 
-def read_lines(spark: SparkSession, root: str, selectors: list[str] | None = None) -> DataFrame:
+def read_lines(
+    spark: SparkSession, root: str, selectors: list[str] | None = None, names: str = LOG_NAME
+) -> DataFrame:
     """Columns source, line_id, original_content: non-blank lines, numbered per source."""
     raw = (
         spark.read.option("recursiveFileLookup", True)
@@ -94,7 +96,7 @@ def read_lines(spark: SparkSession, root: str, selectors: list[str] | None = Non
         )
     )
     kept = raw.filter(
-        is_log_source(F.col("source"))
+        is_log_source(F.col("source"), names)
         & selected_by(F.col("source"), selectors or [])
         & ~is_blank(F.col("original_content"))
     )
