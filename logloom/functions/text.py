@@ -107,3 +107,16 @@ def event_id(template: Column) -> Column:
 def word_count(text: Column) -> Column:
     """Blanks plus one, as the regex memory counts words."""
     return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1
+
+
+# Stands between captured groups; three control characters that no log line has in a row.
+GROUP_MARK = "\x01\x02\x03"
+
+
+def captured(text: Column, pattern: str, count: int) -> Column:
+    """Array of the first ``count`` groups of an anchored pattern; NULL without a match.
+
+    The pattern is tested once and applied once, not once per group.
+    """
+    marked = F.regexp_replace(text, pattern, GROUP_MARK.join(f"${n}" for n in range(1, count + 1)))
+    return F.when(text.rlike(pattern), F.split(marked, GROUP_MARK))

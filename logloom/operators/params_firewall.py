@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from logloom.functions.pairs import first_value, pairs, value
 from logloom.functions.scalars import label_of
-from logloom.functions.text import strip
+from logloom.functions.text import captured, strip
 from logloom.operators.columns import FIREWALL
 
 # Spellings of modules and actions.
@@ -89,13 +89,13 @@ IPV4_WORD = r"\b(?:\d{1,3}\.){3}\d{1,3}\b"
 def with_prefix(lines: DataFrame) -> DataFrame:
     """Columns _host, _prefix_program, _body; the prefix counts only before a device line."""
     rows = lines.withColumn("_text", strip(F.coalesce(F.col("content"), F.lit(""))))
-    rows = rows.withColumn("_rest", F.regexp_extract("_text", PREFIX, 3))
-    known = F.col("_rest").contains("devid=")
+    rows = rows.withColumn("_parts", captured(F.col("_text"), PREFIX, 3))
+    known = F.coalesce(F.element_at("_parts", 3).contains("devid="), F.lit(False))
     return rows.withColumns(
         {
-            "_host": F.when(known, F.regexp_extract("_text", PREFIX, 1)).otherwise(""),
-            "_prefix_program": F.when(known, F.regexp_extract("_text", PREFIX, 2)).otherwise(""),
-            "_body": F.when(known, F.col("_rest")).otherwise(F.col("_text")),
+            "_host": F.when(known, F.element_at("_parts", 1)).otherwise(""),
+            "_prefix_program": F.when(known, F.element_at("_parts", 2)).otherwise(""),
+            "_body": F.when(known, F.element_at("_parts", 3)).otherwise(F.col("_text")),
         }
     )
 

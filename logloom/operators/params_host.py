@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from logloom.functions.pairs import first_value, pairs, value
 from logloom.functions.scalars import audit_time
-from logloom.functions.text import strip
+from logloom.functions.text import captured, strip
 from logloom.operators.columns import AUDIT, AUTH, VPN
 
 AUTH_PREFIX = r"^(\S+) ([^\[:]+)(?:\[(\d+)\])?: "
@@ -58,7 +58,7 @@ VPN_SHAPES = [
 ]
 
 
-def _shaped(text: Column, shapes: list[tuple], patterns: str = "") -> Column:
+def _shaped(text: Column, shapes: list[tuple]) -> Column:
     """Map of the columns filled by the first shape that occurs in the text."""
     chain = None
     for pattern, groups, constants in shapes:
@@ -119,13 +119,17 @@ def vpn_params(
     lines: DataFrame, log_source: str = "vpn", host: str = "", program: str = "openvpn", keep: list[str] = ()
 ) -> DataFrame:
     text = F.col("content")
-    message = F.when(text.rlike(VPN_PREFIX), F.regexp_extract(text, VPN_PREFIX, 4)).otherwise(text)
-    rows = lines.withColumn("_m", message).withColumn("_v", _shaped(F.col("_m"), VPN_SHAPES))
-    named = F.regexp_extract(text, VPN_PREFIX, 1)
+    rows = lines.withColumn("_p", captured(text, VPN_PREFIX, 4))
+
+    def part(n: int) -> Column:
+        return F.coalesce(F.element_at("_p", n), F.lit(""))
+
+    rows = rows.withColumn("_m", F.coalesce(F.element_at("_p", 4), text)).withColumn("_v", _shaped(F.col("_m"), VPN_SHAPES))
+    named = part(1)
     found = {
         "log": text, "time": audit_time(F.col("timestamp")), "log_source": F.lit(log_source),
         "host": F.lit(host), "program": F.lit(program),
         "user": F.when(named != "", named).otherwise(value("_v", "user")),
-        "src_ip": F.regexp_extract(text, VPN_PREFIX, 2), "src_port": F.regexp_extract(text, VPN_PREFIX, 3),
+        "src_ip": part(2), "src_port": part(3),
     }
     return rows.select(*keep, *[found.get(c, value("_v", c)).alias(c) for c in VPN])

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom.functions.scalars import audit_time
-from logloom.functions.text import strip
+from logloom.functions.text import captured, strip
 from logloom.operators.columns import DNS, WEB
 
 # Line shapes.
@@ -59,17 +59,19 @@ def http_version(text: Column) -> Column:
     return F.when((word == "") | word.startswith("HTTP/"), word).otherwise(F.concat(F.lit("HTTP/"), word))
 
 
-def access_values(content: Column) -> Column:
-    """Map of every source field of an access line; '' where the line does not fit."""
-    text = strip(content)
-    client, user, request, status, size, referer, agent = (
-        F.regexp_extract(text, ACCESS, n) for n in (1, 3, 4, 5, 6, 7, 8)
-    )
-    method = F.regexp_extract(request, REQUEST, 1)
-    target = blank_dash(F.regexp_extract(request, REQUEST, 2))
+def with_access_values(lines: DataFrame, out: str) -> DataFrame:
+    """Add a map of every source field of access lines; '' where a line does not fit."""
+    rows = lines.withColumn("_g", captured(strip(F.col("content")), ACCESS, 8))
+
+    def part(column: str, n: int) -> Column:
+        return F.coalesce(F.element_at(column, n), F.lit(""))
+
+    client, user, request, status, size, referer, agent = (part("_g", n) for n in (1, 3, 4, 5, 6, 7, 8))
+    rows = rows.withColumn("_r", captured(request, REQUEST, 3))
+    method, target = part("_r", 1), blank_dash(part("_r", 2))
     path = F.substring_index(target, "?", 1)
-    query = F.when(target.contains("?"), F.regexp_replace(target, r"^[^?]*\?", "")).otherwise("")
-    version = http_version(F.regexp_extract(request, REQUEST, 3))
+    query = F.when(target.contains("?"), F.substr(target, F.instr(target, "?") + 1)).otherwise("")
+    version = http_version(part("_r", 3))
     values = {
         "src_ip": client, "client_ip": client, "user": blank_dash(user), "request": request,
         "http_method": method, "request_method": method, "request_uri": target,
@@ -77,14 +79,15 @@ def access_values(content: Column) -> Column:
         "http_version": version, "status_code": status, "response_size": size, "bytes_sent": size,
         "referer": blank_dash(referer), "user_agent": blank_dash(agent),
     }
-    return F.create_map(*[x for k, v in values.items() for x in (F.lit(k), v)])
+    cells = F.create_map(*[x for k, v in values.items() for x in (F.lit(k), v)])
+    return rows.withColumn(out, cells).drop("_g", "_r")
 
 
 def access_params(
     lines: DataFrame, log_source: str = "", host: str = "", program: str = "", keep: list[str] = ()
 ) -> DataFrame:
     """Columns timestamp and content to web params; a per-template spec may fill more."""
-    rows = lines.withColumn("_v", access_values(F.col("content")))
+    rows = with_access_values(lines, "_v")
 
     def v(name: str) -> Column:
         return F.try_element_at("_v", F.lit(name))
@@ -123,10 +126,8 @@ def with_error_values(lines: DataFrame, out: str) -> DataFrame:
     Built in steps, so that no pattern is evaluated twice and the generated code stays small.
     """
     text = strip(F.col("content"))
-    names = ("module", "severity", "pid", "client", "rest")
-    cells = F.struct(*[F.regexp_extract(text, ERROR_LINE, n).alias(c) for n, c in enumerate(names, start=1)])
-    rows = lines.withColumn("_e", F.when(text.rlike(ERROR_LINE), cells))
-    rest = F.coalesce("_e.rest", F.lit(""))
+    rows = lines.withColumn("_e", captured(text, ERROR_LINE, 5))
+    rest = F.coalesce(F.element_at("_e", 5), F.lit(""))
     rows = rows.withColumn("_cut", F.when(rest.contains(", referer: "), F.length(F.substring_index(rest, ", referer: ", -1))))
     rows = rows.withColumn(
         "_message",
@@ -166,13 +167,13 @@ def with_error_values(lines: DataFrame, out: str) -> DataFrame:
         hit = F.col("_kind") == number
         shapes = F.when(hit, part) if shapes is None else shapes.when(hit, part)
     rows = rows.withColumn("_shape", shapes.otherwise(F.create_map(F.lit("error_code"), F.col("_code"))))
-    module, severity = F.col("_e.module"), F.col("_e.severity")
+    module, severity = F.element_at("_e", 1), F.element_at("_e", 2)
     php = module == "php7"
     both = F.concat(module, F.lit(":"), severity)
     fatal = php & (severity == "error") & message.startswith("PHP Fatal error:")
-    end = endpoint(F.col("_e.client"))
+    end = endpoint(F.element_at("_e", 4))
     base = {
-        "module": module, "severity": severity, "pid": F.col("_e.pid"), "client": F.col("_e.client"), "program": module,
+        "module": module, "severity": severity, "pid": F.element_at("_e", 3), "client": F.element_at("_e", 4), "program": module,
         "component": module, "log_level": severity, "referer": F.col("_referer"), "message": message,
         "src_ip": end["ip"], "src_port": end["port"], "log_component": both,
         "php7_error": F.when(php, both).otherwise(""),

@@ -275,7 +275,7 @@ def sql_tokens(x: str) -> str:
 
 def sql_routed(preprocessed: str) -> str:
     """tokens, n_tokens and the routing token of preprocessed lines."""
-    return f"""SELECT *, len(tokens) AS n_tokens,
+    return f"""SELECT *, cast(len(tokens) AS INTEGER) AS n_tokens,
         CASE WHEN regexp_matches(tokens[1], '\\p{{Nd}}') THEN '<*>' ELSE coalesce(tokens[1], '') END AS route
         FROM (SELECT *, {sql_tokens(sql_mask('content'))} AS tokens FROM ({preprocessed}))"""
 

@@ -10,7 +10,7 @@ from logloom.operators import hooks
 from logloom.operators.columns import AUDIT, AUTH, DNS, FIREWALL, VPN, WEB
 from logloom.operators.params_firewall import firewall_params
 from logloom.operators.params_host import audit_params, auth_params, vpn_params
-from logloom.operators.params_web import access_params, access_values, dns_params, error_params
+from logloom.operators.params_web import access_params, dns_params, error_params, with_access_values
 from logloom.queries.base import (
     AUDIT_LINES,
     AUTH_LINES,
@@ -368,13 +368,13 @@ def spec_fill(spark, sf):
     """Source values copied as each line's spec says; three columns have defaults."""
     lines = WEB_LINES.frame(spark, sf).withColumn("spec_index", (F.col("line_id") % 2 + 1).cast("int"))
     routes = spark.createDataFrame(ROUTES, "spec_index int, pos int, source string, output string")
-    values = access_values(F.col("content"))
+    lines = with_access_values(lines, "_values")
 
     def v(name: str):
         return F.try_element_at("_values", F.lit(name))
 
     defaults = {"src_ip": v("src_ip"), "object_name": v("request_path"), "referer": v("referer")}
-    return specs.routed(lines, values, routes, ["src_ip", "event_action", "query", "object_name", "referer"], defaults).select(
+    return specs.routed(lines, "_values", routes, ["src_ip", "event_action", "query", "object_name", "referer"], defaults).select(
         "line_id", "src_ip", "event_action", "query", "object_name", "referer"
     )
 

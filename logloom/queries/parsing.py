@@ -120,7 +120,7 @@ def event_count(spark, sf):
 
 @query(
     "ordered_groups",
-    f"""SELECT source, event_id, arg_min(len({sql_tokens('content')}), line_id) AS words, count(*) AS "count"
+    f"""SELECT source, event_id, cast(arg_min(len({sql_tokens('content')}), line_id) AS INTEGER) AS words, count(*) AS "count"
     FROM ({ASSIGNED}) GROUP BY source, event_id""",
 )
 def ordered_groups(spark, sf):
@@ -181,7 +181,7 @@ def _regex_sql(template: str) -> str:
 
 
 WORDS = "(length({0}) - length(replace({0}, ' ', '')) + 1)"
-MEMORY = f"""SELECT regex, min(first_line) AS seq, {WORDS.format('regex')} AS word_count
+MEMORY = f"""SELECT regex, min(first_line) AS seq, cast({WORDS.format('regex')} AS INTEGER) AS word_count
     FROM (SELECT {_regex_sql('template')} AS regex, first_line FROM ({TEMPLATES})) GROUP BY regex"""
 
 
@@ -193,7 +193,7 @@ def app_memory(spark, sf):
     )
 
 
-MASKED_MEMORY = f"""SELECT regex, min(first_line) AS seq, {WORDS.format('regex')} AS word_count
+MASKED_MEMORY = f"""SELECT regex, min(first_line) AS seq, cast({WORDS.format('regex')} AS INTEGER) AS word_count
     FROM (SELECT {_regex_sql('template')} AS regex, first_line, source FROM ({TEMPLATES})) m
     JOIN (SELECT source, line_id AS first_line, content FROM ({PRE})) USING (source, first_line)
     WHERE regexp_matches(replace(content, ',', ''), '^' || regex || '$') GROUP BY regex"""

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from logloom.functions.text import SPACE, is_blank, strip
+from logloom.functions.text import SPACE, captured, is_blank, strip
 from logloom.operators.skew import lookup_join, number_within
 
 LOG_NAME = r"(?i)^.+\.log(?:\.[^./]*)*$"
@@ -123,26 +123,44 @@ def number_lines(lines: DataFrame) -> DataFrame:
     )
 
 
-def header_pattern(layout: str) -> tuple[str, dict[str, int]]:
-    """Anchored pattern of a header layout, and the group number of each header."""
-    pattern, positions, groups = "^", {}, 0
-    for piece in re.split(r"(<[^<>]+>)", layout):
-        if re.fullmatch(r"<[^<>]+>", piece):
+def header_pattern(layout: str, direct: bool = False) -> tuple[str, dict[str, int]]:
+    """Anchored pattern of a header layout, and the group number of each header.
+
+    The ``direct`` form reads leading headers that are followed by blanks as one word each,
+    without backtracking.
+    """
+    pieces = re.split(r"(<[^<>]+>)", layout)
+    pattern, positions, groups, leading = "^", {}, 0, not pieces[0]
+    for number, piece in enumerate(pieces):
+        if number % 2:
             groups += 1
             positions[piece[1:-1]] = groups
-            pattern += "(.*?)"
+            leading = leading and re.fullmatch(" +", pieces[number + 1]) is not None
+            pattern += r"(\S*+)" if direct and leading else "(.*?)"
         else:
             groups += len(re.findall(r"(?<!\\)\((?!\?)", piece))
-            pattern += re.sub(" +", r"\\s+", piece)
+            pattern += re.sub(" +", r"\\s++" if direct and leading else r"\\s+", piece)
     return pattern + "$", positions
 
 
 def header_fields(lines: DataFrame, layout: str, column: str = "original_content") -> DataFrame:
-    """One column per header of the layout; lines that do not fit are dropped."""
-    pattern, positions = header_pattern(layout)
+    """One column per header of the layout; lines that do not fit are dropped.
+
+    Lazy groups backtrack over every blank of a line that does not fit. The direct form
+    finds the same groups; where it fails, another reading exists only in lines with runs
+    of blanks or unusual line breaks, so only those are tried by the full pattern.
+    """
+    full, positions = header_pattern(layout)
+    direct, _ = header_pattern(layout, direct=True)
+    count = max(positions.values())
     text = strip(F.col(column))
-    fields = [F.regexp_extract(text, pattern, n).alias(name) for name, n in positions.items()]
-    return lines.filter(text.rlike(pattern)).select("source", "line_id", *fields)
+    again = text.rlike(r"\s{2}|[\n\r\u0085\u2028\u2029]")
+    found = lines.withColumn("_d", captured(text, direct, count))
+    found = found.withColumn(
+        "_g", F.when(F.col("_d").isNotNull(), F.col("_d")).when(again, captured(text, full, count))
+    )
+    fields = [F.element_at("_g", n).alias(name) for name, n in positions.items()]
+    return found.filter("_g IS NOT NULL").select("source", "line_id", *fields)
 
 
 def percent_slice(lines: DataFrame, first_pct: float = 100, start_pct: float = 0) -> DataFrame:

@@ -136,19 +136,20 @@ def template_text(entry: Column) -> Column:
     return strip(F.substring_index(text, "\nSamples:", 1))
 
 
-def routed(lines: DataFrame, values: Column, specs: DataFrame, columns: list[str], defaults: dict[str, Column]) -> DataFrame:
+def routed(lines: DataFrame, values: str, specs: DataFrame, columns: list[str], defaults: dict[str, Column]) -> DataFrame:
     """Copy parsed source values to output columns as the line's spec says, then defaults.
 
-    ``values`` is a map of parsed source fields; ``specs`` is one row per spec and field.
+    ``values`` names a map column of parsed source fields; ``specs`` has one row per spec
+    and field.
     """
     routes = specs.groupBy("spec_index").agg(
         F.array_sort(F.collect_list(F.struct("pos", "source", "output"))).alias("_routes")
     )
-    joined = lookup_join(lines.withColumn("_values", values), routes, ["spec_index"])
+    joined = lookup_join(lines, routes, ["spec_index"])
     filled = F.map_from_entries(
         F.transform(
             F.coalesce("_routes", F.array().cast("array<struct<pos:int,source:string,output:string>>")),
-            lambda r: F.struct(r["output"], F.coalesce(F.try_element_at("_values", r["source"]), F.lit(""))),
+            lambda r: F.struct(r["output"], F.coalesce(F.try_element_at(values, r["source"]), F.lit(""))),
         )
     )
     routed_rows = joined.withColumn("_out", filled)

@@ -177,3 +177,22 @@ def test_minimum_distances_both_ways(spark):
     for limit in (10**6, 0):
         got = {r["i"]: round(r["min_distance"], 6) for r in sampling.minimum_distances(left, right, "i", "j", max_bytes=limit).collect()}
         assert got == {1: round(1 - 2 / 3, 6), 2: 1.0, 3: 0.0}
+
+
+def test_header_layouts_like_plain_patterns(spark):
+    import re
+
+    texts = [
+        "Jan 5 10:00:00 web app[12]: up and: running", "Jan 5 10:00:00 web app: x", "a  b c d e: f", "a b c d", "a b  c d: e", "x", "",
+        "1 2 3 4 5 6 7 8: 9", "[t] [e] body: x", "[t]  [e] body",
+    ]
+    for layout in (r"<Month> <Date> <Time> <Level> <Component>(\[<PID>\])?: <Content>", r"\[<Time>\] \[<Level>\] <Content>", "<Date> <Time> <Level> <Component>: <Content>"):
+        pattern, positions = logs.header_pattern(layout)
+        want = {}
+        for n, t in enumerate(texts):
+            hit = re.search(pattern, t.strip())
+            if hit:
+                want[n] = tuple(hit.group(g) or "" for g in positions.values())
+        df = spark.createDataFrame([("s", n, t) for n, t in enumerate(texts)], "source string, line_id long, original_content string")
+        got = {r["line_id"]: tuple(r)[2:] for r in logs.header_fields(df, layout).collect()}
+        assert got == want
