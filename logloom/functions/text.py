@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WILDCARD = "<*>"
@@ -48,9 +48,11 @@ def squeeze(col: Column) -> Column:
     return strip(F.regexp_replace(col, SPACE + "{2,}", " "))
 
 
-def split_timestamp(line: Column) -> Column:
-    """Struct (timestamp, content): first layout that occurs, one occurrence taken out."""
-    text = strip(line)
+def timestamp_parts(text: Column) -> Column:
+    """Struct (timestamp, rest) of stripped text; NULL when no layout occurs.
+
+    The first layout that occurs counts, and one occurrence of it is taken out.
+    """
     branches = []
     for pattern in LEADING_TIMES:
         branches.append(
@@ -78,12 +80,21 @@ def split_timestamp(line: Column) -> Column:
     )
     chain = None
     for hit, stamp, rest in branches:
-        rest = squeeze(rest)
-        value = F.struct(
-            stamp.alias("timestamp"), F.when(rest == "", text).otherwise(rest).alias("content")
-        )
+        value = F.struct(stamp.alias("timestamp"), squeeze(rest).alias("rest"))
         chain = F.when(hit, value) if chain is None else chain.when(hit, value)
-    return chain.otherwise(F.struct(F.lit("").alias("timestamp"), text.alias("content")))
+    return chain
+
+
+def with_timestamp(lines: DataFrame, column: str) -> DataFrame:
+    """Add timestamp ('' without one) and content; a line that is only a timestamp is kept whole."""
+    rows = lines.withColumn("_t", strip(F.col(column))).withColumn("_s", timestamp_parts(F.col("_t")))
+    rest = F.col("_s.rest")
+    return rows.withColumns(
+        {
+            "timestamp": F.coalesce("_s.timestamp", F.lit("")),
+            "content": F.when(F.coalesce(rest, F.lit("")) != "", rest).otherwise(F.col("_t")),
+        }
+    ).drop("_t", "_s")
 
 
 def mask(content: Column) -> Column:

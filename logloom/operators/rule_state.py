@@ -31,7 +31,15 @@ def carry_forward(
     inside (key, block); what a key carries from block to block is a table of one row per
     block, so a key that holds most rows is worked on by many tasks.
     """
-    work = rows.withColumn("_reset", F.coalesce(reset, F.lit(False)).cast("int"))
+    # Keys that cannot be NULL keep the join below from adding filters, so that both of its
+    # sides have the same plan up to the shuffle and share it.
+    work = rows.withColumns(
+        {
+            key: F.coalesce(F.col(key), F.lit("")),
+            block: F.coalesce(F.col(block), F.lit(0).cast("long")),
+            "_reset": F.coalesce(reset, F.lit(False)).cast("int"),
+        }
+    )
     for name, (own, default) in fields.items():
         work = work.withColumn(f"_own_{name}", own)
         work = work.withColumn(f"_def_{name}", F.lit(None).cast("string") if default is None else default)

@@ -11,10 +11,10 @@ from logloom.functions.text import (
     has_digit,
     is_blank,
     mask,
-    split_timestamp,
     tokens,
+    with_timestamp,
 )
-from logloom.operators.skew import lookup_join, number_within
+from logloom.operators.skew import Lookup, lookup, lookup_join, number_within
 from logloom.session import durable
 
 ROUTE = ["source", "n_tokens", "route"]
@@ -25,12 +25,8 @@ LISTING_CHUNK = 4096
 def preprocess(lines: DataFrame) -> DataFrame:
     """Non-blank lines with their timestamp split off; purely row-local."""
     kept = lines.filter(~is_blank(F.col("original_content")))
-    return kept.withColumn("_s", split_timestamp(F.col("original_content"))).select(
-        *[c for c in lines.columns if c != "original_content"],
-        F.col("_s.timestamp").alias("timestamp"),
-        F.col("_s.content").alias("content"),
-        "original_content",
-    )
+    rest = [c for c in lines.columns if c != "original_content"]
+    return with_timestamp(kept, "original_content").select(*rest, "timestamp", "content", "original_content")
 
 
 def routed(lines: DataFrame, masked: bool = True) -> DataFrame:
@@ -89,18 +85,16 @@ def discover(lines: DataFrame, masked: bool = True) -> DataFrame:
     )
 
 
-def assign(lines: DataFrame, templates: DataFrame, masked: bool = True) -> DataFrame:
+def assign(lines: DataFrame, templates: Lookup, masked: bool = True) -> DataFrame:
     """Each line with the template and event id of its group."""
-    joined = lookup_join(
-        routed(lines, masked), templates.select(*ROUTE, "template", "event_id"), ROUTE
-    )
-    return joined.drop("tokens", "route")
+    side = Lookup(templates.table.select(*ROUTE, "template", "event_id"), templates.small)
+    return lookup_join(routed(lines, masked), side, ROUTE).drop("tokens", "route")
 
 
 def parse(lines: DataFrame, masked: bool = True) -> tuple[DataFrame, DataFrame]:
     """Assigned lines and the templates behind them."""
-    templates = durable(discover(lines, masked))
-    return assign(lines, templates, masked), templates
+    found = lookup(discover(lines, masked))
+    return assign(lines, found, masked), found.table
 
 
 def group_counts(parsed: DataFrame, columns: tuple[str, ...] = ("content", "event_id", "template")) -> DataFrame:

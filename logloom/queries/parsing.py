@@ -21,6 +21,7 @@ from logloom.queries.base import (
     table,
     text_lines,
 )
+from logloom.session import durable
 from logloom.sources import logs
 
 PRE = sql_preprocessed(APP_LINES.sql)
@@ -275,7 +276,7 @@ def param_list(spark, sf):
 )
 def fifo_join(spark, sf):
     """Results in line order take the input lines of equal content, given here in reverse."""
-    pre = templates.preprocess(text_lines(spark, sf))
+    pre = durable(templates.preprocess(text_lines(spark, sf)))
     results = pre.select("source", "content", F.col("line_id").alias("result_id"), "line_id")
     flipped = pre.withColumn("line_id", -F.col("line_id"))
     joined = templates.attach_lines(results.withColumn("line_id", F.col("result_id")), flipped)

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from logloom.functions.text import SPACE, captured, is_blank, strip
+from logloom.functions.text import captured, is_blank, strip
 from logloom.operators.skew import lookup_join, number_within
 
 LOG_NAME = r"(?i)^.+\.log(?:\.[^./]*)*$"
@@ -175,7 +175,3 @@ def percent_slice(lines: DataFrame, first_pct: float = 100, start_pct: float = 0
 def renumbered(lines: DataFrame) -> DataFrame:
     """Lines of each source numbered again without gaps."""
     return number_within(lines, ["source"], "line_id", "_new").withColumn("line_id", F.col("_new")).drop("_new")
-
-
-def squeezed(column: Column) -> Column:
-    return F.regexp_replace(column, SPACE + "+", " ")

@@ -24,8 +24,8 @@ def test_timestamp_layouts(spark):
         "2024-01-01 10:00:00": ("2024-01-01 10:00:00", "2024-01-01 10:00:00"),
         "　plain text\xa0": ("", "plain text"),
     }
-    df = spark.createDataFrame([(c,) for c in cases], "l string")
-    got = {r["l"]: tuple(r["s"]) for r in df.select("l", text.split_timestamp(F.col("l")).alias("s")).collect()}
+    df = spark.createDataFrame([(c,) for c in cases], "original_content string")
+    got = {r["original_content"]: (r["timestamp"], r["content"]) for r in templates.preprocess(df).collect()}
     assert got == cases
 
 
