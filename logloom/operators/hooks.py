@@ -52,7 +52,9 @@ def extract_with(
 
     schema = ", ".join(f"`{c}` string" for c in [*key_list, *columns])
     distinct = lines.select(*key_list).distinct()
-    return lookup_join(lines, distinct.mapInPandas(run, schema), key_list)
+    # There may be nearly as many results as lines, so none is copied: beyond a broadcast
+    # this is one shuffle join whose skewed partitions adaptive execution splits.
+    return lookup_join(lines, distinct.mapInPandas(run, schema), key_list, salts=1)
 
 
 def resume(rows: DataFrame, earlier: DataFrame, key: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
