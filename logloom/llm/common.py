@@ -7,7 +7,9 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import (
+    ArrayType, BinaryType, BooleanType, DoubleType, IntegerType, LongType, StringType, StructField, StructType,
+)
 
 from logloom.session import prepare
 
@@ -23,6 +25,12 @@ ARROW = {
 }
 
 
+DDL = {
+    "long": LongType(), "int": IntegerType(), "double": DoubleType(), "boolean": BooleanType(), "string": StringType(),
+    "binary": BinaryType(), "array<int>": ArrayType(IntegerType()), "array<string>": ArrayType(StringType()),
+}
+
+
 def ready(spark: SparkSession) -> SparkSession:
     """Session settings of these operators: those of the library, and small Arrow batches."""
     prepare(spark)
@@ -66,7 +74,7 @@ def map_texts(
         rows = rows.withColumn("text", F.col("text").cast("binary"))
     schema = StructType([StructField(id_col, rows.schema[0].dataType)])
     for name, kind in kinds.items():
-        schema = schema.add(name, kind)
+        schema = schema.add(name, DDL[kind])
     wanted = columns_of(kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
