@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import decontaminate, pieces, quality, secrets, shards, tokencount, toxicity
+from logloom.llm import decontaminate, jaccard, pieces, quality, secrets, shards, tokencount, toxicity
 from logloom.llm.common import held_out, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,3 +133,24 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Piece ids of every document, and a digest of the text that they decode to."""
     path = public_tokenizers.path("piece_bpe_32k.model")
     return pieces.round_trip(read_table(spark, sf_dir, "documents"), path)
+
+
+@query(
+    "op6_jaccard_join",
+    r"""
+    WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(
+               translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[^\x20\x09-\x0D]+') AS ws FROM documents),
+    s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(ws, i, i + least(4, len(ws)) - 1), ' ') AS k
+          FROM d, unnest(range(1, len(ws) - least(4, len(ws)) + 2)) AS u(i) WHERE len(ws) > 0),
+    c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS m FROM s AS x JOIN s AS y USING (k) WHERE x.doc_id <> y.doc_id GROUP BY 1, 2),
+    l AS (SELECT a, b FROM p JOIN c AS ca ON ca.doc_id = a JOIN c AS cb ON cb.doc_id = b WHERE 100 * m >= 85 * (ca.n + cb.n - m)),
+    r AS (SELECT doc_id AS a, doc_id AS z FROM d UNION SELECT l.b, r.z FROM r JOIN l ON l.a = r.a)
+    SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id
+    FROM d LEFT JOIN c USING (doc_id) JOIN (SELECT a AS doc_id, min(z) AS component_id FROM r GROUP BY a) AS m USING (doc_id)
+    """,
+)
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose 4-word shingles are similar."""
+    return jaccard.similar_groups(read_table(spark, sf_dir, "documents"))
