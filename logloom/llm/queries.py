@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import decontaminate, jaccard, pieces, quality, secrets, shards, tokencount, toxicity
+from logloom.llm import backoff, decontaminate, jaccard, pieces, quality, secrets, shards, suffixes, tokencount, toxicity
 from logloom.llm.common import held_out, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,3 +154,51 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose 4-word shingles are similar."""
     return jaccard.similar_groups(read_table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op8_suffix_repeats",
+    r"""
+    WITH d AS (SELECT doc_id, regexp_extract_all(
+               translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[^\x20\x09-\x0D]+') AS ws FROM documents),
+    g AS (SELECT doc_id, i, md5(array_to_string(list_slice(ws, i + 1, i + 50), ' ')) AS k
+          FROM d, unnest(range(0, len(ws) - 49)) AS u(i) WHERE len(ws) >= 50),
+    c AS (SELECT k FROM g GROUP BY k HAVING min(doc_id) <> max(doc_id)),
+    s AS (SELECT doc_id, i, i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 AS gap FROM g SEMI JOIN c USING (k)),
+    n AS (SELECT doc_id, i, sum(coalesce(gap, false)::INT) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM s),
+    p AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS z FROM n GROUP BY doc_id, span)
+    SELECT doc_id, any_value(len(ws))::BIGINT AS n_words, count(*) AS n_spans, sum(z - a)::BIGINT AS n_repeated,
+           string_agg(a::VARCHAR || ':' || z::VARCHAR, ',' ORDER BY a) AS spans
+    FROM p JOIN d USING (doc_id) GROUP BY doc_id
+    """,
+)
+def op8_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a passage of 50 words or more that another document also has."""
+    found = suffixes.repeated_passages(read_table(spark, sf_dir, "documents"))
+    return found.withColumn("spans", F.array_join("spans", ","))
+
+
+@query(
+    "op10_backoff_scores",
+    r"""
+    WITH d AS (SELECT doc_id, doc_id % 2 AS f, regexp_extract_all(
+               translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[^\x20\x09-\x0D]+') AS ws FROM documents),
+    t AS (SELECT doc_id, f, i, ws[i] AS w, CASE WHEN i > 1 THEN ws[i - 1] END AS v FROM d, unnest(range(1, len(ws) + 1)) AS u(i)),
+    n AS (SELECT 1 - f AS f, count(*) AS n FROM t GROUP BY 1),
+    c1 AS (SELECT 1 - f AS f, w, count(*) AS c FROM t GROUP BY ALL),
+    c2 AS (SELECT 1 - f AS f, v, w, count(*) AS c FROM t WHERE v IS NOT NULL GROUP BY ALL),
+    s AS (SELECT t.doc_id, c2.c IS NOT NULL AS hit, CASE WHEN c2.c IS NOT NULL THEN ln(c2.c / cv.c)
+                 ELSE ln(coalesce(c1.c, 0.5) / n.n) + CASE WHEN t.v IS NULL THEN 0 ELSE ln(0.4) END END AS l
+          FROM t JOIN n ON n.f = t.f LEFT JOIN c2 ON c2.f = t.f AND c2.v = t.v AND c2.w = t.w
+          LEFT JOIN c1 ON c1.f = t.f AND c1.w = t.w LEFT JOIN c1 AS cv ON cv.f = t.f AND cv.w = t.v)
+    SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(b, 0)::BIGINT AS n_backoff,
+           round(coalesce(l, 0) / greatest(len(ws), 1), 6) AS mean_log_score
+    FROM d LEFT JOIN (SELECT doc_id, count(*) FILTER (NOT hit) AS b, sum(l) AS l FROM s GROUP BY doc_id) AS x USING (doc_id)
+    """,
+)
+def op10_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stupid-backoff score of every document from the counts of the other half of the documents."""
+    scored = backoff.score_documents(read_table(spark, sf_dir, "documents"))
+    return scored.select("doc_id", "n_words", "n_backoff", F.round(F.coalesce("mean_log_score", F.lit(0.0)), 6).alias("mean_log_score"))
