@@ -25,7 +25,9 @@ SHINGLE, PERCENT = 4, 85
 # Counters of the sketch that orders shingles; their number bounds what is broadcast, not what is counted.
 SKETCH_BITS, SKETCH_PARTS = 21, 64
 # Lists of a shingle with more documents than this are compared by components instead of by pairs.
-SMALL_LIST = 32
+SMALL_LIST = 8
+# Orders in which longer lists are chained first.
+ORDERS = 8
 # Rows of one block of a longer list, and shingles of one slice of the prefix index.
 BLOCK, SLICE_ROWS = 512, 250_000
 # From this class on, the rows of a shingle are spread over several slices.
@@ -216,59 +218,67 @@ def likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     ).select("a", "b")
 
 
-def sets_of(rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(node, shingles) of the wanted nodes, from their texts.
+def texts_of_nodes(rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(node, packed) of the wanted nodes: the lower-case words of one of their texts, compressed.
 
-    A bitmap of fixed size tells tasks which documents may be wanted; it only saves work, the join decides.
+    Words take less room than the hashes of their shingles. A bitmap of fixed size tells tasks which
+    documents may be wanted; it only saves work, the join decides.
     """
     place = F.pmod(F.xxhash64("node"), F.lit(1 << FILTER_BITS))
-    words = wanted.select(F.floor(place / 64).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(pmod(xxhash64(node), {1 << FILTER_BITS}), 64) as int))").alias("bit"))
+    bit = F.expr(f"shiftleft(1L, cast(pmod(pmod(xxhash64(node), {1 << FILTER_BITS}), 64) as int))")
     bits = np.zeros((1 << FILTER_BITS) // 64, np.int64)
+    words = wanted.select(F.floor(place / 64).cast("int").alias("w"), bit.alias("bit"))
     for row in words.groupBy("w").agg(F.bit_or("bit").alias("bits")).collect():
         bits[row["w"]] = row["bits"]
     shared = rows.sparkSession.sparkContext.broadcast(bits)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for raw in batch.column(1).to_pylist():
-                if len(chosen := shingle_set(lower_words(raw), size)):
-                    found.append((digest(chosen), chosen.tobytes()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.binary())], names=["node", "shingles"]
-            )
+            sets = [shingle_set(lower_words(raw), size) for raw in batch.column(1).to_pylist()]
+            nodes = pa.array([digest(s) if len(s) else None for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([nodes, batch.column(1)], names=["node", "text"])
 
-    def may(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            keep = (shared.value[at >> 6] >> (at & 63)) & 1
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2)], names=["node", "shingles"]).filter(pa.array(keep.astype(bool)))
+            keep = ((shared.value[at >> 6] >> (at & 63)) & 1).astype(bool)
+            kept = pa.RecordBatch.from_arrays([batch.column(1), batch.column(2)], names=["node", "text"]).filter(pa.array(keep))
+            packed = [zlib.compress(b" ".join(lower_words(raw)), 6) for raw in kept.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([kept.column(0), pa.array(packed, pa.binary())], names=["node", "packed"])
 
-    made = rows.mapInArrow(run, "node long, shingles binary").select(place.alias("place"), "node", "shingles")
-    kept = made.mapInArrow(may, "node long, shingles binary")
-    return kept.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    made = rows.mapInArrow(digests, "node long, text binary").filter("node IS NOT NULL").select(place.alias("place"), "node", "text")
+    kept = made.mapInArrow(pack, "node long, packed binary")
+    return kept.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("packed").alias("packed"))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets reach the similarity."""
-    side = lambda s: sets.select(F.col("node").alias(s), F.col("shingles").alias(f"set_{s}"))
+    side = lambda s: texts.select(F.col("node").alias(s), F.col("packed").alias(f"packed_{s}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            sets: dict[int, np.ndarray] = {}
             keep = []
-            for one, other in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                both = np.concatenate([np.frombuffer(one, np.uint64), np.frombuffer(other, np.uint64)])
+            for a, b, one, other in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                for node, packed in ((a, one), (b, other)):
+                    if node not in sets:
+                        sets[node] = shingle_set(zlib.decompress(packed).split(), size)
+                both = np.concatenate([sets[a], sets[b]])
                 both.sort(kind="stable")
                 common = int((both[1:] == both[:-1]).sum())
                 keep.append(100 * common >= percent * (len(both) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "packed_a", "packed_b").mapInArrow(run, "a long, b long")
 
 
 def chained(long_lists: DataFrame) -> DataFrame:
-    """A chain of pairs through each long list, in an order of its own; hot lists fall into many chains."""
-    rows = long_lists.withColumn("_o", F.xxhash64("token", "a")).withColumn("_part", F.pmod("_o", F.lit(8)))
+    """A chain of pairs through each long list, in one of a few orders; each list falls into several chains.
+
+    Lists of one group have many members in common, so few orders keep the pairs few and still connect them.
+    """
+    order = F.xxhash64(F.pmod("token", F.lit(ORDERS)), "a")
+    rows = long_lists.withColumn("_o", order).withColumn("_part", F.pmod(F.floor(F.col("_o") / 64), F.lit(ORDERS)))
     window = "PARTITION BY token, _part ORDER BY _o"
     before = rows.select("a", F.expr(f"lag(a) OVER ({window})").alias("b"))
     return before.filter("b IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -345,11 +355,11 @@ def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_col: s
     found = durable(likely(pairs, nodes, percent).union(chained(long_lists)).distinct())
     long_nodes = long_lists.select(F.col("a").alias("node"))
     wanted = durable(found.select(F.col("a").alias("node")).union(found.select("b")).union(long_nodes).distinct())
-    sets = durable(sets_of(rows, wanted, size))
-    links = durable(verified(found, sets, percent))
+    texts = durable(texts_of_nodes(rows, wanted, size))
+    links = durable(verified(found, texts, size, percent))
     roots = connected(links)
     prefix_table = table.join(long_nodes.distinct(), "node", "left_semi").dropDuplicates(["node"])
-    more = verified(across(long_lists, roots, prefix_table, percent), sets, percent)
+    more = verified(across(long_lists, roots, prefix_table, percent), texts, size, percent)
     return documents, durable(links.union(more))
 
 
