@@ -23,9 +23,9 @@ from logloom.session import durable
 
 SHINGLE, PERCENT = 4, 85
 # Counters of the sketch that orders shingles; their number bounds what is broadcast, not what is counted.
-SKETCH_BITS, SKETCH_PARTS = 21, 64
+SKETCH_BITS, SKETCH_PARTS = 24, 256
 # Lists of a shingle with more documents than this are compared by components instead of by pairs.
-SMALL_LIST = 8
+SMALL_LIST = 32
 # Orders in which longer lists are chained first.
 ORDERS = 8
 # Rows of one block of a longer list, and shingles of one slice of the prefix index.
@@ -40,6 +40,23 @@ def texts_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).cast("binary").alias("text"))
 
 
+def packed_counts(part: np.ndarray) -> bytes:
+    """Counters of one part, compressed: all of them, or the places and values of the few that are set."""
+    at = np.flatnonzero(part)
+    if len(at) * 8 > len(part):
+        return b"all." + zlib.compress(part.tobytes(), 1)
+    return b"few." + zlib.compress(np.concatenate([at.astype(np.uint32), part[at]]).tobytes(), 1)
+
+
+def add_counts(total: np.ndarray, packed: bytes) -> None:
+    values = np.frombuffer(zlib.decompress(packed[4:]), np.uint32)
+    if packed[:4] == b"all.":
+        total += values
+    else:
+        at, counts = np.split(values, 2)
+        total[at] += counts
+
+
 def documents_and_sketch(rows: DataFrame, size: int) -> DataFrame:
     """(doc_id, n, node) per row, and rows (part, counts) of the task's sketch of all shingles.
 
@@ -54,9 +71,8 @@ def documents_and_sketch(rows: DataFrame, size: int) -> DataFrame:
         for batch in batches:
             id_type = batch.schema[0].type
             sets = [shingle_set(lower_words(raw), size) for raw in batch.column(1).to_pylist()]
-            for chosen in sets:
-                # Shingles of one set are distinct, but their counters may not be.
-                np.add.at(counts, (chosen >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
+            if sets:
+                np.add.at(counts, (np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
             n, none = len(sets), pa.nulls(len(sets), pa.int32())
             nodes = [digest(s) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
@@ -68,7 +84,7 @@ def documents_and_sketch(rows: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.nulls(1, id_type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([i], pa.int32()),
-                    pa.array([zlib.compress(part.tobytes(), 1)], pa.binary()),
+                    pa.array([packed_counts(part)], pa.binary()),
                 ],
                 names=names,
             )
@@ -76,19 +92,21 @@ def documents_and_sketch(rows: DataFrame, size: int) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {kind}, n long, node long, part int, counts binary")
 
 
-def rarity_classes(parts: DataFrame) -> np.ndarray:
+def rarity_classes(parts: DataFrame, shingles: int) -> np.ndarray:
     """Logarithmic class of every counter against the mean, one byte each: a table of fixed size."""
+    mean = shingles / (1 << SKETCH_BITS)
 
     def add(table: pa.Table) -> pa.Table:
         total = np.zeros((1 << SKETCH_BITS) // SKETCH_PARTS, np.uint64)
-        for blob in table.column("counts").to_pylist():
-            total += np.frombuffer(zlib.decompress(blob), np.uint32)
-        return pa.table({"part": table.column("part")[:1], "total": pa.array([total.tobytes()], pa.binary())})
+        for packed in table.column("counts").to_pylist():
+            add_counts(total, packed)
+        classes = np.round(np.log2(1 + total / (mean + 1))).astype(np.uint8)
+        return pa.table({"part": table.column("part")[:1], "classes": pa.array([classes.tobytes()], pa.binary())})
 
-    total = np.zeros((SKETCH_PARTS, (1 << SKETCH_BITS) // SKETCH_PARTS), np.float64)
-    for row in parts.select("part", "counts").groupBy("part").applyInArrow(add, "part int, total binary").collect():
-        total[row["part"]] = np.frombuffer(row["total"], np.uint64)
-    return np.round(np.log2(1 + total / (total.mean() + 1))).astype(np.uint8).ravel()
+    found = np.zeros((SKETCH_PARTS, (1 << SKETCH_BITS) // SKETCH_PARTS), np.uint8)
+    for row in parts.select("part", "counts").groupBy("part").applyInArrow(add, "part int, classes binary").toLocalIterator():
+        found[row["part"]] = np.frombuffer(row["classes"], np.uint8)
+    return found.ravel()
 
 
 def prefix_of(chosen: np.ndarray, classes: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
@@ -272,19 +290,21 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "packed_a", "packed_b").mapInArrow(run, "a long, b long")
 
 
-def chained(long_lists: DataFrame) -> DataFrame:
-    """A chain of pairs through each long list, in one of a few orders; each list falls into several chains.
+def chained(long_lists: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Chains of pairs through each long list, in one of a few orders, as far as sizes allow a link.
 
     Lists of one group have many members in common, so few orders keep the pairs few and still connect them.
     """
     order = F.xxhash64(F.pmod("token", F.lit(ORDERS)), "a")
-    rows = long_lists.withColumn("_o", order).withColumn("_part", F.pmod(F.floor(F.col("_o") / 64), F.lit(ORDERS)))
+    rows = long_lists.join(nodes.select(F.col("node").alias("a"), "n"), "a").withColumn("_o", order)
+    rows = rows.withColumn("_part", F.pmod(F.floor(F.col("_o") / 64), F.lit(ORDERS)))
     window = "PARTITION BY token, _part ORDER BY _o"
-    before = rows.select("a", F.expr(f"lag(a) OVER ({window})").alias("b"))
-    return before.filter("b IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    before = rows.select("a", "n", F.expr(f"lag(a) OVER ({window})").alias("b"), F.expr(f"lag(n) OVER ({window})").alias("m"))
+    near = before.filter(F.lit(100) * F.least("n", "m") >= F.lit(percent) * F.greatest("n", "m"))
+    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def across(long_lists: DataFrame, roots: DataFrame, table: DataFrame, percent: int) -> DataFrame:
+def across(long_lists: DataFrame, roots: DataFrame, table: DataFrame, percent: int, classes) -> DataFrame:
     """Candidates (a, b) of long lists between documents that are not connected yet.
 
     The lists are compared in pairs of blocks; a pair comes from the first shingle that its prefixes share.
@@ -310,13 +330,18 @@ def across(long_lists: DataFrame, roots: DataFrame, table: DataFrame, percent: i
         flat = np.concatenate(lists)
         owner = np.repeat(np.arange(len(lists)), reach)
         tokens, place, counts = np.unique(flat, return_inverse=True, return_counts=True)
-        # Where a shingle stands in the prefixes gives the common order of those that matter.
-        often = counts[place] > 1
-        columns, place = np.unique(place[often], return_inverse=True)
-        has = np.zeros((len(lists), len(columns)), np.float32)
-        has[owner[often], place] = 1
+        # Columns are the shingles of several prefixes, in the common order of shingles.
+        often = np.flatnonzero(counts > 1)
+        kinds = classes.value[(tokens[often] >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+        often = often[np.lexsort((tokens[often], kinds))]
+        column = np.full(len(tokens), -1)
+        column[often] = np.arange(len(often))
+        place = column[place]
+        has = np.zeros((len(lists), len(often)), np.float32)
+        has[owner[place >= 0], place[place >= 0]] = 1
         out_a, out_b = [], []
-        for at in range(len(lists)):
+        this = np.flatnonzero(tokens[often] == token)
+        for at in range(len(lists) if len(this) else 0):
             rest = np.flatnonzero((root != root[at]) & (nodes > nodes[at]) & ((mine != mine[at]) if i != j else True))
             rest = rest[100 * np.minimum(n[rest], n[at]) >= percent * np.maximum(n[rest], n[at])]
             if not len(rest):
@@ -325,11 +350,10 @@ def across(long_lists: DataFrame, roots: DataFrame, table: DataFrame, percent: i
             needed = -(-percent * (n[rest] + n[at]) // (100 + percent))
             left = np.maximum(n[rest] - reach[rest], n[at] - reach[at])
             rest = rest[(shared >= np.minimum(matches[rest], matches[at])) & (shared + left >= needed)]
-            for other in rest:
-                common = lists[at][np.isin(lists[at], lists[other])]
-                if common[0] == token:
-                    out_a.append(nodes[at])
-                    out_b.append(nodes[other])
+            if len(rest):
+                rest = rest[(has[rest] * has[at]).argmax(axis=1) == this[0]]
+                out_a += [nodes[at]] * len(rest)
+                out_b += nodes[rest].tolist()
         return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
     return loaded.groupBy("token", "i", "j").applyInArrow(compare, "a long, b long").distinct()
@@ -345,21 +369,22 @@ def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_col: s
     rows = texts_of(docs, id_col, text_col)
     first = durable(documents_and_sketch(rows, size))
     documents = first.filter("part IS NULL").select("doc_id", "n", "node")
-    classes = spark.sparkContext.broadcast(rarity_classes(first.filter("part IS NOT NULL")))
+    shingles = documents.agg(F.sum("n").alias("n")).first()["n"] or 0
+    classes = spark.sparkContext.broadcast(rarity_classes(first.filter("part IS NOT NULL"), shingles))
     table = durable(prefixes(rows, size, percent, classes))
     total = table.agg(F.sum(F.octet_length("prefix") / 8).alias("n")).first()["n"] or 0
     index = durable(prefix_index(table, int(total // SLICE_ROWS) + 1, classes))
     nodes = table.select("node", "n", "matches", (F.octet_length("prefix") / 8).cast("long").alias("reach")).distinct()
     pairs = index.filter("token IS NULL").groupBy("a", "b").agg(F.sum("shared").alias("shared"))
     long_lists = index.filter("token IS NOT NULL").select("token", "a")
-    found = durable(likely(pairs, nodes, percent).union(chained(long_lists)).distinct())
+    found = durable(likely(pairs, nodes, percent).union(chained(long_lists, nodes, percent)).distinct())
     long_nodes = long_lists.select(F.col("a").alias("node"))
     wanted = durable(found.select(F.col("a").alias("node")).union(found.select("b")).union(long_nodes).distinct())
     texts = durable(texts_of_nodes(rows, wanted, size))
     links = durable(verified(found, texts, size, percent))
     roots = connected(links)
     prefix_table = table.join(long_nodes.distinct(), "node", "left_semi").dropDuplicates(["node"])
-    more = verified(across(long_lists, roots, prefix_table, percent), texts, size, percent)
+    more = verified(across(long_lists, roots, prefix_table, percent, classes), texts, size, percent)
     return documents, durable(links.union(more))
 
 
