@@ -24,8 +24,9 @@ from logloom.session import durable
 SHINGLE, PERCENT = 4, 85
 # Counters of the sketch that orders shingles; their number bounds what is broadcast, not what is counted.
 SKETCH_BITS, SKETCH_PARTS = 24, 256
-# Lists of a shingle with more documents than this are compared by components instead of by pairs.
-SMALL_LIST = 32
+# Lists of a shingle with more documents than this are compared by components instead of by pairs: there the
+# prefix is lengthened to the whole set.
+SMALL_LIST = 12
 # Orders in which longer lists are chained first.
 ORDERS = 8
 # Rows of one block of a longer list, and shingles of one slice of the prefix index.
@@ -304,10 +305,12 @@ def chained(long_lists: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def across(long_lists: DataFrame, roots: DataFrame, table: DataFrame, percent: int, classes) -> DataFrame:
-    """Candidates (a, b) of long lists between documents that are not connected yet.
+def across(long_lists: DataFrame, roots: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) inside long lists between documents that are not connected yet.
 
-    The lists are compared in pairs of blocks; a pair comes from the first shingle that its prefixes share.
+    Here candidates are dearest, so prefixes are lengthened to the whole sets: what two documents share is
+    then exact. The lists are compared in pairs of blocks; each gives links that join its components, at
+    most one less than it has documents.
     """
     rooted = long_lists.join(roots.withColumnRenamed("node", "a"), "a", "left").select(
         "token", F.col("a").alias("node"), F.coalesce("root", "a").alias("root")
@@ -317,46 +320,35 @@ def across(long_lists: DataFrame, roots: DataFrame, table: DataFrame, percent: i
     rows = rooted.join(open_lists, "token").withColumn("mine", F.pmod(F.xxhash64("node", "token"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("token", "node", "root", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-    loaded = rows.join(table, "node")
 
     def compare(part: pa.Table) -> pa.Table:
-        token = np.int64(part.column("token")[0].as_py()).view(np.uint64)
         i, j = part.column("i")[0].as_py(), part.column("j")[0].as_py()
-        nodes, root, mine, n, matches = (
-            part.column(c).to_numpy().astype(np.int64) for c in ("node", "root", "mine", "n", "matches")
-        )
-        lists = [np.frombuffer(b, np.uint64) for b in part.column("prefix").to_pylist()]
-        reach = np.array([len(x) for x in lists])
-        flat = np.concatenate(lists)
-        owner = np.repeat(np.arange(len(lists)), reach)
-        tokens, place, counts = np.unique(flat, return_inverse=True, return_counts=True)
-        # Columns are the shingles of several prefixes, in the common order of shingles.
-        often = np.flatnonzero(counts > 1)
-        kinds = classes.value[(tokens[often] >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-        often = often[np.lexsort((tokens[often], kinds))]
-        column = np.full(len(tokens), -1)
-        column[often] = np.arange(len(often))
-        place = column[place]
-        has = np.zeros((len(lists), len(often)), np.float32)
-        has[owner[place >= 0], place[place >= 0]] = 1
-        out_a, out_b = [], []
-        this = np.flatnonzero(tokens[often] == token)
-        for at in range(len(lists) if len(this) else 0):
-            rest = np.flatnonzero((root != root[at]) & (nodes > nodes[at]) & ((mine != mine[at]) if i != j else True))
-            rest = rest[100 * np.minimum(n[rest], n[at]) >= percent * np.maximum(n[rest], n[at])]
-            if not len(rest):
-                continue
-            shared = (has[rest] @ has[at]).astype(np.int64)
-            needed = -(-percent * (n[rest] + n[at]) // (100 + percent))
-            left = np.maximum(n[rest] - reach[rest], n[at] - reach[at])
-            rest = rest[(shared >= np.minimum(matches[rest], matches[at])) & (shared + left >= needed)]
-            if len(rest):
-                rest = rest[(has[rest] * has[at]).argmax(axis=1) == this[0]]
-                out_a += [nodes[at]] * len(rest)
-                out_b += nodes[rest].tolist()
-        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
-
-    return loaded.groupBy("token", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+        nodes, root, mine = (part.column(c).to_numpy().astype(np.int64) for c in ("node", "root", "mine"))
+        found: list[tuple[int, int]] = []
+        if len(np.unique(root)) > 1:
+            sets = [shingle_set(zlib.decompress(p).split(), size) for p in part.column("packed").to_pylist()]
+            n = np.array([len(s) for s in sets])
+            tokens, place, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+            owner = np.repeat(np.arange(len(sets)), n)
+            column = np.cumsum(counts > 1) - 1
+            often = counts[place] > 1
+            has = np.zeros((len(sets), int((counts > 1).sum())), np.float32)
+            has[owner[often], column[place[often]]] = 1
+            # Pairs inside the largest component need no look.
+            names, sizes = np.unique(root, return_counts=True)
+            others = np.flatnonzero(root != names[sizes.argmax()])
+            for step in range(0, len(others), 256):
+                some = others[step : step + 256]
+                products = (has[some] @ has.T).astype(np.int64)
+                for at, shared in zip(some, products):
+                    similar = (100 * shared >= percent * (n + n[at] - shared)) & (root != root[at])
+                    for other in np.flatnonzero(similar & ((mine != mine[at]) if i != j else True)):
+                        if root[other] != root[at]:
+                            found.append((nodes[at], nodes[other]))
+                            root[root == root[other]] = root[at]
+        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+
+    return rows.join(texts, "node").groupBy("token", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
 def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -383,8 +375,7 @@ def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_col: s
     texts = durable(texts_of_nodes(rows, wanted, size))
     links = durable(verified(found, texts, size, percent))
     roots = connected(links)
-    prefix_table = table.join(long_nodes.distinct(), "node", "left_semi").dropDuplicates(["node"])
-    more = verified(across(long_lists, roots, prefix_table, percent, classes), texts, size, percent)
+    more = across(long_lists, roots, texts, size, percent)
     return documents, durable(links.union(more))
 
 
