@@ -1,26 +1,27 @@
-"""Online template clustering in line order, by bounded chunks that are merged afterwards.
+"""Online template clustering in line order.
 
-The published algorithm visits lines one after another. Lines of one source and token count
-form an independent stream, and a stream is cut into chunks of bounded size. Chunks cluster
-in parallel; then their templates, far fewer than lines, are clustered the same way until
-one chunk is left. A stream that fits one chunk gives exactly the sequential result.
+The published algorithm visits lines one after another. Lines of one source and token count form an
+independent stream. A stream is sorted by line and read through an iterator that holds its clusters, not
+its lines: the result does not depend on batch size or partitioning, and every size gives the result of
+the plain sequential pass.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logloom.functions.text import WILDCARD, event_id
-from logloom.operators.skew import lookup_join, number_within
+from logloom.operators.skew import lookup_join
 from logloom.operators.templates import routed
 from logloom.session import durable
 
 # Least similarity of a line and its cluster, most branches of one level.
 SIMILARITY = 0.5
 BRANCHES = 100
-CHUNK_LINES = 20_000
 STREAM = ["source", "n_tokens"]
 
 
@@ -45,75 +46,71 @@ class _Branches:
         return len(self.members) + reserved < BRANCHES
 
 
-def cluster_in_order(token_lists: list[list[str]], similarity: float = SIMILARITY) -> list[str]:
-    """Final template of every line, for lines of one token count in their order."""
-    branches, templates, owner = _Branches(), [], []
-    for words in token_lists:
+class Clusters:
+    """Templates of one stream so far, in the order of their first lines."""
+
+    def __init__(self, similarity: float = SIMILARITY) -> None:
+        self.similarity, self.branches = similarity, _Branches()
+        self.templates: list[list[str]] = []
+
+    def add(self, words: list[str]) -> int:
+        """Number of the cluster that takes the line; its template is widened to cover it."""
         best, best_rank = -1, (-1.0, -1)
         if len(words) > 1:
-            for number in branches.search(words[0]):
-                template = templates[number]
-                holes = template.count(WILDCARD)
+            for number in self.branches.search(words[0]):
+                template = self.templates[number]
                 same = sum(a == b and a != WILDCARD for a, b in zip(template, words))
-                rank = (same / len(words), holes)
+                rank = (same / len(words), template.count(WILDCARD))
                 if rank > best_rank:
                     best, best_rank = number, rank
-        if best_rank[0] < similarity:
-            best = len(templates)
-            templates.append(list(words))
+        if best_rank[0] < self.similarity:
+            best = len(self.templates)
+            self.templates.append(list(words))
             if len(words) > 1:
-                branches.file(words[0], best)
+                self.branches.file(words[0], best)
         else:
-            templates[best] = [a if a == b else WILDCARD for a, b in zip(templates[best], words)]
-        owner.append(best)
-    return [" ".join(templates[number]) for number in owner]
+            self.templates[best] = [a if a == b else WILDCARD for a, b in zip(self.templates[best], words)]
+        return best
+
+
+def cluster_in_order(token_lists: list[list[str]], similarity: float = SIMILARITY) -> list[str]:
+    """Final template of every line, for lines of one token count in their order."""
+    clusters = Clusters(similarity)
+    owner = [clusters.add(list(words)) for words in token_lists]
+    return [" ".join(clusters.templates[number]) for number in owner]
+
+
+FOUND = "source string, n_tokens int, ord long, cluster int, template string"
 
 
-def _cluster_chunk(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("ord", kind="stable")
-    rows["template"] = cluster_in_order([list(t) for t in rows["tokens"]])
-    return rows[["source", "n_tokens", "ord", "template"]]
+def _read_streams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sorted lines of whole streams: each line's cluster, then a row per cluster with its last template."""
+    stream, clusters = None, Clusters()
 
+    def templates() -> pd.DataFrame:
+        rows = [(*stream, None, i, " ".join(t)) for i, t in enumerate(clusters.templates)]
+        return pd.DataFrame(rows, columns=["source", "n_tokens", "ord", "cluster", "template"]).astype({"ord": "Int64"})
 
-def _cluster(rows: DataFrame, chunk: int) -> DataFrame:
-    """rows: source, n_tokens, ord, tokens; adds a template per row."""
-    numbered = number_within(rows, STREAM, "ord", "_k")
-    chunked = numbered.withColumn("_chunk", F.floor((F.col("_k") - 1) / chunk))
-    return (
-        chunked.select(*STREAM, "ord", "tokens", "_chunk")
-        .groupBy(*STREAM, "_chunk")
-        .applyInPandas(_cluster_chunk, "source string, n_tokens int, ord long, template string")
-    )
+    for batch in batches:
+        numbers = []
+        for source, size, words in zip(batch["source"], batch["n_tokens"], batch["tokens"]):
+            if (source, size) != stream:
+                if stream is not None:
+                    yield templates()
+                stream, clusters = (source, size), Clusters()
+            numbers.append(clusters.add(list(words)))
+        yield batch[["source", "n_tokens", "ord"]].assign(cluster=numbers, template=None)
+    if stream is not None:
+        yield templates()
 
 
-def drain(lines: DataFrame, chunk: int = CHUNK_LINES, masked: bool = True) -> DataFrame:
+def drain(lines: DataFrame, masked: bool = True) -> DataFrame:
     """Lines (source, line_id, content) with the template and event id of their cluster."""
     tokenised = routed(lines, masked).select("source", "n_tokens", F.col("line_id").alias("ord"), "tokens")
-    found = durable(_cluster(tokenised, chunk))
-    while True:
-        kinds = durable(found.groupBy(*STREAM, "template").agg(F.min("ord").alias("ord")))
-        sizes = found.groupBy(*STREAM).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > chunk)
-        open_streams = durable(sizes.select(*STREAM))
-        if open_streams.isEmpty():
-            break
-        tokenised = kinds.join(open_streams, STREAM, "left_semi").select(
-            *STREAM, "ord", F.split("template", " ").alias("tokens")
-        )
-        merged = _cluster(tokenised, chunk).withColumnRenamed("template", "_final")
-        renames = (
-            kinds.join(merged, [*STREAM, "ord"])
-            .filter(F.col("template") != F.col("_final"))
-            .select(*STREAM, "template", "_final")
-        )
-        before = kinds.join(open_streams, STREAM, "left_semi").groupBy(*STREAM).count()
-        found = durable(
-            lookup_join(found, renames, [*STREAM, "template"])
-            .withColumn("template", F.coalesce("_final", "template"))
-            .drop("_final")
-        )
-        # Streams whose templates fit one chunk are settled; larger ones shrink further.
-        if before.filter(F.col("count") > chunk).isEmpty() or renames.isEmpty():
-            break
+    ordered = tokenised.repartition(*STREAM).sortWithinPartitions(*STREAM, "ord")
+    found = durable(ordered.mapInPandas(_read_streams, FOUND))
+    templates = found.filter("template IS NOT NULL").select(*STREAM, "cluster", "template")
+    placed = lookup_join(found.filter("template IS NULL").drop("template"), templates, [*STREAM, "cluster"], "inner")
     return lines.join(
-        found.select("source", F.col("ord").alias("line_id"), "n_tokens", "template"), ["source", "line_id"]
+        placed.select("source", F.col("ord").alias("line_id"), "n_tokens", "template"), ["source", "line_id"]
     ).withColumn("event_id", event_id(F.col("template")))

@@ -377,7 +377,13 @@ def property_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*keys, F.explode_outer("properties").alias("key", "value"))
 
 
-def hit_counts(graph: Graph, k: int = 10) -> DataFrame:
+def hit_counts(graph: Graph) -> DataFrame:
+    """Hits of every rule."""
+    return graph.hits
+
+
+def top_hits(graph: Graph, k: int = 10) -> DataFrame:
+    """The rules with the most hits, for a printed summary."""
     return graph.hits.orderBy(F.desc("hits"), "rule_id").limit(k)
 
 

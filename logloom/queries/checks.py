@@ -390,7 +390,7 @@ def sink_events(spark, sf):
 
     folder = scratch_path(spark, "events")
     sinks.write_events(made.accepted, made.rejected, report(made), [folder, folder + "/"])
-    back = spark.read.schema("alarm_type int, data map<string,string>").json(f"{folder}/{sinks.EVENTS_NAME}")
+    back = read_events(spark, f"{folder}/{sinks.EVENTS_NAME}", arrays=False)
     return back.select("alarm_type", *[F.coalesce(F.try_element_at("data", F.lit(f)), F.lit("")).alias(f) for f in ("src_ip", "dst_ip", "login_account", "time")])
 
 
@@ -402,7 +402,7 @@ def event_json_scan(spark, sf):
     rows.write.json(path)
     from logloom.sources.events import flat_events
 
-    back = spark.read.schema("alarm_type int, data map<string,string>").json(path)
+    back = read_events(spark, path, arrays=False)
     return flat_events(back, ["src_ip", "dst_ip"])
 
 

@@ -12,10 +12,14 @@ AUDIT_DOCUMENT = (
 )
 
 
-def read_events(spark: SparkSession, folder: str, name: str = "*.json") -> DataFrame:
-    """Arrays of contract events below a folder: alarm_type and data as a text map."""
+def read_events(spark: SparkSession, folder: str, name: str = "*.json", arrays: bool = True) -> DataFrame:
+    """Contract events of the files below a folder: alarm_type and data as a text map.
+
+    ``arrays`` reads files that hold one array each, over any number of lines; without it a file holds an
+    event, or an array of events, per line, as this package writes them, and can be split.
+    """
     return (
-        spark.read.option("multiLine", True)
+        spark.read.option("multiLine", arrays)
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", name)
         .option("mode", "DROPMALFORMED")

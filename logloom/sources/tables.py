@@ -36,6 +36,12 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return table.toDF(*names).na.fill("")
 
 
+def file_order(table: DataFrame, out: str = "pos") -> DataFrame:
+    """Adds an order that follows file names, then the place inside the file; for tables just read from files."""
+    place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    return table.withColumn(out, place)
+
+
 def select_columns(table: DataFrame, required: list[str], optional: list[str] = ()) -> DataFrame:
     """Columns by name in any case; a missing optional one is '', a missing required one fails."""
     known = {c.lower(): c for c in table.columns}
@@ -54,7 +60,11 @@ def read_column(spark: SparkSession, path: str, column: str = "Content") -> Data
 
 
 def keyed(table: DataFrame, key: str, order: str | None = None, casefold: bool = False) -> DataFrame:
-    """One row per non-blank key, the last one; columns trimmed, keys optionally lower-cased."""
+    """One row per non-blank key, the last one; columns trimmed, keys optionally lower-cased.
+
+    Without ``order`` the last row is the one that the input holds last, which is only defined for a table
+    of one file; several files need an order column, such as ``file_order`` gives.
+    """
     names = [c for c in table.columns if c != order]
     trimmed = table.select(
         *[strip(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))).alias(c) for c in names],
