@@ -44,6 +44,21 @@ def load_pieces(path: str) -> PieceTable:
     return PieceTable({texts[i]: i for i in matched}, {texts[i]: model.get_score(i) for i in matched}, texts, byte_ids)
 
 
+class UnitIds(dict):
+    """Packed ids of a unit, worked out once while it is remembered."""
+
+    def __init__(self, work) -> None:
+        self.work = work
+
+    def __missing__(self, unit: str) -> bytes:
+        packed = self.work(unit)
+        if len(self) >= CACHED:
+            self.clear()
+        if len(unit) <= 64:
+            self[unit] = packed
+        return packed
+
+
 class Encoder:
     """Encodes and decodes texts; ids of units and verdicts on neighbours are remembered within a bound."""
 
@@ -53,7 +68,11 @@ class Encoder:
         for piece, number in table.ids.items():
             self.automaton.add_word(piece, (number, len(piece)))
         self.automaton.make_automaton()
-        self.units: dict[str, np.ndarray] = {}
+        self.units = UnitIds(self.unit_ids)
+        raw = [text.encode() for text in table.texts]
+        for byte, number in enumerate(table.byte_ids):
+            raw[number] = bytes([byte])
+        self.raw = raw
         self.neighbours: dict[tuple[int, int], bool] = {}
 
     def merge(self, text: str) -> list[str]:
@@ -95,7 +114,7 @@ class Encoder:
             end -= best[end][1]
         return path[::-1]
 
-    def unit_ids(self, unit: str) -> np.ndarray:
+    def unit_ids(self, unit: str) -> bytes:
         if SPACE * 2 in unit:  # runs of spaces have equal scores, which only the definition orders
             ends, end = [], 0
             for part in self.merge(unit):
@@ -106,33 +125,18 @@ class Encoder:
         ids: list[int] = []
         for end, piece in ends:
             ids.extend([piece] if piece != UNKNOWN else [self.table.byte_ids[b] for b in unit[end - 1].encode()])
-        return np.array(ids, np.int32)
+        return np.array(ids, np.int32).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
         """Piece ids of a whole text; an empty text has none."""
         if not text:
             return np.empty(0, np.int32)
-        found = []
-        for unit in UNIT.findall(SPACE + text.replace(" ", SPACE)):
-            ids = self.units.get(unit)
-            if ids is None:
-                ids = self.unit_ids(unit)
-                if len(self.units) >= CACHED:
-                    self.units.clear()
-                if len(unit) <= 64:
-                    self.units[unit] = ids
-            found.append(ids)
-        return np.concatenate(found)
+        units = UNIT.findall(SPACE + text.replace(" ", SPACE))
+        return np.frombuffer(b"".join(map(self.units.__getitem__, units)), np.int32)
 
     def decode(self, ids) -> str:
         """The text of piece ids: bytes are joined, space marks become spaces, the added first one goes."""
-        raw, first_byte = bytearray(), min(self.table.byte_ids)
-        for number in ids:
-            place = number - first_byte
-            if 0 <= place < 256 and self.table.byte_ids[place] == number:
-                raw.append(place)
-            else:
-                raw += self.table.texts[number].encode()
+        raw = b"".join(map(self.raw.__getitem__, ids))
         return raw.decode("utf-8", "replace").replace(SPACE, " ")[1:]
 
 
