@@ -159,14 +159,18 @@ def score_documents(
             return pa.table([pa.nulls(0, texts.schema.field("doc_id").type), *(pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64()))], names=names)
         fold = texts.column("block")[0].as_py() & 1
         levels = [text_grams(raw, order) for raw in texts.column("text").to_pylist()]
-        every = np.unique(np.concatenate([g for grams in levels for g in grams]))
+        every, place = np.unique(np.concatenate([g for grams in levels for g in grams]), return_inverse=True)
         replies = dict(zip(found.column("slice").to_pylist(), found.column("counts").to_pylist()))
         counts = np.zeros(len(every), np.float64)
         for number, grams, places in sliced(every, np.arange(len(every)), slices):
             counts[places] = np.frombuffer(zlib.decompress(replies[number]), np.uint64)
         out = []
+        flat, at = counts[place], 0
         for grams in levels:
-            known = [counts[np.searchsorted(every, g)] for g in grams]
+            known = []
+            for g in grams:
+                known.append(flat[at : at + len(g)])
+                at += len(g)
             scores = log_scores(grams, known, totals[1 - fold], alpha)
             full = int((known[-1] > 0).sum())
             out.append((len(grams[0]), len(grams[0]) - full, float(scores.sum())))
