@@ -2,8 +2,9 @@
 
 A passage of ``length`` words holds a minimiser, chosen by content alone, so equal passages hold the same
 one. Sparse suffixes are sorted by their first half passage; neighbours that agree show where a passage
-may repeat. From there the match is extended left and right word by word: every full-length stretch around
-such a suffix is compared, and the ones found in another document are joined to the longest spans.
+may repeat. From there the match is extended left and right: the segment of all full-length stretches around such
+a suffix is compared first, then, where segments of a seed differ, stretch by stretch; what is found in another
+document is joined to the longest spans.
 """
 
 from __future__ import annotations
@@ -17,8 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logloom.llm.common import ready, whole_text
-from logloom.llm.hashing import as_long, digest, gram_hashes, lower_words, mixed, word_hashes
-from logloom.session import durable
+from logloom.llm.hashing import PRIME, as_long, digest, gram_hashes, lower_words, mixed, word_hashes
+from logloom.session import durable, scratch_path
 
 LENGTH = 50
 SLICE_ROWS = 500_000
@@ -100,9 +101,11 @@ def repeated_seeds(rows: DataFrame, length: int, slices: int) -> DataFrame:
     return rows.mapInArrow(deal, "slice long, packed binary").groupBy("slice").applyInArrow(neighbours, "seed long")
 
 
-def seed_filter(seeds: DataFrame, bits: int) -> np.ndarray:
-    place = f"shiftrightunsigned(seed, {64 - bits})"
-    words = seeds.select(F.expr(f"cast(shiftright({place}, 6) as int)").alias("w"), F.expr(f"shiftleft(1L, cast({place} & 63 as int))").alias("bit"))
+def key_filter(keys: DataFrame, count: int) -> np.ndarray:
+    """A bit per leading part of the one column ``key``; a power of two of bits, at least 16 for each key up to the bound."""
+    bits = min(max((count * 16).bit_length(), MIN_BITS), MAX_BITS)
+    place = f"shiftrightunsigned(key, {64 - bits})"
+    words = keys.select(F.expr(f"cast(shiftright({place}, 6) as int)").alias("w"), F.expr(f"shiftleft(1L, cast({place} & 63 as int))").alias("bit"))
     found = words.groupBy("w").agg(F.bit_or("bit").alias("bits"))
     filled = np.zeros(1 << (bits - 6), np.int64)
     # At most 2**21 rows of twelve bytes by the bound on the filter.
@@ -111,37 +114,92 @@ def seed_filter(seeds: DataFrame, bits: int) -> np.ndarray:
     return filled
 
 
-def candidate_stretches(rows: DataFrame, length: int, shared, bits: int) -> DataFrame:
-    """(stretch, node, start) of the stretches around sparse suffixes that the filter lets through."""
+def passes(filled: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    bits = len(filled).bit_length() + 5
+    at = (keys.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+    return ((filled[at >> 6] >> (at & 63)) & 1).astype(bool)
+
+
+def shared_segments(hashes: np.ndarray, length: int, filled: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(seed, segment, start, size) of the sparse suffixes that the filter lets through, and the stretches' hashes.
+
+    A suffix stands for ``size`` stretches from ``start`` on; the segment digests all words that they cover.
+    """
+    _, seeds, owner = sparse_starts(hashes, length)
+    stretches = gram_hashes(hashes, length)
+    start = np.flatnonzero(np.diff(owner, prepend=-1))
+    size = np.diff(start, append=len(owner))
+    segment = mixed(stretches[start] * PRIME + stretches[start + size - 1] + size.astype(np.uint64))
+    may = passes(filled, seeds)
+    return seeds[may], segment[may], start[may], size[may], stretches
+
+
+def texts_once(make, columns: dict[str, pa.DataType]):
+    """A function on batches that calls ``make(hashes, node)`` for the texts of a task and yields the arrays it gives.
+
+    Copies in one task are looked at once; the set stays small, and forgetting repeats work only.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
         for batch in batches:
-            found, nodes, places = [], [], []
+            found = []
             for raw in batch.column(1).to_pylist():
                 hashes = word_hashes(lower_words(raw))
-                _, seeds, owner = sparse_starts(hashes, length)
-                if not len(seeds):
-                    continue
-                at = (seeds >> np.uint64(64 - bits)).astype(np.int64)
-                may = ((shared.value[at >> 6] >> (at & 63)) & 1).astype(bool)[owner]
                 node = digest(hashes)
-                if not may.any() or node in done:
+                if node in done:
                     continue
-                # Copies in one task are looked at once; the set stays small, and forgetting repeats work only.
                 done.add(node)
                 if len(done) > 100_000:
                     done.clear()
-                starts = np.flatnonzero(may)
-                found.append(as_long(gram_hashes(hashes, length)[starts]))
-                nodes.append(np.full(len(starts), node, np.int64))
-                places.append(starts.astype(np.int32))
+                arrays = make(hashes, node)
+                if arrays is not None:
+                    found.append(arrays)
             if found:
-                columns = [np.concatenate(x) for x in (found, nodes, places)]
-                for at in range(0, len(columns[0]), 10_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 10_000]) for c in columns], names=["stretch", "node", "start"])
+                whole = [np.concatenate(x) for x in zip(*found)]
+                for at in range(0, len(whole[0]), 10_000):
+                    parts = [pa.array(c[at : at + 10_000], kind) for c, kind in zip(whole, columns.values())]
+                    yield pa.RecordBatch.from_arrays(parts, names=list(columns))
+
+    return run
+
+
+def segments_of(rows: DataFrame, length: int, shared) -> DataFrame:
+    """(seed, segment, node, start, size) of the suffixes whose seed may start in several documents."""
+
+    def make(hashes: np.ndarray, node: int):
+        if len(hashes) < length:
+            return None
+        seeds, segments, start, size, _ = shared_segments(hashes, length, shared.value)
+        return as_long(seeds), as_long(segments), np.full(len(start), node, np.int64), start, size
+
+    columns = {"seed": pa.int64(), "segment": pa.int64(), "node": pa.int64(), "start": pa.int32(), "size": pa.int32()}
+    return rows.mapInArrow(texts_once(make, columns), "seed long, segment long, node long, start int, size int")
+
+
+def stretches_of(rows: DataFrame, length: int, shared, wanted) -> DataFrame:
+    """(stretch, node, start) of the stretches of the wanted segments."""
+
+    def make(hashes: np.ndarray, node: int):
+        if len(hashes) < length:
+            return None
+        _, segments, start, size, stretches = shared_segments(hashes, length, shared.value)
+        take = passes(wanted.value, as_long(segments) ^ np.int64(node))
+        start, size = start[take], size[take]
+        if not len(start):
+            return None
+        places = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+        return as_long(stretches[places]), np.full(len(places), node, np.int64), places
+
+    columns = {"stretch": pa.int64(), "node": pa.int64(), "start": pa.int32()}
+    return rows.mapInArrow(texts_once(make, columns), "stretch long, node long, start int")
+
 
-    return rows.mapInArrow(run, "stretch long, node long, start int")
+def written(df: DataFrame) -> DataFrame:
+    """The same rows, read from Parquet in the shared folder."""
+    path = scratch_path(df.sparkSession, "suffixes")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def joined_spans(starts: list[int], length: int) -> list[tuple[int, int]]:
@@ -166,17 +224,30 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_
     documents = durable(documents_of(rows))
     words = documents.agg(F.sum("n_words").alias("n")).first()["n"] or 0
     seeds = durable(repeated_seeds(rows, length, int(words * 4 // length // SLICE_ROWS) + 1))
-    bits = min(max(int(seeds.count() * 16).bit_length(), MIN_BITS), MAX_BITS)
-    shared = spark.sparkContext.broadcast(seed_filter(seeds, bits))
-    stretches = durable(candidate_stretches(rows, length, shared, bits))
+    shared = spark.sparkContext.broadcast(key_filter(seeds.select(F.col("seed").alias("key")), seeds.count()))
+    segments = written(segments_of(rows, length, shared))
+    # A segment of two documents settles all its stretches. One of a single document may still share some of them with
+    # another segment of the same seed: of such seeds, one or two documents of each segment send their stretches.
+    kinds = written(segments.groupBy("segment").agg(F.min("seed").alias("seed"), F.min("node").alias("lo"), F.max("node").alias("hi")))
+    of_seed = kinds.groupBy("seed").agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.col("lo") == F.col("hi")).alias("single"))
+    unsettled = written(of_seed.filter("n > 1 AND single").select("seed"))
+    senders = F.when(F.col("lo") == F.col("hi"), F.array("lo")).otherwise(F.array("lo", "hi"))
+    keys = written(kinds.join(unsettled, "seed", "left_semi").select("segment", F.explode(senders).alias("node")).selectExpr("segment ^ node AS key"))
+    wanted = spark.sparkContext.broadcast(key_filter(keys, keys.count()))
+    stretches = written(stretches_of(rows, length, shared, wanted))
     common = stretches.groupBy("stretch").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("stretch")
-    starts = stretches.join(common, "stretch").select("node", "start").distinct()
+    single = stretches.join(common, "stretch").select("node", "start", F.lit(1).alias("size"))
+    settled = segments.join(kinds.filter("lo <> hi").select("segment"), "segment").select("node", "start", "size")
+    starts = settled.union(single).distinct()
     # The starts of one document are bounded by its own words.
-    spans = starts.groupBy("node").agg(F.collect_list("start").alias("starts"))
+    spans = starts.groupBy("node").agg(F.collect_list("start").alias("starts"), F.collect_list("size").alias("sizes"))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [[f"{a}:{b}" for a, b in joined_spans(s, length)] for s in batch.column(1).to_pylist()]
+            texts = []
+            for starts, sizes in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                every = [at for start, size in zip(starts, sizes) for at in range(start, start + size)]
+                texts.append([f"{a}:{b}" for a, b in joined_spans(every, length)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.list_(pa.string()))], names=["node", "spans"])
 
     spans = spans.mapInArrow(join, "node long, spans array<string>")
