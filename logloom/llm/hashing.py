@@ -29,9 +29,15 @@ def gram_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
     count = len(hashes) - size + 1
     if count <= 0:
         return np.empty(0, np.uint64)
-    total = hashes[:count].copy()
-    for offset in range(1, size):
-        total = total * PRIME + hashes[offset : offset + count]
+    # The hash of a + b words is the hash of the first a times PRIME ** b, plus that of the next b: as many steps as
+    # ``size`` has bits, from the highest on.
+    total, width = hashes, 1
+    for bit in bin(size)[3:]:
+        total = total[:-width] * np.uint64(pow(int(PRIME), width, 1 << 64)) + total[width:]
+        width *= 2
+        if bit == "1":
+            total = total[:-1] * PRIME + hashes[width:]
+            width += 1
     return mixed(total + np.uint64(size))
 
 

@@ -13,7 +13,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +22,8 @@ from logloom.session import durable, scratch_path
 
 LENGTH = 50
 SLICE_ROWS = 500_000
+# The half of a seed that gives way to its place: texts have fewer than 2**32 words.
+LOW = np.uint64(0xFFFFFFFF)
 # Bits of the filter of repeated suffixes; its size is bounded, and a full filter costs time but no result.
 MIN_BITS, MAX_BITS = 16, 27
 
@@ -33,8 +34,16 @@ def sparse_starts(hashes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarr
     span = length - length // 2 + 1
     if len(seeds) < span:
         return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)
-    least = np.arange(len(seeds) - span + 1) + sliding_window_view(seeds, span).argmin(axis=1)
-    starts, owner = np.unique(least, return_inverse=True)
+    # The least of each window, its place in the low half: windows of doubled width, then two that overlap.
+    least, width = (seeds & ~LOW) | np.arange(len(seeds), dtype=np.uint64), 1
+    while width < span:
+        step = min(width, span - width)
+        least = np.minimum(least[:-step], least[step:])
+        width += step
+    least = (least & LOW).astype(np.int64)
+    # Places never go back from one window to the next.
+    first = np.diff(least, prepend=-1) > 0
+    starts, owner = least[first], np.cumsum(first) - 1
     return starts, seeds[starts], owner
 
 
@@ -120,18 +129,22 @@ def passes(filled: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return ((filled[at >> 6] >> (at & 63)) & 1).astype(bool)
 
 
-def shared_segments(hashes: np.ndarray, length: int, filled: np.ndarray) -> tuple[np.ndarray, ...]:
+def shared_segments(hashes: np.ndarray, length: int, filled: np.ndarray) -> tuple[np.ndarray, ...] | None:
     """(seed, segment, start, size) of the sparse suffixes that the filter lets through, and the stretches' hashes.
 
-    A suffix stands for ``size`` stretches from ``start`` on; the segment digests all words that they cover.
+    A suffix stands for ``size`` stretches from ``start`` on; the segment digests all words that they cover. None if
+    the filter lets nothing through.
     """
     _, seeds, owner = sparse_starts(hashes, length)
+    may = passes(filled, seeds)
+    if not may.any():
+        return None
     stretches = gram_hashes(hashes, length)
     start = np.flatnonzero(np.diff(owner, prepend=-1))
-    size = np.diff(start, append=len(owner))
+    size = np.diff(start, append=len(owner))[may]
+    start = start[may]
     segment = mixed(stretches[start] * PRIME + stretches[start + size - 1] + size.astype(np.uint64))
-    may = passes(filled, seeds)
-    return seeds[may], segment[may], start[may], size[may], stretches
+    return seeds[may], segment, start, size, stretches
 
 
 def texts_once(make, columns: dict[str, pa.DataType]):
@@ -168,9 +181,10 @@ def segments_of(rows: DataFrame, length: int, shared) -> DataFrame:
     """(seed, segment, node, start, size) of the suffixes whose seed may start in several documents."""
 
     def make(hashes: np.ndarray, node: int):
-        if len(hashes) < length:
+        found = shared_segments(hashes, length, shared.value)
+        if found is None:
             return None
-        seeds, segments, start, size, _ = shared_segments(hashes, length, shared.value)
+        seeds, segments, start, size, _ = found
         return as_long(seeds), as_long(segments), np.full(len(start), node, np.int64), start, size
 
     columns = {"seed": pa.int64(), "segment": pa.int64(), "node": pa.int64(), "start": pa.int32(), "size": pa.int32()}
@@ -178,12 +192,13 @@ def segments_of(rows: DataFrame, length: int, shared) -> DataFrame:
 
 
 def stretches_of(rows: DataFrame, length: int, shared, wanted) -> DataFrame:
-    """(stretch, node, start) of the stretches of the wanted segments."""
+    """(stretch, node, start) of the stretches of the wanted segments; the nodes that have one are keys as well."""
 
     def make(hashes: np.ndarray, node: int):
-        if len(hashes) < length:
+        found = shared_segments(hashes, length, shared.value) if passes(wanted.value, np.array([node])).any() else None
+        if found is None:
             return None
-        _, segments, start, size, stretches = shared_segments(hashes, length, shared.value)
+        _, segments, start, size, stretches = found
         take = passes(wanted.value, as_long(segments) ^ np.int64(node))
         start, size = start[take], size[take]
         if not len(start):
@@ -232,7 +247,8 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_
     of_seed = kinds.groupBy("seed").agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.col("lo") == F.col("hi")).alias("single"))
     unsettled = written(of_seed.filter("n > 1 AND single").select("seed"))
     senders = F.when(F.col("lo") == F.col("hi"), F.array("lo")).otherwise(F.array("lo", "hi"))
-    keys = written(kinds.join(unsettled, "seed", "left_semi").select("segment", F.explode(senders).alias("node")).selectExpr("segment ^ node AS key"))
+    keys = kinds.join(unsettled, "seed", "left_semi").select("segment", F.explode(senders).alias("node"))
+    keys = written(keys.select(F.explode(F.array(F.col("segment").bitwiseXOR(F.col("node")), "node")).alias("key")))
     wanted = spark.sparkContext.broadcast(key_filter(keys, keys.count()))
     stretches = written(stretches_of(rows, length, shared, wanted))
     common = stretches.groupBy("stretch").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("stretch")
