@@ -19,7 +19,7 @@ PRE_TOKEN = (
 )
 # No pre-token crosses the edge of such a unit, so counts of units add up to the text's count.
 UNIT = rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
-CACHED_UNITS = 300_000
+CACHED_STRINGS = 500_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -29,22 +29,44 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
-def merged(word: bytes, ranks: dict[tuple[bytes, bytes], int]) -> list[bytes]:
-    """The tokens of one pre-token: the pair of lowest rank joins first, the leftmost among equals."""
-    parts = [word[i : i + 1] for i in range(len(word))]
-    while len(parts) > 1:
-        rank, at = min((ranks.get(pair, len(ranks)), i) for i, pair in enumerate(zip(parts, parts[1:])))
-        if rank == len(ranks):
-            break
-        parts[at : at + 2] = [parts[at] + parts[at + 1]]
-    return parts
+@dataclass(frozen=True)
+class Merges:
+    """Numbers of tokens: of each byte, and of what each merge makes, and the rank of the merge of a pair of numbers."""
+
+    single: list[int]
+    ranks: dict[int, int]
+    made: list[int]
+
+    def pieces(self, word: bytes) -> int:
+        """Tokens of one pre-token: the pair of lowest rank joins first, the leftmost among equals."""
+        parts = [self.single[b] for b in word]
+        rank_of, none = self.ranks.get, len(self.made)
+        known = [rank_of(a << 32 | b, none) for a, b in zip(parts, parts[1:])]
+        while known and (rank := min(known)) < none:
+            at = known.index(rank)
+            parts[at] = self.made[rank]
+            del parts[at + 1], known[at]
+            # Only the pairs on both sides of the new part are others than before.
+            if at:
+                known[at - 1] = rank_of(parts[at - 1] << 32 | parts[at], none)
+            if at < len(known):
+                known[at] = rank_of(parts[at] << 32 | parts[at + 1], none)
+        return len(parts)
+
+
+def numbered_merges(pairs: list[tuple[bytes, bytes]]) -> Merges:
+    numbers = {bytes([b]): b for b in range(256)}
+    for a, b in pairs:
+        numbers.setdefault(a + b, len(numbers))
+    ranks = {numbers[a] << 32 | numbers[b]: i for i, (a, b) in enumerate(pairs)}
+    return Merges(list(range(256)), ranks, [numbers[a + b] for a, b in pairs])
 
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """Merge ranks, the strings proven to be one token alone, and the special strings."""
+    """Merges, the strings proven to be one token alone, and the special strings."""
 
-    ranks: dict[tuple[bytes, bytes], int]
+    merges: Merges
     whole: frozenset[bytes]
     specials: tuple[str, ...]
 
@@ -56,33 +78,42 @@ def load_vocabulary(path: str) -> Vocabulary:
     letters = byte_letters()
     raw = lambda text: bytes(letters[c] for c in text)
     pairs = [p.split(" ") if isinstance(p, str) else p for p in content["model"]["merges"]]
-    ranks = {(raw(a), raw(b)): i for i, (a, b) in enumerate(pairs)}
+    merges = numbered_merges([(raw(a), raw(b)) for a, b in pairs])
     specials = tuple(t["content"] for t in content["added_tokens"])
     strings = [raw(s) for s in content["model"]["vocab"] if s not in specials]
-    return Vocabulary(ranks, frozenset(s for s in strings if len(merged(s, ranks)) == 1), specials)
+    return Vocabulary(merges, frozenset(s for s in strings if merges.pieces(s) == 1), specials)
 
 
-class Counter(dict):
-    """Tokens of a unit, worked out once while it is remembered."""
+class Remembered(dict):
+    """What a function gives for a string, worked out once while it is remembered; long strings are not."""
 
-    def __init__(self, vocabulary: Vocabulary) -> None:
-        self.vocabulary, self.pre_token = vocabulary, regex.compile(PRE_TOKEN)
+    def __init__(self, function) -> None:
+        self.function = function
 
-    def __missing__(self, unit: str) -> int:
-        whole, ranks, total = self.vocabulary.whole, self.vocabulary.ranks, 0
-        for pre_token in self.pre_token.findall(unit):
-            word = pre_token.encode()
-            total += 1 if word in whole else len(merged(word, ranks))
-        if len(self) >= CACHED_UNITS:
+    def __missing__(self, text: str) -> int:
+        found = self.function(text)
+        if len(self) >= CACHED_STRINGS:
             self.clear()
-        if len(unit) <= 64:
-            self[unit] = total
-        return total
+        if len(text) <= 64:
+            self[text] = found
+        return found
+
+
+def unit_counter(vocabulary: Vocabulary) -> Remembered:
+    """Tokens of a unit: whole pre-tokens count one, only the rest is merged."""
+    whole, merges, pre_tokens = vocabulary.whole, vocabulary.merges, regex.compile(PRE_TOKEN).findall
+
+    def tokens(pre_token: str) -> int:
+        word = pre_token.encode()
+        return 1 if word in whole else merges.pieces(word)
+
+    known = Remembered(tokens)
+    return Remembered(lambda unit: sum([known[p] for p in pre_tokens(unit)]))
 
 
 def text_counter(vocabulary: Vocabulary):
     """A function from a text to its number of tokens; special strings inside count as one token."""
-    units, counts = re.compile(UNIT), Counter(vocabulary)
+    units, counts = re.compile(UNIT), unit_counter(vocabulary)
     special = re.compile("|".join(map(re.escape, vocabulary.specials))) if vocabulary.specials else None
 
     def count(text: str) -> int:
