@@ -30,10 +30,8 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table; one with fewer splits than cores is spread over the cores first."""
-    rows = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+    """A given table."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 class Rendered:
@@ -203,10 +201,10 @@ def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line of every document: source, line_id, original_content."""
     docs = table(spark, sf_dir, "documents")
     cells = "doc_id", "source", "posexplode(split(text, chr(10))) AS (pos, original_content)"
-    return docs.selectExpr(*cells).selectExpr("source", "doc_id * 1000000 + pos AS line_id", "original_content")
+    return docs.selectExpr(*cells).selectExpr("source", "doc_id * 4294967296 + pos AS line_id", "original_content")
 
 
-TEXT_LINES = """SELECT source, doc_id * 1000000 + pos - 1 AS line_id, original_content
+TEXT_LINES = """SELECT source, doc_id * 4294967296 + pos - 1 AS line_id, original_content
     FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS original_content,
                  generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)"""
 

@@ -313,9 +313,7 @@ def rule_state(spark, sf):
 
 
 def owners(spark, sf):
-    rows = table(spark, sf, "nation").alias("n").join(
-        F.broadcast(table(spark, sf, "region")), F.expr("n_regionkey = r_regionkey")
-    )
+    rows = table(spark, sf, "nation").join(table(spark, sf, "region"), F.expr("n_regionkey = r_regionkey"))
     return rows.selectExpr(
         "concat('10.200.0.', n_nationkey) AS ip", "n_name AS name", "concat('owner ', n_name) AS owner", "r_name AS department"
     )
@@ -359,7 +357,7 @@ def terminal_logins(spark, sf):
 
 DOC_CELLS = {
     "conv_id": "conv_id",
-    "pos": "conv_id * 1000 + turn",
+    "pos": "conv_id * 4294967296 + turn",
     "timestamp": "concat('2026-07-', lpad(cast(1 + conv_id % 28 as string), 2, '0'), 'T08:', lpad(cast(turn % 60 as string), 2, '0'), ':40.835', CASE WHEN conv_id % 2 = 0 THEN 'Z' ELSE '+08:00' END)",
     "log_type": "concat('type ', role)",
     "op_type": "concat('-op', turn % 3)",

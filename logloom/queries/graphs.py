@@ -479,4 +479,4 @@ def rule_coverage(spark, sf):
     counts = params.agg(*[F.count(clean(F.col(c))).alias(c) for c in names])
     long = counts.select(F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("filled")) for c in names])).alias("x")).select("x.*")
     refs = rule_table(spark, ORDER_RULES)
-    return refs.join(F.broadcast(long), "field", "left").select("rule_id", "field", F.coalesce("filled", F.lit(0)).alias("filled_rows"))
+    return refs.join(long, "field", "left").select("rule_id", "field", F.coalesce("filled", F.lit(0)).alias("filled_rows"))
