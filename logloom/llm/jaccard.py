@@ -139,18 +139,18 @@ def prefixes(rows: DataFrame, size: int, percent: int, classes) -> DataFrame:
     return rows.mapInArrow(run, "node long, n long, matches int, prefix binary")
 
 
-def all_pairs(nodes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> Iterator[np.ndarray]:
-    """Pairs inside runs of the sorted node array, as rows (a, b); runs of one size at a time."""
+def distinct_lists(nodes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Distinct runs of the node array as rows of sorted nodes, and how often each occurs; one size at a time."""
     for m in np.unique(sizes):
         at = starts[sizes == m][:, None] + np.arange(m)[None, :]
-        i, j = np.triu_indices(m, 1)
-        runs = nodes[at]
-        yield np.stack([runs[:, i].ravel(), runs[:, j].ravel()], axis=1)
+        yield np.unique(np.sort(nodes[at], axis=1), axis=0, return_counts=True)
 
 
 def prefix_index(table: DataFrame, slices: int, classes) -> DataFrame:
-    """Rows (a, b, shared) of short lists and rows (token, a) of long ones, b and shared null there.
+    """Rows (nodes, shared) of short lists and rows (token, a) of long ones; the other columns are null.
 
+    A short list is the set of documents that have ``shared`` shingles of this slice in their prefixes. Copies of a
+    passage give the same list for many shingles, so lists are far fewer than shingles, and at most as many.
     Packed (shingle, node) arrays go to slices of the hash space, whose number follows the input. A shingle
     that the sketch calls hot is spread over slices by its nodes, and its list counts as long.
     """
@@ -196,26 +196,30 @@ def prefix_index(table: DataFrame, slices: int, classes) -> DataFrame:
         starts = np.flatnonzero(np.diff(tokens, prepend=tokens[:1] ^ np.uint64(1)))
         sizes = np.diff(starts, append=len(tokens))
         small = (sizes > 1) & (sizes <= SMALL_LIST) & (not hot)
-        out = list(all_pairs(nodes, starts[small], sizes[small]))
-        a = b = shared = np.empty(0, np.int64)
-        if out:
-            found = np.sort(np.concatenate(out), axis=1)
-            found = found[np.lexsort((found[:, 1], found[:, 0]))]
-            first = np.flatnonzero(np.concatenate(([True], (found[1:] != found[:-1]).any(axis=1))))
-            a, b, shared = found[first, 0], found[first, 1], np.diff(first, append=len(found))
+        found = list(distinct_lists(nodes, starts[small], sizes[small]))
+        members = [row for rows, _ in found for row in rows]
+        shared = np.concatenate([np.empty(0, np.int64), *(counts for _, counts in found)])
         long_rows = np.repeat((sizes > SMALL_LIST) | hot, sizes)
-        n = int(long_rows.sum())
+        k, n = len(members), int(long_rows.sum())
         return pa.table(
             {
-                "token": pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(as_long(np.ascontiguousarray(tokens[long_rows])))]),
-                "a": pa.array(np.concatenate([a, nodes[long_rows]])),
-                "b": pa.concat_arrays([pa.array(b), pa.nulls(n, pa.int64())]),
+                "token": pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(as_long(np.ascontiguousarray(tokens[long_rows])))]),
+                "a": pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(nodes[long_rows])]),
+                "nodes": pa.array([*members, *([None] * n)], pa.list_(pa.int64())),
                 "shared": pa.concat_arrays([pa.array(shared.astype(np.int64)), pa.nulls(n, pa.int64())]),
             }
         )
 
     packed = table.select("node", "prefix").mapInArrow(deal, "slice long, packed binary")
-    return packed.groupBy("slice").applyInArrow(lists, "token long, a long, b long, shared long")
+    return packed.groupBy("slice").applyInArrow(lists, "token long, a long, nodes array<long>, shared long")
+
+
+def pairs_of_lists(index: DataFrame) -> DataFrame:
+    """(a, b, shared) for the pairs inside short lists; equal lists of all slices are added up before they make pairs."""
+    lists = index.filter("token IS NULL").groupBy("nodes").agg(F.sum("shared").alias("shared"))
+    first = lists.select("nodes", "shared", F.posexplode("nodes").alias("i", "a"))
+    pairs = first.select("a", F.explode(F.slice("nodes", F.col("i") + 2, F.size("nodes"))).alias("b"), "shared")
+    return pairs.groupBy("a", "b").agg(F.sum("shared").alias("shared"))
 
 
 def needed_overlap(n_a, n_b, percent: int):
@@ -367,7 +371,7 @@ def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_col: s
     total = table.agg(F.sum(F.octet_length("prefix") / 8).alias("n")).first()["n"] or 0
     index = durable(prefix_index(table, int(total // SLICE_ROWS) + 1, classes))
     nodes = table.select("node", "n", "matches", (F.octet_length("prefix") / 8).cast("long").alias("reach")).distinct()
-    pairs = index.filter("token IS NULL").groupBy("a", "b").agg(F.sum("shared").alias("shared"))
+    pairs = pairs_of_lists(index)
     long_lists = index.filter("token IS NOT NULL").select("token", "a")
     found = durable(likely(pairs, nodes, percent).union(chained(long_lists, nodes, percent)).distinct())
     long_nodes = long_lists.select(F.col("a").alias("node"))
