@@ -22,7 +22,8 @@ from logloom.llm.common import map_texts, ready
 SPACE = "▁"
 # No piece has a space mark after another letter, so no piece crosses the edge of a unit.
 UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-CACHED = 200_000
+# Bounds of what a task remembers: ids of units, of at most 64 letters each, and verdicts on neighbours.
+CACHED_UNITS, CACHED_PAIRS = 600_000, 200_000
 UNKNOWN = -1
 
 
@@ -52,7 +53,7 @@ class UnitIds(dict):
 
     def __missing__(self, unit: str) -> bytes:
         packed = self.work(unit)
-        if len(self) >= CACHED:
+        if len(self) >= CACHED_UNITS:
             self.clear()
         if len(unit) <= 64:
             self[unit] = packed
@@ -91,7 +92,7 @@ class Encoder:
         key = (before, piece)
         if (known := self.neighbours.get(key)) is None:
             parts = [self.table.texts[n] for n in key if n != UNKNOWN]
-            if len(self.neighbours) >= CACHED:
+            if len(self.neighbours) >= CACHED_PAIRS:
                 self.neighbours.clear()
             known = self.neighbours[key] = self.merge("".join(parts)) == parts
         return known
