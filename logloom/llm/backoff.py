@@ -1,9 +1,9 @@
 """Stupid-backoff scores from count tables that are partitioned by the hash of the n-gram.
 
-Documents are scored with the counts of the other fold, so that no text vouches for itself. Documents of one
-block and fold send their distinct n-grams, packed, to slices of the hash space; a slice sums the counts
-per fold, joins them to the n-grams that each block asked for, and answers in the order asked. A block then
-sums the scores of its documents.
+Documents are scored with the counts of the other fold, or (``leave_one_out``) with the counts of all documents
+less their own, so that no text vouches for itself. Documents of one block and fold send their distinct n-grams,
+packed, to slices of the hash space; a slice sums the counts per fold, joins them to the n-grams that each block
+asked for, and answers in the order asked. A block then sums the scores of its documents.
 """
 
 from __future__ import annotations
@@ -85,8 +85,8 @@ def asked(rows: DataFrame, order: int, slices: int) -> DataFrame:
     return rows.mapInArrow(run, SCHEMA)
 
 
-def answered(table: pa.Table) -> pa.Table:
-    """For one slice: each block's distinct n-grams in order, answered with the other fold's counts."""
+def answered(table: pa.Table, both: bool = False) -> pa.Table:
+    """For one slice: each block's distinct n-grams in order, answered with the other fold's counts, or those of both."""
     blocks = np.array(table.column("block").to_pylist(), np.int64)
     grams = [np.frombuffer(b, np.uint64) for b in table.column("grams").to_pylist()]
     counts = [np.frombuffer(zlib.decompress(b), np.uint32) for b in table.column("counts").to_pylist()]
@@ -95,6 +95,8 @@ def answered(table: pa.Table) -> pa.Table:
     # Counts stay exact in doubles up to 2**53.
     weight = np.concatenate(counts).astype(np.float64)
     totals = [np.bincount(place[fold == f], weight[fold == f], len(every)) for f in (0, 1)]
+    if both:
+        totals = [totals[0] + totals[1]] * 2
     out_blocks, out_counts = [], []
     for block in np.unique(blocks):
         mine = [grams[i] for i in np.flatnonzero(blocks == block)]
@@ -122,6 +124,12 @@ def fold_words(rows: DataFrame) -> dict[int, int]:
     return {0: 0, 1: 0} | {row["fold"]: row["words"] for row in found}
 
 
+def others(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Counts of a document's n-grams without the times that the document itself has them."""
+    _, place, own = np.unique(grams, return_inverse=True, return_counts=True)
+    return counts - own[place]
+
+
 def log_scores(levels: list[np.ndarray], counts: list[np.ndarray], total: int, alpha: float) -> np.ndarray:
     """Natural log score per word: the longest n-gram that has counts, and a factor for each step back.
 
@@ -141,17 +149,22 @@ def log_scores(levels: list[np.ndarray], counts: list[np.ndarray], total: int, a
 
 
 def score_documents(
-    docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, id_col: str = "doc_id", text_col: str = "text",
+    leave_one_out: bool = False,
 ) -> DataFrame:
     """Per row: ``n_words``, ``n_backoff`` (words scored below the full order), ``log_score`` (natural log, summed)
     and ``mean_log_score`` (null without words). Null and empty texts score 0 over no words.
+
+    With ``leave_one_out`` a row is scored with the counts of all other rows, whatever the ids are.
     """
     spark = ready(docs.sparkSession)
     rows = blocks_of(docs, id_col, text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
     totals = fold_words(rows)
     slices = sum(totals.values()) * order // SLICE_GRAMS + 1
-    answers = asked(rows, order, slices).groupBy("slice").applyInArrow(answered, "block long, slice long, counts binary")
+    answers = asked(rows, order, slices).groupBy("slice").applyInArrow(
+        lambda table: answered(table, leave_one_out), "block long, slice long, counts binary"
+    )
 
     def score(texts: pa.Table, found: pa.Table) -> pa.Table:
         names = ["doc_id", "n_words", "n_backoff", "log_score"]
@@ -169,9 +182,11 @@ def score_documents(
         for grams in levels:
             known = []
             for g in grams:
-                known.append(flat[at : at + len(g)])
+                found_counts = flat[at : at + len(g)]
+                known.append(others(g, found_counts) if leave_one_out else found_counts)
                 at += len(g)
-            scores = log_scores(grams, known, totals[1 - fold], alpha)
+            total = sum(totals.values()) - len(grams[0]) if leave_one_out else totals[1 - fold]
+            scores = log_scores(grams, known, total, alpha)
             full = int((known[-1] > 0).sum())
             out.append((len(grams[0]), len(grams[0]) - full, float(scores.sum())))
         columns = [texts.column("doc_id"), *(pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64())))]

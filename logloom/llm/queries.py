@@ -202,3 +202,10 @@ def op10_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stupid-backoff score of every document from the counts of the other half of the documents."""
     scored = backoff.score_documents(read_table(spark, sf_dir, "documents"))
     return scored.select("doc_id", "n_words", "n_backoff", F.round(F.coalesce("mean_log_score", F.lit(0.0)), 6).alias("mean_log_score"))
+
+
+@query("op10_leave_one_out")
+def op10_leave_one_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stupid-backoff score of every document up to trigrams, from the counts of all other documents."""
+    scored = backoff.score_documents(read_table(spark, sf_dir, "documents"), order=3, leave_one_out=True)
+    return scored.select("doc_id", "n_words", "n_backoff", F.round(F.coalesce("mean_log_score", F.lit(0.0)), 6).alias("mean_log_score"))

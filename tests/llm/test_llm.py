@@ -418,6 +418,35 @@ def test_backoff_scores(docs, rows, empty, order, monkeypatch):
     assert backoff.score_documents(empty, order).count() == 0
 
 
+@pytest.mark.parametrize("order, step", [(2, 1), (3, 1), (3, 2)])
+def test_backoff_leaves_only_itself_out(spark, rows, order, step, monkeypatch):
+    monkeypatch.setattr(backoff, "BLOCK_IDS", 10)
+    monkeypatch.setattr(backoff, "SLICE_GRAMS", 1000)
+    # With a step of 2 all ids are even.
+    texts = [(None if r[0] is None else r[0] * step, r[1]) for r in rows]
+    words = [plain_words(t) for _, t in texts]
+    grams = [Counter(tuple(w[i : i + n]) for n in range(1, order + 1) for i in range(len(w) - n + 1)) for w in words]
+    every, total = sum(grams, Counter()), sum(map(len, words))
+    want = []
+    for (doc_id, _), w, own in zip(texts, words, grams):
+        score, back = 0.0, 0
+        for i in range(len(w)):
+            size, factor = min(order, i + 1), 0.0
+            while size > 1 and every[g := tuple(w[i - size + 1 : i + 1])] == own[g]:
+                size, factor = size - 1, factor + np.log(0.4)
+            g = tuple(w[i - size + 1 : i + 1])
+            times = every[g] - own[g]
+            score += factor + np.log(times / (every[g[:-1]] - own[g[:-1]]) if size > 1 else (times or 0.5) / max(total - len(w), 1))
+            back += size < order or not times
+        want.append((str(doc_id), len(w), back, float(score)))
+    frame = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    found = backoff.score_documents(frame, order, leave_one_out=True).collect()
+    got = sorted((str(r["doc_id"]), r["n_words"], r["n_backoff"], r["log_score"]) for r in found)
+    want.sort()
+    assert [x[:3] for x in got] == [x[:3] for x in want]
+    assert np.allclose([x[3] for x in got], [x[3] for x in want], atol=1e-5)
+
+
 def test_gram_hashes_tell_lengths_apart():
     hashes = word_hashes([b"a", b"b", b"c"])
     assert len({*gram_hashes(hashes, 1).tolist(), *gram_hashes(hashes, 2).tolist(), *gram_hashes(hashes, 3).tolist()}) == 6
