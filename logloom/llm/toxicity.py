@@ -107,11 +107,14 @@ def swap_rows(present: np.ndarray, terms: list[bytes], identity: tuple[tuple[str
 def fit_weights(
     present: np.ndarray, toxic: np.ndarray, swaps: np.ndarray, ridge: np.ndarray, settings: Settings
 ) -> tuple[np.ndarray, float]:
-    """Newton steps on logistic loss, a ridge per term, and the squared score changes of the counterfactuals."""
+    """Newton steps on logistic loss, a ridge per term, and the squared score changes of the counterfactuals.
+
+    Loss and changes are both sums over rows, so a counterfactual weighs the same against a label at every size.
+    """
     n, k = present.shape
     x = np.hstack([present, np.ones((n, 1))])
     penalty = np.diag(np.r_[ridge, 1e-6])
-    penalty[:k, :k] += settings.swap_weight * swaps.T @ swaps / max(n, 1)
+    penalty[:k, :k] += settings.swap_weight * swaps.T @ swaps
     w = np.zeros(k + 1)
     w[k] = np.log((toxic.sum() + 1) / (n - toxic.sum() + 1))
     for _ in range(settings.steps):

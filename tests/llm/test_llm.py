@@ -129,6 +129,23 @@ def test_toxicity_learns_and_ignores_swaps(spark, empty):
     assert toxicity.score_texts(empty, model).count() == 0 and toxicity.drop_toxic(empty, model).columns == empty.columns
 
 
+def test_swaps_weigh_the_same_at_every_size(spark):
+    rng = random.Random(8)
+    settings = toxicity.Settings()
+    rows = []
+    for i in range(settings.max_rows * 13 // 10):
+        toxic = rng.random() < 0.3
+        group = "muslim" if rng.random() < (0.8 if toxic else 0.2) else "christian"
+        rows.append((i, f"{sentence(rng, 8)} {group} {'idiot' if rng.random() < (0.7 if toxic else 0.1) else 'friend'}", 1, int(toxic)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, quality int, toxic int").repartition(4)
+    docs, labels = frame.select("doc_id", "text"), frame.select("doc_id", "quality", "toxic")
+    assert toxicity.labelled_sample(docs, labels, settings).count() == settings.max_rows
+    for most in (320, settings.max_rows):
+        model = toxicity.fit(docs, labels, toxicity.Settings(max_rows=most))
+        assert abs(model.weights.get(b"muslim", 0) - model.weights.get(b"christian", 0)) < 0.05, most
+    assert model.score("the idiot") > model.score("the friend")
+
+
 # 3
 
 
