@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from logloom.llm.common import bounded_rows, keep_rows, ready, whole_text
+from logloom.llm.common import bounded_rows, ready, whole_text
 from logloom.session import durable
 
 WINDOW = 13
@@ -234,28 +235,56 @@ def judge(found: DataFrame, id_col: str = "doc_id", percent: int = 5) -> DataFra
     )
 
 
-def one_automaton(items: DataFrame, window: int, item_id: str = "item_id", item_text: str = "text") -> list[ItemAutomaton]:
-    return [ItemAutomaton(block, window) for block in item_blocks(items, item_id, item_text, BLOCK_WORDS)]
+def after_all_blocks(
+    docs: DataFrame, items: DataFrame, window: int, block_words: int, text_col: str,
+    finish: Callable[[pa.RecordBatch, list[list[tuple[int, int]]]], pa.RecordBatch],
+) -> DataFrame:
+    """What ``finish`` makes of the rows, in all columns, and the merged word spans of all blocks of items.
+
+    With several blocks, what earlier blocks found travels with the rows; the texts stay as they are until
+    the last block.
+    """
+    spark = ready(docs.sparkSession)
+    position, width = docs.columns.index(text_col), len(docs.columns)
+    schema = docs.schema
+    carried = StructType([*schema.fields, StructField("_spans", ArrayType(LongType()))])
+    blocks = item_blocks(items, "item_id", "text", block_words)
+    for number, block in enumerate(blocks):
+        shared = spark.sparkContext.broadcast(ItemAutomaton(block, window))
+        last = number == len(blocks) - 1
+
+        def run(batches, shared=shared, first=number == 0, last=last):
+            for batch in batches:
+                spans = [shared.value.matches(words_of(t or ""))[0] for t in batch.column(position).to_pylist()]
+                if not first:
+                    old = batch.column(width).to_pylist()
+                    spans = [merge_spans([*new, *zip(o[::2], o[1::2])]) if o else new for new, o in zip(spans, old)]
+                rows = batch.select(range(width))
+                if last:
+                    yield finish(rows, spans)
+                else:
+                    flat = pa.array([[x for span in s for x in span] for s in spans], pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays([*rows.columns, flat], names=[*rows.schema.names, "_spans"])
+
+        docs = docs.mapInArrow(run, schema if last else carried)
+        if not last:
+            docs = durable(docs)
+    return docs
 
 
 def drop_contaminated(
-    docs: DataFrame, items: DataFrame, window: int = WINDOW, percent: int = 5, text_col: str = "text"
+    docs: DataFrame, items: DataFrame, window: int = WINDOW, percent: int = 5, text_col: str = "text",
+    block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
     """The rows, in all columns, whose hit words stay below ``percent`` of their words."""
-    spark = ready(docs.sparkSession)
-    for automaton in one_automaton(items, window):
-        shared = spark.sparkContext.broadcast(automaton)
-
-        def make(shared=shared):
-            def clean(text: str) -> bool:
-                words = words_of(text)
-                hits = sum(end - start for start, end in shared.value.matches(words)[0])
-                return not hits or 100 * hits < percent * len(words)
+    position = docs.columns.index(text_col)
 
-            return lambda texts: [clean(t) for t in texts]
+    def finish(rows, spans):
+        hits = [sum(end - start for start, end in s) for s in spans]
+        texts = rows.column(position).to_pylist()
+        return rows.filter(pa.array([not n or 100 * n < percent * len(words_of(t)) for n, t in zip(hits, texts)], pa.bool_()))
 
-        docs = keep_rows(docs, make, text_col)
-    return docs
+    return after_all_blocks(docs, items, window, block_words, text_col, finish)
 
 
 def cut_spans(text: str, spans: list[tuple[int, int]], longest: int) -> str:
@@ -271,26 +300,19 @@ def cut_spans(text: str, spans: list[tuple[int, int]], longest: int) -> str:
 
 
 def remove_spans(
-    docs: DataFrame, items: DataFrame, longest: int = WINDOW - 1, window: int = WINDOW, text_col: str = "text"
+    docs: DataFrame, items: DataFrame, longest: int = WINDOW - 1, window: int = WINDOW, text_col: str = "text",
+    block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
     """All rows and columns, with spans of more than ``longest`` matching words cut from the texts; null stays null."""
-    spark = ready(docs.sparkSession)
     position = docs.columns.index(text_col)
-    for automaton in one_automaton(items, window):
-        shared = spark.sparkContext.broadcast(automaton)
 
-        def run(batches, shared=shared):
-            for batch in batches:
-                texts = [
-                    t if t is None else cut_spans(t, shared.value.matches(words_of(t))[0], longest)
-                    for t in batch.column(position).to_pylist()
-                ]
-                columns = list(batch.columns)
-                columns[position] = pa.array(texts, batch.schema[position].type)
-                yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    def finish(rows, spans):
+        texts = [t if t is None else cut_spans(t, s, longest) for t, s in zip(rows.column(position).to_pylist(), spans)]
+        columns = list(rows.columns)
+        columns[position] = pa.array(texts, rows.schema[position].type)
+        return pa.RecordBatch.from_arrays(columns, schema=rows.schema)
+
+    return after_all_blocks(docs, items, window, block_words, text_col, finish)
 
 
 def digest_of(items: list[str]) -> str:

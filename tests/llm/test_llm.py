@@ -234,6 +234,35 @@ def test_overlaps_with_items(spark, docs, rows, empty, block_words):
     assert bag(kept, "doc_id") == Counter({(k,): n for k, n in want.items()})
 
 
+@pytest.mark.parametrize("block_words", [100_000, 40])
+def test_blocks_of_items_decide_together(spark, docs, rows, block_words):
+    rng = random.Random(12)
+    one, two, third = ([f"{name}{i}" for i in range(30)] for name in "xyz")
+    filler = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    # Three words in a hundred of each of two items; overlapping items; an item with words around another's.
+    table = [(1, " ".join(one)), (2, " ".join(two)), (3, " ".join(one[20:] + third)), (4, "")]
+    texts = [
+        " ".join(filler(40) + one[:6] + filler(50) + two[:6] + filler(98)), " ".join(filler(40) + one[:6] + filler(154)),
+        " ".join(["start", *one, *third, "end"]), " ".join(one[:6] + two[:6] + ["end"]), "", None,
+    ]
+    mine = [(i, t) for i, t in enumerate(texts, 1000)]
+    frame = spark.createDataFrame(mine, "doc_id long, text string").unionByName(docs.select("doc_id", "text"))
+    items = spark.createDataFrame(table, "item_id long, text string")
+    assert len(decontaminate.item_blocks(items, "item_id", "text", block_words)) == (3 if block_words == 40 else 1)
+    every = [*mine, *((r[0], r[1]) for r in rows)]
+    found = {i: overlap_by_force(t, table, 6) for i, t in mine}
+    assert 20 * found[1000][1] >= found[1000][0] and 20 * found[1001][1] < found[1001][0]
+    kept = decontaminate.drop_contaminated(frame, items, window=6, block_words=block_words)
+    want = Counter((i, t) for i, t in every if i is None or i < 1000 or not found[i][1] or 20 * found[i][1] < found[i][0])
+    assert kept.columns == frame.columns and bag(kept, "doc_id", "text") == want
+    cut = decontaminate.remove_spans(frame, items, longest=5, window=6, block_words=block_words)
+    after = {r["doc_id"]: r["text"] for r in cut.filter("doc_id >= 1000").collect()}
+    assert after[1002] == "start  end" and after[1003] == " end" and after[1004] == "" and after[1005] is None
+    assert cut.count() == len(every)
+    longer = decontaminate.remove_spans(frame, items, longest=40, window=6, block_words=block_words)
+    assert longer.filter("doc_id = 1002").first()["text"] == "start  end"
+
+
 def test_cut_spans_and_random_automata():
     rng = random.Random(2)
     for _ in range(200):
