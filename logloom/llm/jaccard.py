@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from logloom.llm.common import ready, whole_text
 from logloom.llm.components import connected
@@ -383,32 +384,56 @@ def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_col: s
     return documents, durable(links.union(more))
 
 
+def grouped(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, n, node, root, least) per row: its component and the smallest id in it; without words only the id."""
+    documents, links = link(docs, size, percent, id_col, text_col)
+    roots = connected(links)
+    rooted = documents.join(roots, "node", "left").select("doc_id", "n", "node", F.coalesce("root", "node").alias("root"))
+    least = rooted.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
+    return rooted.join(least, "root", "left")
+
+
 def similar_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, ``n_shingles`` and ``component_id``, the smallest id reachable by links.
 
     Rows without words (null or empty text) link with nothing and keep their own id. Rows with equal sets
     are linked whatever their ids; a null id counts for no component unless all its ids are null.
     """
-    documents, links = link(docs, size, percent, id_col, text_col)
-    roots = connected(links)
-    rooted = documents.join(roots, "node", "left").select("doc_id", "n", F.coalesce("root", "node").alias("root"))
-    least = rooted.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
-    return rooted.join(least, "root", "left").select(
+    return grouped(docs, size, percent, id_col, text_col).select(
         F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"),
         F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"),
     )
 
 
+def with_nodes(docs: DataFrame, size: int, text_col: str) -> DataFrame:
+    """All rows and columns, and ``_node`` as in ``documents_and_sketch``."""
+    position = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(position).to_pylist()]
+            sets = [shingle_set(lower_words(raw), size) for raw in texts]
+            nodes = pa.array([digest(s) if len(s) else None for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, nodes], names=[*batch.schema.names, "_node"])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_node", LongType())]))
+
+
 def keep_one(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows, in all columns, of the smallest id of each group; rows without words or without an id all stay.
 
-    Where ids repeat, one row of each id and text stays.
+    Where that id repeats in a group, the row with the smallest text stays. An id may stand in several groups.
     """
-    groups = similar_groups(docs, size, percent, id_col, text_col)
-    gone = durable(groups.filter(F.col("n_shingles") > 0).filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")))
-    kept = docs.join(gone.distinct(), F.col(id_col) == F.col("_gone"), "left_anti")
-    repeated = groups.filter(F.col(id_col).isNotNull() & (F.col("n_shingles") > 0)).groupBy(id_col).count().filter("count > 1")
-    if repeated.isEmpty():
-        return kept
-    whole = kept.filter(F.col(id_col).isNull() | ~whole_text(text_col).rlike(r"[^\x20\x09-\x0D]"))
-    return whole.union(kept.filter(F.col(id_col).isNotNull() & whole_text(text_col).rlike(r"[^\x20\x09-\x0D]")).dropDuplicates([id_col, text_col]))
+    words = durable(grouped(docs, size, percent, id_col, text_col).filter(F.col("n") > 0).filter("doc_id IS NOT NULL"))
+    again = durable(words.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_again")))
+    gone = words.filter("doc_id <> least").select(F.col("doc_id").alias("_gone")).distinct()
+    told = whole_text(text_col).rlike(r"[^\x20\x09-\x0D]")
+    if again.isEmpty():
+        return docs.join(gone, (F.col(id_col) == F.col("_gone")) & told, "left_anti")
+    # Repeated ids are decided row by row; the others, as above, by the id.
+    once = docs.join(gone.union(again).distinct(), (F.col(id_col) == F.col("_gone")) & told, "left_anti")
+    rows = with_nodes(docs.filter(told).join(again, F.col(id_col) == F.col("_again"), "left_semi"), size, text_col)
+    stay = words.filter("doc_id = least").select(F.col("doc_id").alias("_id"), F.col("node").alias("_n"), F.col("root").alias("_root")).distinct()
+    rows = rows.join(stay, (F.col(id_col) == F.col("_id")) & (F.col("_node") == F.col("_n")))
+    first = F.min_by(F.struct(*[F.col(c) for c in docs.columns]), F.col(text_col)).alias("_row")
+    return once.union(rows.groupBy("_root").agg(first).select("_row.*"))

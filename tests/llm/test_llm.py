@@ -344,6 +344,27 @@ def test_jaccard_keeps_one(docs, rows, empty):
     assert jaccard.keep_one(empty).count() == 0
 
 
+def test_jaccard_keeps_one_where_ids_repeat(spark, monkeypatch):
+    rng = random.Random(21)
+    base = sentence(rng, 120)
+    near = lambda n: " ".join([*base.split()[:-1], f"end{n}"])
+    other, third = sentence(rng, 60), sentence(rng, 60)
+    rows = [
+        # 2 has a copy of 1's text and a text of its own; 3 and 4 have near copies, 3 twice; 6 has no words in one row.
+        (1, base, "a"), (2, near(1), "b"), (2, other, "c"), (2, None, "d"), (1, near(2), "e"), (3, near(3), "f"), (4, third, "g"),
+        (4, third + " more", "h"), (4, third, "i"), (5, third + " less", "j"), (5, " ", "k"), (None, base, "l"), (6, "lone words here now", "m"),
+    ]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, tag string").repartition(3)
+    kept = jaccard.keep_one(frame)
+    assert kept.columns == frame.columns
+    tags = sorted(r["tag"] for r in kept.collect())
+    # Of 1's near copies a or e stays, of 4's the one text of g and i, or h.
+    assert len(tags) == 7 and set("cdklm") < set(tags)
+    assert len(set("ae") & set(tags)) == 1 and len(set("ghi") & set(tags)) == 1
+    single = jaccard.keep_one(frame.filter("tag IN ('a', 'f', 'd', 'j', 'k')"))
+    assert sorted(r["tag"] for r in single.collect()) == ["a", "d", "j", "k"]
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(8, 60)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(60)] + [(7, 7)]
