@@ -25,13 +25,17 @@ SENSITIVE = {
     "password": 3, "passwd": 3, "pwd": 3, "passphrase": 3, "secret": 3, "token": 3, "apikey": 3, "api_key": 3,
     "private_key": 3, "access_key": 3, "credential": 3, "credentials": 3, "auth": 2, "bearer": 3, "signature": 2, "key": 1,
 }
+# A literal of several words with one of these is prose, such as a prompt; other such literals may be passphrases.
+PROSE = re.compile(r"(?i)\b(?:the|an?|is|are|be|to|of|in|for|your|please|enter|must|not|password|passphrase|secret|token|key)\b|[.!?:,]$")
 HARMLESS = re.compile(
     r"(?i)^(true|false|null|none|yes|no|string|str|example.*|changeme|placeholder|your[_-].*|x+|\*+|\d{1,7}|<.*>|\$\{.*\}|%\(.*\))$"
 )
 THRESHOLD = 5
-TERM = r"""(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|[A-Za-z0-9_$][A-Za-z0-9+/_.=@!$%^&*~-]*)"""
+TERM = r"""(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|[A-Za-z0-9_$][A-Za-z0-9+/_.@!$%^&*~-]*(?:={1,2}(?![^\s"',;)}\]]))?)"""
+# A type between a name and its value, as in ``name: Optional[str] = value``.
+TYPE = r"""[A-Za-z_][A-Za-z0-9_.]*(?:\[[^\n=]{0,100}\])?(?:[ \t]*\|[ \t]*[A-Za-z_][A-Za-z0-9_.]*)*"""
 PAIR = re.compile(
-    rf"""(?<![A-Za-z0-9_.-])["']?([A-Za-z_][A-Za-z0-9_.-]*)["']?[ \t]*(?::=|=>|[:=](?!=))[ \t]*({TERM}(?:[ \t]*\+[ \t]*{TERM})*)"""
+    rf"""(?<![A-Za-z0-9_.])(?<![A-Za-z0-9_.]-)["']?([A-Za-z_][A-Za-z0-9_.-]*)["']?[ \t]*(?::=|=>|:[ \t]*({TYPE})[ \t]*=(?!=)|[:=](?!=))[ \t]*({TERM}(?:[ \t]*\+[ \t]*{TERM})*)"""
 )
 EACH_TERM = re.compile(TERM)
 NAME_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
@@ -46,7 +50,7 @@ def name_score(name: str) -> int:
 
 def literal_score(value: str) -> int:
     """0 for a harmless literal; else a point each for length, mixed letters and digits, and entropy."""
-    if len(value) < 6 or HARMLESS.match(value) or " " in value.strip():
+    if len(value) < 6 or HARMLESS.match(value) or (" " in value.strip() and PROSE.search(value)):
         return 0
     entropy = -sum(n / len(value) * math.log2(n / len(value)) for n in Counter(value).values())
     mixed = any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
@@ -67,12 +71,26 @@ def pairs(text: str) -> list[tuple[str, str, list[tuple[int, int]]]]:
     """(target name, literal, spans of its parts) of each assignment.
 
     A name on the right that an earlier assignment bound stands for that literal; parts joined by + are one.
+    Every target directly before an operator has its own pair, also inside the right-hand side of another one,
+    and the targets of a chain (a = b = literal) all get its literal.
     """
     bound: dict[str, tuple[str, list[tuple[int, int]]]] = {}
-    found = []
-    for match in PAIR.finditer(text):
+    found, chain, right = [], [], None
+
+    def close() -> None:
+        for name in chain:
+            bound[name] = bound[right[2]]
+            found.append((name, *bound[name]))
+        chain.clear()
+
+    match = PAIR.search(text)
+    while match:
+        if right and right[:2] == match.span(1):
+            chain.append(right[2])
+        elif chain:
+            close()
         value, spans = "", []
-        for term in EACH_TERM.finditer(text, match.start(2), match.end(2)):
+        for term in EACH_TERM.finditer(text, match.start(3), match.end(3)):
             if term[0][0] in "\"'":
                 value += term[0][1:-1]
                 spans.append((term.start() + 1, term.end() - 1))
@@ -82,8 +100,15 @@ def pairs(text: str) -> list[tuple[str, str, list[tuple[int, int]]]]:
             else:
                 value += term[0]
                 spans.append(term.span())
+        # What stands where a type may stand can be a value.
+        if match[2] and any(c.isdigit() for c in match[2]):
+            found.append((match[1], match[2], [match.span(2)]))
         bound[match[1]] = (value, spans)
         found.append((match[1], value, spans))
+        right = (*match.span(3), match[1])
+        match = PAIR.search(text, match.end(1))
+    if chain:
+        close()
     return found
 
 

@@ -409,6 +409,21 @@ def test_base_spans(docs, rows, empty, spark):
     assert secrets.mask_secrets(docs).columns == docs.columns
 
 
+def test_pairs_inside_pairs():
+    value = "Zx81hhq0PPwm2"
+    for text in (
+        "env: passphrase={}", "note:credential={}", 'x = credentials = "{}"', 'pwd: str = "{}"', 'pwd: Optional[List[str]] = "{}"', "--pwd={}",
+        "pwd = x = '{}'", "a = private_key = b = {}", 'cmd = "run --pwd={}"', "pwd:{}=rest", 'x = y = "{}"\npassphrase = x', 'my.pwd => "{}"',
+    ):
+        start = text.index("{}")
+        assert [s[:2] for s in secrets.scan(text.format(value)) if s[2] == "pair"] == [(start, start + len(value))], text
+        assert value not in secrets.masked(text.format(value))
+    assert secrets.masked(f"pwd = {value}==") == "pwd = [SECRET]"
+    assert secrets.masked('passphrase = "correct horse battery staple"') == 'passphrase = "[SECRET]"'
+    for text in ('passphrase: "please enter your passphrase"', "pwd == other9value1", f"note: env={value}", "pwd: Optional[str] = None"):
+        assert secrets.scan(text) == [], text
+
+
 # 8
 
 
