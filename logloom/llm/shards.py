@@ -150,12 +150,17 @@ def place_rows(rows: DataFrame, capacities: list[int] | int, order: list[str]) -
     return joined.select(*rows.columns, "shard", (F.col("_base") + F.col("_rank") - F.col("_first")).alias("slot"))
 
 
-def document_rows(docs: DataFrame, old_shard: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, size, text_crc32, old_shard): the size is the text's bytes plus 8; a null text counts as empty."""
+def document_rows(
+    docs: DataFrame, old_shard: Column, id_col: str = "doc_id", text_col: str = "text", also: list[str] | None = None
+) -> DataFrame:
+    """(id, size, text_crc32, old_shard), and columns named in ``also``.
+
+    The size is the text's bytes plus 8; a null text counts as empty.
+    """
     raw = whole_text(text_col).cast("binary")
     return docs.select(
         id_col, (F.octet_length(raw) + 8).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"),
-        old_shard.cast("int").alias("old_shard"),
+        old_shard.cast("int").alias("old_shard"), *(also or []),
     )
 
 
@@ -168,15 +173,17 @@ def rewrite_affected(spark: SparkSession, folder: str, capacities: list[int] | i
     """Reshards a table stored as ``folder``/shard=N and returns the shards whose files were written anew.
 
     Only shards that lose or gain rows are written; the others keep their files. The new files lie in
-    ``folder``-new, where unaffected shards are absent: the caller puts them in place. Ids must be unique.
+    ``folder``-new, where unaffected shards are absent: the caller puts them in place. Whole rows are placed,
+    so that null and repeated ids stay as they are.
     """
     docs = spark.read.parquet(folder)
-    narrow = document_rows(docs, F.col("shard"), id_col)
-    placed = durable(place_rows(narrow, capacities, [id_col, "text_crc32", "size"]).select(id_col, "old_shard", F.col("shard").alias("_new")))
+    whole = F.struct(*[F.col(c) for c in docs.columns if c != "shard"]).alias("_row")
+    rows = document_rows(docs.select(id_col, "text", "shard", whole), F.col("shard"), id_col, also=["_row"])
+    placed = durable(place_rows(rows, capacities, [id_col, "text_crc32", "size"]).select("_row", "old_shard", F.col("shard").alias("_new")))
     moved = placed.filter(F.col("old_shard") != F.col("_new"))
     touched = bounded_rows(moved.select(F.explode(F.array("old_shard", "_new")).alias("s")).distinct(), MAX_SHARDS, "shards")
     touched = sorted(row["s"] for row in touched)
     if touched:
-        rows = docs.join(placed.filter(F.col("_new").isin(touched)), id_col).drop("old_shard", "shard")
-        rows.withColumnRenamed("_new", "shard").write.mode("error").partitionBy("shard").parquet(f"{folder.rstrip('/')}-new")
+        rows = placed.filter(F.col("_new").isin(touched)).select("_row.*", F.col("_new").alias("shard"))
+        rows.write.mode("error").partitionBy("shard").parquet(f"{folder.rstrip('/')}-new")
     return touched

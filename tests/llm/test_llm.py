@@ -199,6 +199,19 @@ def test_rewrite_touches_only_affected(spark, tmp_path):
     assert {r["shard"] for r in after.select("shard").distinct().collect()} == {2, 3} and after.count() == 300
 
 
+def test_rewrite_keeps_null_and_repeated_ids(spark, tmp_path):
+    rng = random.Random(6)
+    ids = [None if i % 10 == 0 else i // 3 for i in range(300)]
+    frame = spark.createDataFrame([(d, sentence(rng, 20), f"t{i}", i // 100) for i, d in enumerate(ids)], "doc_id long, text string, tag string, shard int")
+    folder = str(tmp_path / "t")
+    frame.write.partitionBy("shard").parquet(folder)
+    touched = shards.rewrite_affected(spark, folder, 4)
+    after = spark.read.parquet(f"{folder}-new")
+    untouched = frame.filter(~frame["shard"].isin(touched))
+    every = after.select("doc_id", "text", "tag").union(untouched.select("doc_id", "text", "tag"))
+    assert touched == [0, 1, 2, 3] and bag(every, "doc_id", "text", "tag") == bag(frame, "doc_id", "text", "tag")
+
+
 # 4
 
 
