@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import backoff, decontaminate, jaccard, pieces, quality, secrets, shards, suffixes, tokencount, toxicity
+from logloom.llm import backoff, decontaminate, jaccard, merkle, pieces, quality, secrets, shards, suffixes, tokencount, toxicity
 from logloom.llm.common import held_out, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -209,3 +209,59 @@ def op10_leave_one_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stupid-backoff score of every document up to trigrams, from the counts of all other documents."""
     scored = backoff.score_documents(read_table(spark, sf_dir, "documents"), order=3, leave_one_out=True)
     return scored.select("doc_id", "n_words", "n_backoff", F.round(F.coalesce("mean_log_score", F.lit(0.0)), 6).alias("mean_log_score"))
+
+
+def merkle_sql(levels: int = 10, top_levels: int = 4) -> str:
+    """The manifest in SQL: two queries per level, enough for 8 ** levels rows of a language."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    crc = (
+        "xor(4294967295::UBIGINT, list_reduce(list_prepend(4294967295::UBIGINT, list_transform("
+        "string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::UBIGINT)), lambda c, b: list_reduce(list_prepend("
+        "xor(c, b), list_transform(range(8), lambda z: 0::UBIGINT)), lambda s, z: xor(s >> 1, (s & 1) * 3988292384::UBIGINT))))"
+    )
+    head = "concat(" + ", ".join(
+        f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars")
+    ) + ", "
+    body = "coalesce(strlen({0})::VARCHAR || ':' || {0}, '-'))"
+    parts = [
+        f"t AS (SELECT *, CASE WHEN {crc} % 3 = 0 THEN translate(text, '{upper}', '{lower}') ELSE text END AS found FROM documents)",
+        f"l AS (SELECT doc_id, coalesce('=' || lang, '') AS g, sha256({head}{body.format('text')}) AS h, "
+        f"sha256({head}{body.format('found')}) AS f FROM t)",
+        "r0 AS (SELECT doc_id, g, h AS leaf, f, '' AS proof, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, h) - 1 AS pos FROM l)",
+        "n0 AS (SELECT g, pos, leaf AS h FROM r0)",
+    ]
+
+    def level(k: int, rows: str, nodes: str) -> list[str]:
+        before = "string_agg(h, '') OVER (PARTITION BY g, pos // 8 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+        after = "string_agg(h, '') OVER (PARTITION BY g, pos // 8 ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)"
+        return [
+            f"s{k} AS (SELECT g, pos, h, count(*) OVER (PARTITION BY g) AS n, coalesce({before}, '') AS a, coalesce({after}, '') AS z FROM {nodes})",
+            f"n{k + 1} AS (SELECT g, pos // 8 AS pos, CASE WHEN any_value(n) = 1 THEN min(h) ELSE sha256(string_agg(h, '' ORDER BY pos)) END AS h "
+            f"FROM s{k} GROUP BY g, pos // 8)",
+            f"r{k + 1} AS (SELECT r.* REPLACE (r.pos // 8 AS pos, CASE WHEN n = 1 THEN f ELSE sha256(a || f || z) END AS f, "
+            f"CASE WHEN n = 1 THEN proof ELSE proof || a || z END AS proof) FROM {rows} AS r JOIN s{k} AS s USING (g, pos))",
+        ]
+
+    for k in range(levels):
+        parts += level(k, f"r{k}", f"n{k}")
+    parts += [
+        f"u AS (SELECT g AS name, h AS subroot, row_number() OVER (ORDER BY g) - 1 AS place FROM n{levels})",
+        f"r{levels}x AS (SELECT r.* REPLACE ('' AS g, u.place AS pos), subroot FROM r{levels} AS r JOIN u ON u.name = r.g)",
+        f"n{levels}x AS (SELECT '' AS g, place AS pos, subroot AS h FROM u)",
+    ]
+    for k in range(levels, levels + top_levels):
+        x = "x" if k == levels else ""
+        parts += level(k, f"r{k}{x}", f"n{k}{x}")
+    end = levels + top_levels
+    # Many rows refer to the same nodes: without MATERIALIZED each level would be computed again for every later one.
+    with_ = ",\n".join(part.replace(" AS (", " AS MATERIALIZED (", 1) for part in parts)
+    return (
+        f"WITH {with_}\nSELECT doc_id, leaf, subroot, n.h AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = n.h AS verified "
+        f"FROM r{end} AS r JOIN n{end} AS n ON true"
+    )
+
+
+@query("op13_merkle_manifest", merkle_sql())
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every document, and whether the text as found still leads to the root."""
+    return merkle.manifest(read_table(spark, sf_dir, "documents"), changed=merkle.tampered())
