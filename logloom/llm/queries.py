@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import backoff, decontaminate, jaccard, merkle, negatives, pieces, quality, secrets, shards, suffixes, tokencount, toxicity
+from logloom.llm import backoff, decontaminate, extraction, jaccard, merkle, negatives, pieces, quality, secrets, shards, suffixes, tokencount, toxicity
 from logloom.llm.common import held_out, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -288,3 +288,10 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "embeddings")
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return negatives.mine(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+@query("op11_html_extraction")
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = read_table(spark, sf_dir, "pages")
+    return extraction.extract(pages.select("page_id", "url", "html"), keep=["url"])
