@@ -2,41 +2,28 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from logloom.functions.regexes import regex_to_template, template_to_regex, tidy_regex
-from logloom.operators import alarms, events, graph, memory, templates
+from logloom.operators import alarms, drain, events, graph, stage, templates
 from logloom.sources.rules import Rule
 
 
-@dataclass
-class Parsed:
-    results: DataFrame
-    templates: DataFrame
-
-
-def parse_sources(lines: DataFrame, remembered: DataFrame | None = None) -> Parsed:
-    """Lines (source, line_id, original_content) to parsed results of all sources at once.
+def parse_sources(
+    lines: DataFrame,
+    remembered: DataFrame | None = None,
+    generator: stage.Generator | None = None,
+    in_order: bool = False,
+    refine: bool = True,
+) -> stage.Stage:
+    """Lines (source, line_id, original_content) of all sources to patterns, and the memory after them.
 
-    Lines matched whole by a remembered pattern take it; the others get the template of
-    their group.
+    Lines are cleaned and grouped (by position, or with ``in_order`` by online clustering), and every group goes
+    through the template stage: lines that a ``remembered`` pattern matches take it, the others get their group's.
     """
     ready = templates.preprocess(lines)
-    known = None
-    if remembered is not None:
-        recalled = memory.recall(ready, remembered)
-        known = recalled.filter("regex IS NOT NULL")
-        ready = recalled.filter("regex IS NULL").drop("regex")
-    assigned, found = templates.parse(ready)
-    results = assigned.withColumn("regex", tidy_regex(template_to_regex(F.col("template")))).drop("n_tokens")
-    if known is not None:
-        named = known.withColumn("template", regex_to_template(F.col("regex")))
-        named = named.withColumn("event_id", F.substring(F.md5(F.col("template").cast("binary")), 1, 8))
-        results = results.unionByName(named.select(*results.columns))
-    return Parsed(results, found)
+    grouped = drain.drain(ready) if in_order else templates.parse(ready)[0]
+    grouped = grouped.withColumnRenamed("event_id", "group_id").drop("template", "n_tokens")
+    return stage.fit_stage(grouped, ["source", "group_id"], remembered, generator, refine=refine)
 
 
 def build_and_fuse(params: dict[str, DataFrame], rules: dict[str, list[Rule]], order: str = "row_id") -> graph.Graph:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from logloom.functions import regexes, text
 from logloom.functions.similarity import cosine_distance, jaccard_distance
 from logloom.operators import drain as drains
-from logloom.operators import memory, sampling, templates
+from logloom.operators import memory, sampling, stage, templates
 from logloom.queries.base import (
     APP_LINES,
     TEXT_LINES,
@@ -239,7 +239,7 @@ def regex_memory(spark, sf):
 def retry_rounds(spark, sf):
     """All lines of a source share one group at first; every line ends with a pattern it matches."""
     lines = app_lines(spark, sf).select("source", "line_id", "content")
-    done = memory.fit_groups(lines, ["source"])
+    done = stage.fit_stage(lines, ["source"]).lines
     return done.select("source", "line_id", regexes.matches_somewhere(F.col("content"), F.col("regex")).alias("matched"))
 
 
@@ -247,7 +247,7 @@ def retry_rounds(spark, sf):
 def retry_templates(spark, sf):
     """Patterns of sampled lines per round; the samples' hash order has no SQL twin here."""
     lines = app_lines(spark, sf).select("source", "line_id", "content")
-    return memory.fit_groups(lines, ["source"]).groupBy("source", "round", "template", "regex").agg(
+    return stage.fit_stage(lines, ["source"]).lines.groupBy("source", "round", "template", "regex").agg(
         F.count(F.lit(1)).alias("count")
     )
 

@@ -106,13 +106,6 @@ def test_memory_searches_wider_patterns_first(spark):
     assert [r["regex"] for r in got] == ["abc (.*?) cde", "abc (.*?)", None]
 
 
-def test_fit_groups_covers_every_line(spark):
-    contents = [f"alpha beta {n}" for n in range(20)] + [f"{n} gamma delta epsilon" for n in range(15)]
-    done = memory.fit_groups(lines(spark, contents), ["source"])
-    ok = regexes.matches_somewhere(F.col("content"), F.col("regex"))
-    assert done.count() == 35 and done.filter(~ok).count() == 0
-
-
 def test_regex_to_template(spark):
     cases = {r"^a\ b\(x\) ((?:a|(b))c) d.*?\\ (q$": r"a b(x) <*> d<*>\ <*>", r"x (.*?)\.y$": "x <*>.y", "": "", "a" + "(" * 12 + "x" + ")" * 12 + " tail word": "a<*> tail word"}
     df = spark.createDataFrame([(c,) for c in cases], "r string")
