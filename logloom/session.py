@@ -59,6 +59,15 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files and checkpoints of tables that nothing refers to any more.
+
+    Its cleaner only learns of them when the driver's JVM collects garbage, which a long loop of small jobs may not
+    make it do before the disks are full. Call it between rounds, after the last reference to a table is gone.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder for a table that is written and read again."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
