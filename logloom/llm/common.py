@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import pickle
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
@@ -38,6 +40,42 @@ def ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
+class Shared:
+    """A value sent to every executor once, by value: workers need no installed package to open it.
+
+    A Python worker opens it once and keeps it, and what ``made`` makes of it, for all its tasks.
+    """
+
+    def __init__(self, spark: SparkSession, value: object) -> None:
+        self.box = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    def _kept(self) -> dict:
+        if not hasattr(self.box, "_kept"):
+            self.box._kept = {}
+        return self.box._kept
+
+    @property
+    def value(self):
+        kept = self._kept()
+        if "value" not in kept:
+            kept["value"] = pickle.loads(self.box.value)
+        return kept["value"]
+
+    def made(self, name: str, make: Callable):
+        kept = self._kept()
+        if name not in kept:
+            kept[name] = make(self.value)
+        return kept[name]
+
+
+def fresh(taken: Iterable[str], name: str) -> str:
+    """The name, or one that starts with it, that no given column has in any case of letters."""
+    known = {column.lower() for column in taken}
+    while name.lower() in known:
+        name += "_"
+    return name
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ready(spark).read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -87,6 +125,17 @@ def map_texts(
     return rows.mapInArrow(run, schema)
 
 
+def map_rows(docs: DataFrame, run: Callable, extra: Iterable[StructField] = ()) -> DataFrame:
+    """``mapInArrow`` over whole rows, whatever their columns are called; ``run`` may add the fields of ``extra``.
+
+    Meanwhile the columns have the names c0, c1 and so on, since a name with a dot cannot be passed on.
+    """
+    plain = [StructField(f"c{i}", field.dataType) for i, field in enumerate(docs.schema.fields)]
+    extra = list(extra)
+    done = docs.toDF(*[field.name for field in plain]).mapInArrow(run, StructType([*plain, *extra]))
+    return done.toDF(*docs.columns, *[field.name for field in extra])
+
+
 def keep_rows(docs: DataFrame, make: Callable[[], Callable[[list], list[bool]]], text_col: str = "text") -> DataFrame:
     """The rows, in all their columns, whose text the function keeps; ``make`` as in ``map_texts``."""
     position = docs.columns.index(text_col)
@@ -97,7 +146,7 @@ def keep_rows(docs: DataFrame, make: Callable[[], Callable[[list], list[bool]]],
             kept = work([text or "" for text in batch.column(position).to_pylist()])
             yield batch.filter(pa.array(kept, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run)
 
 
 def bounded_rows(df: DataFrame, limit: int, what: str) -> list:

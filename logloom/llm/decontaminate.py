@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from logloom.llm.common import bounded_rows, ready, whole_text
+from logloom.llm.common import Shared, bounded_rows, ready, whole_text
 from logloom.session import durable
 
 WINDOW = 13
@@ -196,7 +196,7 @@ def find_overlaps(
     kind = rows.schema[0].dataType.simpleString()
     blocks = item_blocks(items, item_id, item_text, block_words)
     for number, block in enumerate(blocks):
-        shared = spark.sparkContext.broadcast(ItemAutomaton(block, window))
+        shared = Shared(spark, ItemAutomaton(block, window))
         last = number == len(blocks) - 1
 
         def run(batches, shared=shared, last=last):
@@ -246,11 +246,14 @@ def after_all_blocks(
     """
     spark = ready(docs.sparkSession)
     position, width = docs.columns.index(text_col), len(docs.columns)
+    names = docs.columns
+    # Plain names meanwhile: those of the table may hold dots, or be the one of the spans.
+    docs = docs.toDF(*[f"c{i}" for i in range(width)])
     schema = docs.schema
-    carried = StructType([*schema.fields, StructField("_spans", ArrayType(LongType()))])
+    carried = StructType([*schema.fields, StructField("spans", ArrayType(LongType()))])
     blocks = item_blocks(items, "item_id", "text", block_words)
     for number, block in enumerate(blocks):
-        shared = spark.sparkContext.broadcast(ItemAutomaton(block, window))
+        shared = Shared(spark, ItemAutomaton(block, window))
         last = number == len(blocks) - 1
 
         def run(batches, shared=shared, first=number == 0, last=last):
@@ -264,12 +267,12 @@ def after_all_blocks(
                     yield finish(rows, spans)
                 else:
                     flat = pa.array([[x for span in s for x in span] for s in spans], pa.list_(pa.int64()))
-                    yield pa.RecordBatch.from_arrays([*rows.columns, flat], names=[*rows.schema.names, "_spans"])
+                    yield pa.RecordBatch.from_arrays([*rows.columns, flat], names=[*rows.schema.names, "spans"])
 
         docs = docs.mapInArrow(run, schema if last else carried)
         if not last:
             docs = durable(docs)
-    return docs
+    return docs.toDF(*names)
 
 
 def drop_contaminated(

@@ -170,7 +170,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", k
     trees = model()
     passed = [F.col(f"`{name}`") for name in (id_col, *keep)]
     rows = pages.select(*passed, F.coalesce(F.col(f"`{html_col}`"), F.lit("")))
-    schema = StructType([*rows.schema.fields[:-1], StructField("text", StringType()), StructField("n_chars", LongType())])
+    # Plain names meanwhile: those of the table may hold dots.
+    kept = [StructField(f"c{i}", field.dataType) for i, field in enumerate(rows.schema.fields[:-1])]
+    schema = StructType([*kept, StructField("text", StringType()), StructField("n_chars", LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,4 +181,5 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", k
             columns += [pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    plain = rows.toDF(*schema.names[: len(rows.columns) - 1], "html")
+    return plain.mapInArrow(run, schema).toDF(id_col, *keep, "text", "n_chars")

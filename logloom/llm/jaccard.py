@@ -17,10 +17,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from logloom.llm.common import ready, whole_text
+from logloom.llm.common import fresh, map_rows, ready, whole_text
 from logloom.llm.components import connected
 from logloom.llm.hashing import as_long, digest, lower_words, mixed, shingle_set
-from logloom.session import durable
+from logloom.session import durable, release
 
 SHINGLE, PERCENT = 4, 85
 # Counters of the sketch that orders shingles; their number bounds what is broadcast, not what is counted.
@@ -379,9 +379,13 @@ def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_col: s
     wanted = durable(found.select(F.col("a").alias("node")).union(found.select("b")).union(long_nodes).distinct())
     texts = durable(texts_of_nodes(rows, wanted, size))
     links = durable(verified(found, texts, size, percent))
+    del found, wanted, pairs, nodes, table
     roots = connected(links)
     more = across(long_lists, roots, texts, size, percent)
-    return documents, durable(links.union(more))
+    links = durable(links.union(more))
+    del more, roots, texts, long_lists, long_nodes, index, shingles
+    release(spark)
+    return documents, links
 
 
 def grouped(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
@@ -405,8 +409,8 @@ def similar_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT,
     )
 
 
-def with_nodes(docs: DataFrame, size: int, text_col: str) -> DataFrame:
-    """All rows and columns, and ``_node`` as in ``documents_and_sketch``."""
+def with_nodes(docs: DataFrame, size: int, text_col: str, name: str) -> DataFrame:
+    """All rows and columns, and the node as in ``documents_and_sketch`` under a ``name`` of its own."""
     position = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -414,26 +418,34 @@ def with_nodes(docs: DataFrame, size: int, text_col: str) -> DataFrame:
             texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(position).to_pylist()]
             sets = [shingle_set(lower_words(raw), size) for raw in texts]
             nodes = pa.array([digest(s) if len(s) else None for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, nodes], names=[*batch.schema.names, "_node"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, nodes], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_node", LongType())]))
+    return map_rows(docs, run, [StructField(name, LongType())])
 
 
 def keep_one(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows, in all columns, of the smallest id of each group; rows without words or without an id all stay.
 
-    Where that id repeats in a group, the row with the smallest text stays. An id may stand in several groups.
+    Where that id repeats in a group, the row with the smallest text stays. An id may stand in several groups. Columns
+    of the table may have any names.
     """
     words = durable(grouped(docs, size, percent, id_col, text_col).filter(F.col("n") > 0).filter("doc_id IS NOT NULL"))
-    again = durable(words.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_again")))
-    gone = words.filter("doc_id <> least").select(F.col("doc_id").alias("_gone")).distinct()
+    gone_id, again_id, node, stay_id, stay_node, root, row = (
+        fresh(docs.columns, name) for name in ("_gone", "_again", "_node", "_id", "_n", "_root", "_row")
+    )
+    again = durable(words.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias(again_id)))
+    gone = words.filter("doc_id <> least").select(F.col("doc_id").alias(gone_id)).distinct()
     told = whole_text(text_col).rlike(r"[^\x20\x09-\x0D]")
+    mine = docs[id_col]
     if again.isEmpty():
-        return docs.join(gone, (F.col(id_col) == F.col("_gone")) & told, "left_anti")
+        return docs.join(gone, (mine == F.col(gone_id)) & told, "left_anti")
     # Repeated ids are decided row by row; the others, as above, by the id.
-    once = docs.join(gone.union(again).distinct(), (F.col(id_col) == F.col("_gone")) & told, "left_anti")
-    rows = with_nodes(docs.filter(told).join(again, F.col(id_col) == F.col("_again"), "left_semi"), size, text_col)
-    stay = words.filter("doc_id = least").select(F.col("doc_id").alias("_id"), F.col("node").alias("_n"), F.col("root").alias("_root")).distinct()
-    rows = rows.join(stay, (F.col(id_col) == F.col("_id")) & (F.col("_node") == F.col("_n")))
-    first = F.min_by(F.struct(*[F.col(c) for c in docs.columns]), F.col(text_col)).alias("_row")
-    return once.union(rows.groupBy("_root").agg(first).select("_row.*"))
+    once = docs.join(gone.union(again).distinct(), (mine == F.col(gone_id)) & told, "left_anti")
+    rows = with_nodes(docs.filter(told).join(again, mine == F.col(again_id), "left_semi"), size, text_col, node)
+    stay = words.filter("doc_id = least").select(
+        F.col("doc_id").alias(stay_id), F.col("node").alias(stay_node), F.col("root").alias(root)
+    ).distinct()
+    rows = rows.join(stay, (rows[id_col] == F.col(stay_id)) & (F.col(node) == F.col(stay_node)))
+    first = F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.col(text_col)).alias(row)
+    kept = rows.groupBy(root).agg(first)
+    return once.union(kept.select(*[F.col(row)[c].alias(c) for c in docs.columns]))

@@ -9,7 +9,7 @@ from collections import Counter
 
 from pyspark.sql import DataFrame
 
-from logloom.llm.common import map_texts, ready
+from logloom.llm.common import map_rows, map_texts, ready
 
 # The base patterns of the contract.
 ASSIGN = re.compile(
@@ -48,13 +48,63 @@ def name_score(name: str) -> int:
     return max((SENSITIVE.get(p, 0) for p in [*parts, *joined]), default=0)
 
 
+def points_of(counts: Counter) -> int:
+    """A point each for being there, length, mixed letters and digits, and entropy."""
+    size = sum(counts.values())
+    entropy = -sum(n / size * math.log2(n / size) for n in counts.values())
+    mixed = any(c.isdigit() for c in counts) and any(c.isalpha() for c in counts)
+    return 1 + (size >= 12) + mixed + (entropy >= 3.0)
+
+
 def literal_score(value: str) -> int:
-    """0 for a harmless literal; else a point each for length, mixed letters and digits, and entropy."""
+    """0 for a harmless literal, else its points."""
     if len(value) < 6 or HARMLESS.match(value) or (" " in value.strip() and PROSE.search(value)):
         return 0
-    entropy = -sum(n / len(value) * math.log2(n / len(value)) for n in Counter(value).values())
-    mixed = any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
-    return 1 + (len(value) >= 12) + mixed + (entropy >= 3.0)
+    return points_of(Counter(value))
+
+
+# A literal joined beyond this length is known by its letters' counts alone; counts stop at the second number.
+JOINED_LENGTH, MOST = 4096, 1 << 50
+
+
+class Literal:
+    """What an assignment binds: spans of its own, earlier literals that it joins, and its text or letters' counts.
+
+    Parts are referred to, not copied: a name that is added to itself again and again costs a step each time.
+    """
+
+    __slots__ = ("text", "counts", "spans", "parts")
+
+    def __init__(self, text: str, spans: list[tuple[int, int]]) -> None:
+        self.text, self.counts, self.spans, self.parts = text, None, spans, []
+
+    @classmethod
+    def joined(cls, parts: list["Literal"]) -> "Literal":
+        if len(parts) == 1:
+            return parts[0]
+        made = cls("", [])
+        made.parts = parts
+        if all(p.text is not None for p in parts) and sum(len(p.text) for p in parts) <= JOINED_LENGTH:
+            made.text = "".join(p.text for p in parts)
+            return made
+        made.text, made.counts = None, Counter()
+        for part in parts:
+            for letter, n in (Counter(part.text) if part.text is not None else part.counts).items():
+                made.counts[letter] = min(made.counts[letter] + n, MOST)
+        return made
+
+    def score(self) -> int:
+        return points_of(self.counts) if self.text is None else literal_score(self.text)
+
+    def collect(self, into: set[tuple[int, int]], seen: set[int]) -> None:
+        """Add the spans of all parts; a part that was seen before adds nothing."""
+        left = [self]
+        while left:
+            part = left.pop()
+            if id(part) not in seen:
+                seen.add(id(part))
+                into.update(part.spans)
+                left += part.parts
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -67,20 +117,20 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return found + [(*m.span(), "hex") for m in HEX.finditer(text)]
 
 
-def pairs(text: str) -> list[tuple[str, str, list[tuple[int, int]]]]:
-    """(target name, literal, spans of its parts) of each assignment.
+def pairs(text: str) -> list[tuple[str, Literal]]:
+    """(target name, literal) of each assignment.
 
     A name on the right that an earlier assignment bound stands for that literal; parts joined by + are one.
     Every target directly before an operator has its own pair, also inside the right-hand side of another one,
     and the targets of a chain (a = b = literal) all get its literal.
     """
-    bound: dict[str, tuple[str, list[tuple[int, int]]]] = {}
+    bound: dict[str, Literal] = {}
     found, chain, right = [], [], None
 
     def close() -> None:
         for name in chain:
             bound[name] = bound[right[2]]
-            found.append((name, *bound[name]))
+            found.append((name, bound[name]))
         chain.clear()
 
     match = PAIR.search(text)
@@ -89,22 +139,17 @@ def pairs(text: str) -> list[tuple[str, str, list[tuple[int, int]]]]:
             chain.append(right[2])
         elif chain:
             close()
-        value, spans = "", []
+        parts = []
         for term in EACH_TERM.finditer(text, match.start(3), match.end(3)):
             if term[0][0] in "\"'":
-                value += term[0][1:-1]
-                spans.append((term.start() + 1, term.end() - 1))
-            elif term[0] in bound:
-                value += bound[term[0]][0]
-                spans += bound[term[0]][1]
+                parts.append(Literal(term[0][1:-1], [(term.start() + 1, term.end() - 1)]))
             else:
-                value += term[0]
-                spans.append(term.span())
+                parts.append(bound.get(term[0]) or Literal(term[0], [term.span()]))
         # What stands where a type may stand can be a value.
         if match[2] and any(c.isdigit() for c in match[2]):
-            found.append((match[1], match[2], [match.span(2)]))
-        bound[match[1]] = (value, spans)
-        found.append((match[1], value, spans))
+            found.append((match[1], Literal(match[2], [match.span(2)])))
+        bound[match[1]] = Literal.joined(parts)
+        found.append((match[1], bound[match[1]]))
         right = (*match.span(3), match[1])
         match = PAIR.search(text, match.end(1))
     if chain:
@@ -116,12 +161,12 @@ def scan(text: str) -> list[tuple[int, int, str]]:
     """All spans of a text by start, then kind: the base ones, and literals whose pair scores enough."""
     found = base_spans(text)
     if "=" in text or ":" in text:
-        extra = set()
-        for name, value, spans in pairs(text):
+        extra, seen = set(), set()
+        for name, literal in pairs(text):
             weight = name_score(name)
-            if weight > 1 and (points := literal_score(value)) and weight + points >= THRESHOLD:
-                extra.update(s for s in spans if s[0] < s[1])
-        found += [(*s, "pair") for s in extra]
+            if weight > 1 and (points := literal.score()) and weight + points >= THRESHOLD:
+                literal.collect(extra, seen)
+        found += [(*s, "pair") for s in extra if s[0] < s[1]]
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
@@ -132,7 +177,8 @@ def written(spans: list[tuple[int, int, str]]) -> str:
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Counts per base kind and all spans (kind:start:end in code points, end exclusive) of each whole text.
 
-    A null or empty text has no spans. One row per input row.
+    A null or empty text has no spans. One row per input row; texts of any length are read whole, and other columns
+    are not.
     """
     ready(docs.sparkSession)
 
@@ -174,4 +220,4 @@ def mask_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
             columns[position] = pa.array(texts, batch.schema[position].type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run)

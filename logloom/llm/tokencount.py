@@ -5,12 +5,13 @@ from __future__ import annotations
 import json
 import re
 from dataclasses import dataclass
+from heapq import heapify, heappop, heappush
 
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import map_texts, ready
+from logloom.llm.common import Shared, map_texts, ready
 
 # The white space and the pre-token pattern of byte-level BPE.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -20,6 +21,8 @@ PRE_TOKEN = (
 # No pre-token crosses the edge of such a unit, so counts of units add up to the text's count.
 UNIT = rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 CACHED_STRINGS = 500_000
+# Bytes from which a pre-token is merged by a heap instead of by looking for the lowest pair each time.
+LONG_WORD = 200
 
 
 def byte_letters() -> dict[str, int]:
@@ -39,6 +42,8 @@ class Merges:
 
     def pieces(self, word: bytes) -> int:
         """Tokens of one pre-token: the pair of lowest rank joins first, the leftmost among equals."""
+        if len(word) > LONG_WORD:
+            return self.pieces_of_long(word)
         parts = [self.single[b] for b in word]
         rank_of, none = self.ranks.get, len(self.made)
         known = [rank_of(a << 32 | b, none) for a, b in zip(parts, parts[1:])]
@@ -54,6 +59,30 @@ class Merges:
         return len(parts)
 
 
+    def pieces_of_long(self, word: bytes) -> int:
+        """The same by a heap of pairs over linked parts: a pre-token of any length takes n log n steps."""
+        parts = [self.single[b] for b in word]
+        size, rank_of = len(parts), self.ranks.get
+        after, before, left = list(range(1, size + 1)), list(range(-1, size - 1)), size
+        heap = [(r, i) for i in range(size - 1) if (r := rank_of(parts[i] << 32 | parts[i + 1])) is not None]
+        heapify(heap)
+        while heap:
+            rank, at = heappop(heap)
+            other = after[at]
+            # A pair that one of its parts has left since is no pair any more.
+            if parts[at] < 0 or other >= size or rank_of(parts[at] << 32 | parts[other]) != rank:
+                continue
+            parts[at], parts[other] = self.made[rank], -1
+            after[at] = after[other]
+            if after[at] < size:
+                before[after[at]] = at
+            left -= 1
+            for first in (before[at], at):
+                if first >= 0 and after[first] < size and (r := rank_of(parts[first] << 32 | parts[after[first]])) is not None:
+                    heappush(heap, (r, first))
+        return left
+
+
 def numbered_merges(pairs: list[tuple[bytes, bytes]]) -> Merges:
     numbers = {bytes([b]): b for b in range(256)}
     for a, b in pairs:
@@ -126,12 +155,13 @@ def text_counter(vocabulary: Vocabulary):
 def count_tokens(docs: DataFrame, path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Bytes and tokens of each whole text, and whether the tokens exceed ``limit``.
 
-    A null or empty text has none. One row per input row, repeated ids included.
+    A null or empty text has none. One row per input row, repeated ids included. Texts and pre-tokens of any length
+    are counted whole; other columns are not read.
     """
-    shared = ready(docs.sparkSession).sparkContext.broadcast(load_vocabulary(path))
+    shared = Shared(ready(docs.sparkSession), load_vocabulary(path))
 
     def make():
-        count = text_counter(shared.value)
+        count = shared.made("counter", text_counter)
         return lambda texts: {"n_bytes": [len(t.encode()) for t in texts], "n_tokens": [count(t) for t in texts]}
 
     found = map_texts(docs, {"n_bytes": "long", "n_tokens": "long"}, make, id_col, text_col)

@@ -61,7 +61,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, settings: Settings) -> D
     chosen = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.max_rows)
     texts = docs.select("doc_id", whole_text().alias("text"))
     # The chosen ids number max_rows at most, which bounds what is broadcast.
-    return texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("_toxic").alias("toxic"))
+    found = texts.join(F.broadcast(chosen), "doc_id")
+    # Of a repeated id one text counts, so that the rows are bounded as the ids are.
+    one_text = F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")
+    return found.groupBy("doc_id", F.col("_toxic").alias("toxic")).agg(one_text).select("doc_id", "text", "toxic")
 
 
 def choose_terms(sample: DataFrame, n_rows: int, n_toxic: int, settings: Settings) -> dict[str, float]:
@@ -151,8 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
         return work
 
     found = map_texts(sample.select(F.struct("doc_id", "toxic").alias("row"), "text"), {"at": "array<int>"}, make, "row")
-    # Repeated document ids may repeat a chosen row; the bound leaves room for them.
-    rows = bounded_rows(found.select("row.doc_id", "row.toxic", "at").distinct(), 4 * settings.max_rows, "the labelled sample")
+    rows = bounded_rows(found.select("row.doc_id", "row.toxic", "at"), settings.max_rows, "the labelled sample")
     rows.sort(key=lambda r: (r["doc_id"], r["at"]))
     present = np.zeros((len(rows), len(terms)), np.float64)
     for i, row in enumerate(rows):

@@ -485,7 +485,7 @@ def test_pieces_equal_the_library(docs, rows, empty):
 
 @pytest.mark.parametrize("order", [1, 2, 3])
 def test_backoff_scores(docs, rows, empty, order, monkeypatch):
-    monkeypatch.setattr(backoff, "BLOCK_IDS", 10)
+    monkeypatch.setattr(backoff, "BLOCK_BYTES", 3000)
     monkeypatch.setattr(backoff, "SLICE_GRAMS", 1000)
     found = backoff.score_documents(docs, order)
     frame = backoff.blocks_of(docs, "doc_id", "text").collect()
@@ -515,7 +515,7 @@ def test_backoff_scores(docs, rows, empty, order, monkeypatch):
 
 @pytest.mark.parametrize("order, step", [(2, 1), (3, 1), (3, 2)])
 def test_backoff_leaves_only_itself_out(spark, rows, order, step, monkeypatch):
-    monkeypatch.setattr(backoff, "BLOCK_IDS", 10)
+    monkeypatch.setattr(backoff, "BLOCK_BYTES", 3000)
     monkeypatch.setattr(backoff, "SLICE_GRAMS", 1000)
     # With a step of 2 all ids are even.
     texts = [(None if r[0] is None else r[0] * step, r[1]) for r in rows]
