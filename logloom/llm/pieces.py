@@ -10,20 +10,24 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from dataclasses import dataclass
+from heapq import heapify, heappop, heappush
 
 import ahocorasick
 import numpy as np
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from logloom.llm.common import map_texts, ready
+from logloom.llm.common import Shared, map_texts, ready
 
 SPACE = "▁"
 # No piece has a space mark after another letter, so no piece crosses the edge of a unit.
 UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 # Bounds of what a task remembers: ids of units, of at most 64 letters each, and verdicts on neighbours.
-CACHED_UNITS, CACHED_PAIRS = 600_000, 200_000
+CACHED_UNITS, CACHED_PAIRS = 1_000_000, 1_000_000
+# Parts from which a text is merged by a heap instead of by looking for the best pair each time.
+LONG_UNIT = 48
 UNKNOWN = -1
 
 
@@ -74,10 +78,12 @@ class Encoder:
         for byte, number in enumerate(table.byte_ids):
             raw[number] = bytes([byte])
         self.raw = raw
-        self.neighbours: dict[tuple[int, int], bool] = {}
+        self.neighbours: dict[int, bool] = {}
 
     def merge(self, text: str) -> list[str]:
         """Pieces by the model's definition: the best-scored neighbours join first, leftmost among equals."""
+        if len(text) > LONG_UNIT:
+            return self.merge_long(text)
         scores, parts = self.table.scores, list(text)
         while len(parts) > 1:
             joined = [(-scores[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in scores]
@@ -87,33 +93,59 @@ class Encoder:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    def merge_long(self, text: str) -> list[str]:
+        """The same by a heap of pairs over linked parts: runs of any length take n log n steps."""
+        score, parts, size = self.table.scores.get, list(text), len(text)
+        after, before = list(range(1, size + 1)), list(range(-1, size - 1))
+        heap = [(-s, i, parts[i] + parts[i + 1]) for i in range(size - 1) if (s := score(parts[i] + parts[i + 1])) is not None]
+        heapify(heap)
+        while heap:
+            _, at, joined = heappop(heap)
+            other = after[at]
+            # A pair that one of its parts has left since is no pair any more.
+            if not parts[at] or other >= size or len(parts[at]) + len(parts[other]) != len(joined):
+                continue
+            parts[at], parts[other] = joined, ""
+            after[at] = after[other]
+            if after[at] < size:
+                before[after[at]] = at
+            for first in (before[at], at):
+                if first >= 0 and after[first] < size and (s := score(pair := parts[first] + parts[after[first]])) is not None:
+                    heappush(heap, (-s, first, pair))
+        return [part for part in parts if part]
+
     def may_follow(self, before: int, piece: int) -> bool:
         """Whether a piece may stand after another (or first, or after an unknown letter)."""
-        key = (before, piece)
-        if (known := self.neighbours.get(key)) is None:
-            parts = [self.table.texts[n] for n in key if n != UNKNOWN]
-            if len(self.neighbours) >= CACHED_PAIRS:
-                self.neighbours.clear()
-            known = self.neighbours[key] = self.merge("".join(parts)) == parts
-        return known
+        parts = [self.table.texts[n] for n in (before, piece) if n != UNKNOWN]
+        return self.merge("".join(parts)) == parts
 
     def pass_over(self, unit: str) -> list[tuple[int, int]]:
-        """(end, piece) along the best path; an unknown letter is a step of its own."""
-        ends: list[list[tuple[int, int]]] = [[] for _ in range(len(unit) + 1)]
+        """(end, piece) along the best path; an unknown letter is a step of its own.
+
+        The automaton gives the pieces that end at each position, from left to right. A position takes the first one
+        that may follow the piece which its start has taken; that verdict is remembered per pair.
+        """
+        size, known = len(unit), self.neighbours
+        last, step = [UNKNOWN] * (size + 1), [0] * (size + 1)
         for end, (piece, length) in self.automaton.iter(unit):
-            ends[end + 1].append((piece, length))
-        best: list[tuple[int, int]] = [(UNKNOWN, 0)] * (len(unit) + 1)
-        for end in range(1, len(unit) + 1):
-            best[end] = (UNKNOWN, 1)
-            for piece, length in ends[end]:
-                if self.may_follow(best[end - length][0], piece):
-                    best[end] = (piece, length)
-                    break
-        path, end = [], len(unit)
+            end += 1
+            if step[end]:
+                continue
+            before = last[end - length]
+            key = (before << 32) + piece
+            verdict = known.get(key)
+            if verdict is None:
+                if len(known) >= CACHED_PAIRS:
+                    known.clear()
+                verdict = known[key] = self.may_follow(before, piece)
+            if verdict:
+                last[end], step[end] = piece, length
+        path, end = [], size
         while end:
-            path.append((end, best[end][0]))
-            end -= best[end][1]
-        return path[::-1]
+            path.append((end, last[end]))
+            end -= step[end] or 1
+        path.reverse()
+        return path
 
     def unit_ids(self, unit: str) -> bytes:
         if SPACE * 2 in unit:  # runs of spaces have equal scores, which only the definition orders
@@ -123,10 +155,12 @@ class Encoder:
                 ends.append((end, self.table.ids.get(part, UNKNOWN)))
         else:
             ends = self.pass_over(unit)
-        ids: list[int] = []
-        for end, piece in ends:
-            ids.extend([piece] if piece != UNKNOWN else [self.table.byte_ids[b] for b in unit[end - 1].encode()])
-        return np.array(ids, np.int32).tobytes()
+        ids = array("i", [piece for _, piece in ends])
+        if UNKNOWN in ids:
+            ids = array("i")
+            for end, piece in ends:
+                ids.extend([piece] if piece != UNKNOWN else [self.table.byte_ids[b] for b in unit[end - 1].encode("utf-8", "surrogatepass")])
+        return ids.tobytes()
 
     def encode(self, text: str) -> np.ndarray:
         """Piece ids of a whole text; an empty text has none."""
@@ -144,12 +178,13 @@ class Encoder:
 def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Piece ids of each whole text, one row per input row: ``n_pieces``, ``piece_ids`` and ``n_byte_pieces``.
 
-    A null or empty text has no pieces. The letter U+2581 of a text reads as a space, as in the library.
+    A null or empty text has no pieces; texts of any length are encoded whole, runs of spaces included. Repeated
+    rows give repeated results, and other columns are not read. The letter U+2581 of a text reads as a space, as in the library.
     """
-    shared = ready(docs.sparkSession).sparkContext.broadcast(load_pieces(path))
+    shared = Shared(ready(docs.sparkSession), load_pieces(path))
 
     def make():
-        encoder = Encoder(shared.value)
+        encoder = shared.made("encoder", Encoder)
         low, high = min(shared.value.byte_ids), max(shared.value.byte_ids)
 
         def work(texts):
@@ -166,14 +201,14 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
 def decode_ids(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "piece_ids") -> DataFrame:
     """Texts of piece ids, one row per input row; null or no ids give an empty text."""
-    shared = ready(encoded.sparkSession).sparkContext.broadcast(load_pieces(path))
+    shared = Shared(ready(encoded.sparkSession), load_pieces(path))
     rows = encoded.select(id_col, encoded[ids_col].alias("ids"))
     kind = rows.schema[0].dataType.simpleString()
 
     def run(batches):
         import pyarrow as pa
 
-        encoder = Encoder(shared.value)
+        encoder = shared.made("encoder", Encoder)
         for batch in batches:
             texts = [encoder.decode(ids or ()) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[id_col, "text"])
@@ -183,10 +218,10 @@ def decode_ids(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: s
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: pieces, the CRC-32 of their ids as little-endian 32-bit numbers, and whether decoding gives the text."""
-    shared = ready(docs.sparkSession).sparkContext.broadcast(load_pieces(path))
+    shared = Shared(ready(docs.sparkSession), load_pieces(path))
 
     def make():
-        encoder = Encoder(shared.value)
+        encoder = shared.made("encoder", Encoder)
 
         def work(texts):
             ids = [encoder.encode(t) for t in texts]
