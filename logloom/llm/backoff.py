@@ -18,21 +18,38 @@ from pyspark.sql import functions as F
 
 from logloom.llm.common import ready, whole_text
 from logloom.llm.hashing import gram_hashes, lower_words, mixed, word_hashes
+from logloom.operators.skew import lookup, lookup_join
 
 ORDER, ALPHA = 2, 0.4
-# Ids of one block (both folds); n-grams of one slice.
-BLOCK_IDS, SLICE_GRAMS = 16_384, 500_000
+# Bytes of text of one block; n-grams of one slice; n-grams that a task holds before it sends them.
+BLOCK_BYTES, SLICE_GRAMS, HELD_GRAMS = 16 << 20, 400_000, 6_000_000
 SCHEMA = "block long, slice long, grams binary, counts binary"
 
 
 def blocks_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(block, doc_id, text): a block holds nearby ids of one fold; odd numbers are the fold of odd ids.
+    """(block, doc_id, text): a block holds nearby ids of one fold, about ``BLOCK_BYTES`` of text; odd numbers are the
+    fold of odd ids.
 
-    Rows without an id go by the hash of their text.
+    Ids are cut into equal ranges between the smallest and the largest, and a range with more text is parted by the
+    hash of its ids, so neither sparse nor crowded ids make blocks too small or too large. An id that is no whole
+    number goes by its hash, a row without one by the hash of its text.
     """
-    key = F.coalesce(F.col(id_col).cast("long"), F.pmod(F.xxhash64(text_col), F.lit(1 << 40)))
-    block = F.floor(key / F.lit(BLOCK_IDS)) * 2 + F.pmod(key, F.lit(2))
-    return docs.select(block.cast("long").alias("block"), F.col(id_col).alias("doc_id"), whole_text(text_col).cast("binary").alias("text"))
+    number = F.expr(f"try_cast(`{id_col}` AS BIGINT)")
+    hashed = F.pmod(F.xxhash64(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.col(f"`{text_col}`"))), F.lit(1 << 40))
+    rows = docs.select(F.coalesce(number, hashed).alias("key"), F.col(f"`{id_col}`").alias("doc_id"), whole_text(text_col).cast("binary").alias("text"))
+    # A row's share of a block is at least that of a short text.
+    share = F.greatest(F.length("text"), F.lit(64)).cast("long")
+    whole = rows.agg(F.min("key").cast("double").alias("lo"), F.max("key").cast("double").alias("hi"), F.sum(share).alias("b")).first()
+    ranges = max(1, (whole["b"] or 0) // (2 * BLOCK_BYTES))
+    width = max(1.0, ((whole["hi"] or 0.0) - (whole["lo"] or 0.0) + 1) / ranges)
+    rows = rows.withColumn("range", (F.floor((F.col("key") - F.lit(whole["lo"] or 0.0)) / F.lit(width)) * 2 + F.pmod("key", F.lit(2))).cast("long"))
+    parts = rows.groupBy("range").agg(F.ceil(F.sum(share) / F.lit(BLOCK_BYTES)).cast("long").alias("parts"))
+    before = parts.groupBy().agg(F.max("parts").alias("m")).first()["m"] or 1
+    crowded = lookup(parts.filter("parts > 1"))
+    part = F.pmod(F.xxhash64("key", "text"), F.coalesce("parts", F.lit(1)))
+    rows = lookup_join(rows, crowded, ["range"]).withColumn("part", part)
+    block = (F.floor(F.col("range") / 2) * F.lit(before) + F.col("part")) * 2 + F.pmod("range", F.lit(2))
+    return rows.select(block.cast("long").alias("block"), "doc_id", "text")
 
 
 def text_grams(raw: bytes, order: int) -> list[np.ndarray]:
@@ -76,7 +93,7 @@ def asked(rows: DataFrame, order: int, slices: int) -> DataFrame:
                 for grams in text_grams(raw, order):
                     held.setdefault(block, []).append(grams)
                     size += len(grams)
-            if size >= 12_000_000:
+            if size >= HELD_GRAMS:
                 yield from flush()
                 held, size = {}, 0
         if size:
@@ -172,19 +189,17 @@ def score_documents(
             return pa.table([pa.nulls(0, texts.schema.field("doc_id").type), *(pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64()))], names=names)
         fold = texts.column("block")[0].as_py() & 1
         levels = [text_grams(raw, order) for raw in texts.column("text").to_pylist()]
-        every, place = np.unique(np.concatenate([g for grams in levels for g in grams]), return_inverse=True)
+        every = np.unique(np.concatenate([g for grams in levels for g in grams]))
         replies = dict(zip(found.column("slice").to_pylist(), found.column("counts").to_pylist()))
         counts = np.zeros(len(every), np.float64)
         for number, grams, places in sliced(every, np.arange(len(every)), slices):
             counts[places] = np.frombuffer(zlib.decompress(replies[number]), np.uint64)
         out = []
-        flat, at = counts[place], 0
         for grams in levels:
             known = []
             for g in grams:
-                found_counts = flat[at : at + len(g)]
+                found_counts = counts[np.searchsorted(every, g)]
                 known.append(others(g, found_counts) if leave_one_out else found_counts)
-                at += len(g)
             total = sum(totals.values()) - len(grams[0]) if leave_one_out else totals[1 - fold]
             scores = log_scores(grams, known, total, alpha)
             full = int((known[-1] > 0).sum())
