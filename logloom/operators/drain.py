@@ -4,20 +4,27 @@ The published algorithm visits lines one after another. Lines of one source and
 independent stream. A stream is sorted by line and read through an iterator that holds its clusters, not
 its lines: the result does not depend on batch size or partitioning, and every size gives the result of
 the plain sequential pass.
+
+Most lines repeat an earlier one, and a repeat is read only where it may matter. A line's cluster depends on the
+templates filed under its first token and under the wildcard. As long as none of them changes, equal lines get the same
+cluster and change nothing. So the first pass reads the first line of every distinct token list, and reports when which
+templates changed; later ones read the first repeat behind each change of a list's own branches. The passes end when
+one reports no change that its lines were not chosen by: then no line that it left out would have changed anything.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.functions.text import WILDCARD, event_id
 from logloom.operators.skew import lookup_join
 from logloom.operators.templates import routed
-from logloom.session import durable
+from logloom.session import durable, release
 
 # Least similarity of a line and its cluster, most branches of one level.
 SIMILARITY = 0.5
@@ -31,13 +38,15 @@ class _Branches:
     def __init__(self) -> None:
         self.members: dict[str, list[int]] = {}
 
-    def search(self, token: str) -> list[int]:
-        return self.members.get(token) or self.members.get(WILDCARD) or []
+    def branch(self, token: str) -> str:
+        """Where clusters for a line with this first token are looked for."""
+        return token if token in self.members else WILDCARD
 
-    def file(self, token: str, cluster: int) -> None:
+    def file(self, token: str, cluster: int) -> str:
         if token not in self.members and not self._may_open(token):
             token = WILDCARD
         self.members.setdefault(token, []).append(cluster)
+        return token
 
     def _may_open(self, token: str) -> bool:
         if any(ch.isdigit() for ch in token):
@@ -53,64 +62,147 @@ class Clusters:
         self.similarity, self.branches = similarity, _Branches()
         self.templates: list[list[str]] = []
 
-    def add(self, words: list[str]) -> int:
-        """Number of the cluster that takes the line; its template is widened to cover it."""
-        best, best_rank = -1, (-1.0, -1)
+    def add(self, words: list[str]) -> tuple[int, str | None]:
+        """Number of the cluster that takes the line, widened to cover it, and the branch that this changed, if any."""
+        best, best_rank, branch = -1, (-1.0, -1), WILDCARD
         if len(words) > 1:
-            for number in self.branches.search(words[0]):
+            branch = self.branches.branch(words[0])
+            for number in self.branches.members.get(branch, ()):
                 template = self.templates[number]
                 same = sum(a == b and a != WILDCARD for a, b in zip(template, words))
                 rank = (same / len(words), template.count(WILDCARD))
                 if rank > best_rank:
                     best, best_rank = number, rank
         if best_rank[0] < self.similarity:
-            best = len(self.templates)
             self.templates.append(list(words))
-            if len(words) > 1:
-                self.branches.file(words[0], best)
-        else:
-            self.templates[best] = [a if a == b else WILDCARD for a, b in zip(self.templates[best], words)]
-        return best
+            best = len(self.templates) - 1
+            return best, self.branches.file(words[0], best) if len(words) > 1 else None
+        wider = [a if a == b else WILDCARD for a, b in zip(self.templates[best], words)]
+        changed = branch if wider != self.templates[best] else None
+        self.templates[best] = wider
+        return best, changed
 
 
 def cluster_in_order(token_lists: list[list[str]], similarity: float = SIMILARITY) -> list[str]:
     """Final template of every line, for lines of one token count in their order."""
     clusters = Clusters(similarity)
-    owner = [clusters.add(list(words)) for words in token_lists]
+    owner = [clusters.add(list(words))[0] for words in token_lists]
     return [" ".join(clusters.templates[number]) for number in owner]
 
 
-FOUND = "source string, n_tokens int, ord long, cluster int, template string"
+FOUND = "source string, n_tokens int, ord long, cluster int, template string, branch string"
+COLUMNS = ["source", "n_tokens", "ord", "cluster", "template", "branch"]
 
 
 def _read_streams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sorted lines of whole streams: each line's cluster, then a row per cluster with its last template."""
+    """Sorted lines of whole streams: each line's cluster and the branch that it changed, then a row per cluster with
+    its last template."""
     stream, clusters = None, Clusters()
 
     def templates() -> pd.DataFrame:
-        rows = [(*stream, None, i, " ".join(t)) for i, t in enumerate(clusters.templates)]
-        return pd.DataFrame(rows, columns=["source", "n_tokens", "ord", "cluster", "template"]).astype({"ord": "Int64"})
+        rows = [(*stream, None, i, " ".join(t), None) for i, t in enumerate(clusters.templates)]
+        return pd.DataFrame(rows, columns=COLUMNS).astype({"ord": "Int64"})
 
     for batch in batches:
-        numbers = []
+        numbers, branches = [], []
         for source, size, words in zip(batch["source"], batch["n_tokens"], batch["tokens"]):
             if (source, size) != stream:
                 if stream is not None:
                     yield templates()
                 stream, clusters = (source, size), Clusters()
-            numbers.append(clusters.add(list(words)))
-        yield batch[["source", "n_tokens", "ord"]].assign(cluster=numbers, template=None)
+            number, branch = clusters.add(list(words))
+            numbers.append(number)
+            branches.append(branch)
+        yield batch[["source", "n_tokens", "ord"]].assign(cluster=numbers, template=None, branch=branches)[COLUMNS]
     if stream is not None:
         yield templates()
 
 
+def read_in_order(feed: DataFrame) -> DataFrame:
+    """One sequential pass over the streams of lines (source, n_tokens, ord, tokens)."""
+    ordered = feed.repartition(*STREAM).sortWithinPartitions(*STREAM, "ord")
+    return durable(ordered.select("source", "n_tokens", "ord", "tokens").mapInPandas(_read_streams, FOUND))
+
+
+def _since(lines: DataFrame, changes: DataFrame) -> DataFrame:
+    """Lines with ``_own`` and ``_wild``: the last earlier change of the branch of their first token, and of the wildcard's.
+
+    Changes and lines of a branch are sorted together; a running maximum of the changes is all that is kept of them.
+    """
+    marks = changes.select(*STREAM, "branch", "ord", F.col("ord").alias("_change"), F.lit(None).cast("array<string>").alias("tokens"))
+    first = F.coalesce(F.try_element_at("tokens", F.lit(1)), F.lit(""))
+    looks = F.explode(F.array_distinct(F.array(first, F.lit(WILDCARD))))
+    asked = lines.select(*STREAM, looks.alias("branch"), "ord", F.lit(None).cast("long").alias("_change"), "tokens")
+    order = Window.partitionBy(*STREAM, "branch").orderBy("ord", F.col("_change").isNotNull())
+    running = F.max("_change").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    known = asked.unionByName(marks).withColumn("_last", F.coalesce(running, F.lit(-(2**62)))).filter("_change IS NULL")
+    own, wild = F.max(F.when(F.col("branch") != WILDCARD, F.col("_last"))), F.max(F.when(F.col("branch") == WILDCARD, F.col("_last")))
+    return known.groupBy(*STREAM, "ord").agg(F.first("tokens").alias("tokens"), own.alias("_own"), wild.alias("_wild"))
+
+
+@dataclass
+class Streams:
+    """Clusters of all lines: (source, n_tokens, ord, cluster), the last template of every cluster, and how many lines
+    each sequential pass read."""
+
+    owners: DataFrame
+    templates: DataFrame
+    read: list[int]
+
+
+def cluster_streams(lines: DataFrame) -> Streams:
+    """Online clustering of lines (source, n_tokens, ord, tokens) of two tokens or more, as one pass over all would do it."""
+    lines = durable(lines)
+    alike = [*STREAM, "tokens"]
+    lists = durable(lines.groupBy(*alike).agg(F.min("ord").alias("ord"), F.count(F.lit(1)).alias("n")))
+    once = lists.filter("n = 1").drop("n")
+    repeats = durable(lines.join(lists.filter("n > 1").drop("n", "ord"), alike))
+    found = read_in_order(lists)
+    read = [lists.count()]
+    fed = lists.select(*STREAM, "ord")
+    bounds = durable(found.filter("branch IS NOT NULL").select(*STREAM, "branch", "ord"))
+    groups = [*alike, "_own", "_wild"]
+    while True:
+        placed = durable(_since(repeats, bounds))
+        # Nulls would not meet in a join; lines that start with the wildcard have no branch of their own.
+        placed = placed.withColumn("_own", F.coalesce("_own", F.lit(-(2**62))))
+        heads = placed.groupBy(*groups).agg(F.min("ord").alias("ord"))
+        feed = durable(heads.select(*alike, "ord").unionByName(once.select(*alike, "ord")))
+        grown = feed.join(fed, [*STREAM, "ord"], "left_anti").select(*STREAM).distinct()
+        grown = durable(grown)
+        if grown.isEmpty():
+            break
+        again = feed.join(grown, STREAM)
+        read.append(again.count())
+        latest = read_in_order(again)
+        found = durable(found.join(grown, STREAM, "left_anti").unionByName(latest))
+        fed = feed.select(*STREAM, "ord")
+        fresh = latest.filter("branch IS NOT NULL").select(*STREAM, "branch", "ord").join(bounds, [*STREAM, "branch", "ord"], "left_anti")
+        fresh = durable(fresh)
+        if fresh.isEmpty():
+            break
+        bounds = durable(bounds.unionByName(fresh))
+        release(lines.sparkSession)
+    heads = heads.withColumnRenamed("ord", "_head")
+    owners = found.filter("template IS NULL").select(*STREAM, "ord", "cluster")
+    repeated = placed.join(heads, groups).select(*STREAM, "ord", "_head")
+    repeated = repeated.join(owners.withColumnRenamed("ord", "_head"), [*STREAM, "_head"]).drop("_head")
+    every = owners.join(once.select(*STREAM, "ord"), [*STREAM, "ord"]).unionByName(repeated.select(*STREAM, "ord", "cluster"))
+    return Streams(every, found.filter("template IS NOT NULL").select(*STREAM, "cluster", "template"), read)
+
+
+def tokenised(lines: DataFrame, masked: bool = True) -> DataFrame:
+    return routed(lines, masked).select("source", "n_tokens", F.col("line_id").alias("ord"), "tokens")
+
+
 def drain(lines: DataFrame, masked: bool = True) -> DataFrame:
     """Lines (source, line_id, content) with the template and event id of their cluster."""
-    tokenised = routed(lines, masked).select("source", "n_tokens", F.col("line_id").alias("ord"), "tokens")
-    ordered = tokenised.repartition(*STREAM).sortWithinPartitions(*STREAM, "ord")
-    found = durable(ordered.mapInPandas(_read_streams, FOUND))
-    templates = found.filter("template IS NOT NULL").select(*STREAM, "cluster", "template")
-    placed = lookup_join(found.filter("template IS NULL").drop("template"), templates, [*STREAM, "cluster"], "inner")
+    every = tokenised(lines, masked)
+    found = cluster_streams(every.filter("n_tokens > 1"))
+    # A line of one token, or none, is a template of its own.
+    short = every.filter("n_tokens <= 1").select(*STREAM, "ord", F.array_join("tokens", " ").alias("template"))
+    placed = lookup_join(found.owners, found.templates, [*STREAM, "cluster"], "inner")
+    placed = placed.select(*STREAM, "ord", "template").unionByName(short)
     return lines.join(
         placed.select("source", F.col("ord").alias("line_id"), "n_tokens", "template"), ["source", "line_id"]
     ).withColumn("event_id", event_id(F.col("template")))

@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from logloom.functions import regexes, text
@@ -95,6 +97,33 @@ def test_drain_does_not_depend_on_batches(spark):
         assert [found[0][n] for n in numbers] == drain.cluster_in_order([contents[n - 1].split() for n in numbers])
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_drain_reads_repeats_only_where_they_matter(spark, seed):
+    rng = random.Random(seed)
+    shapes = [["open", "close", "v1"], ["file", "door", "7"], ["a", "b", "c"], ["by", "of"], ["u", "v", "w"]]
+    known = [" ".join(rng.choice(words) for words in shapes) for _ in range(40)]
+    contents = [rng.choice(known) for _ in range(1500)]
+    found = {r["line_id"]: r["template"] for r in drain.drain(lines(spark, contents), masked=False).collect()}
+    want = drain.cluster_in_order([c.split() for c in contents])
+    assert [found[n + 1] for n in range(len(contents))] == want
+    streams = drain.cluster_streams(drain.tokenised(lines(spark, contents), masked=False))
+    # All passes together read a small part of the lines, and the first one the distinct ones.
+    assert streams.read[0] == len(set(contents)) and sum(streams.read) < len(contents) / 2
+
+
+def test_drain_where_a_repeat_moves(spark):
+    """A list that was taken by one cluster later fits another one better, and widens it."""
+    rng = random.Random(11)
+    contents = []
+    for _ in range(600):
+        n = rng.randint(2, 4)
+        contents.append(" ".join([rng.choice(["go", "<*>", "x9", "stop"]), *rng.choices(["p", "q", "r", "s"], k=n - 1)]))
+    found = {r["line_id"]: r["template"] for r in drain.drain(lines(spark, contents), masked=False).collect()}
+    for size in (2, 3, 4):
+        numbers = [n for n, c in enumerate(contents, 1) if len(c.split()) == size]
+        assert [found[n] for n in numbers] == drain.cluster_in_order([contents[n - 1].split() for n in numbers])
+
+
 def test_memory_searches_wider_patterns_first(spark):
     rows = [
         (1, r"abc (.*?) cde", "abc b cde"), (2, r"abc (.*?)", "abc b"), (3, r"abc (.*?)", "abc z"), (4, r"a (.*?)", "a x"),
