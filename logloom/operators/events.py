@@ -339,9 +339,12 @@ def export(
     devices: DataFrame,
     contract: dict[int, list[str]] = CONTRACT,
     block_seconds: int = BLOCK_SECONDS,
+    stored: bool = False,
 ) -> Events:
-    """Accepted and rejected events of params rows; persist ``built`` when both are written."""
+    """Accepted and rejected events of params rows; ``stored`` evaluates the rows behind both, and the report, once."""
     built = validate(build_events(params, assets, devices, block_seconds), contract)
+    if stored:
+        built = durable(built)
     typed = F.col("_type").isNotNull()
     good = typed & (F.size("errors") == 0)
     accepted = built.filter(good).select(

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from logloom.functions.regexes import without_commas
 from logloom.functions.similarity import distance
 from logloom.functions.text import strip, tokens
-from logloom.operators.skew import BROADCAST_BYTES, SALTS, first_rows, text_bytes
+from logloom.operators.skew import BROADCAST_BYTES, SALTS, first_rows, lookup_join, text_bytes
 from logloom.session import durable
 
-# Most lines of a group that are compared, and lines picked of each.
+# Most lines of a capped group, and lines picked of each.
 CANDIDATES = 200
 PICKS = 3
 SEED = 42
@@ -32,57 +32,39 @@ def representative(
     keys: list[str],
     k: int = PICKS,
     metric: str = "jaccard",
-    most: int = CANDIDATES,
+    most: int | None = None,
     nearest: bool = False,
     seed: int = SEED,
 ) -> DataFrame:
-    """k lines per group: the longest, then always the farthest (or nearest) to those taken.
+    """k lines per group: the longest, then always the farthest from (or nearest to) those taken; ties by line.
 
-    Groups are capped to ``most`` candidates before they are gathered, so the arrays
-    compared here are bounded whatever the group's size.
+    Every line of a group takes part; ``most`` caps a group by hash order where that is wanted. Each pick is one
+    aggregation with map-side combining over all groups, and the picks, a row per group and turn, are joined back to
+    the lines: no group is gathered.
     """
-    capped = random_cap(lines, keys, most, seed)
+    taken = lines if most is None else random_cap(lines, keys, most, seed)
     if metric == "random":
-        picked = first_rows(capped, keys, [*hashed_order(["content"], seed), F.col("line_id")], k)
+        picked = first_rows(taken, keys, [*hashed_order(["content"], seed), F.col("line_id")], k)
         return picked.select(*keys, F.col("_rank").alias("pick"), without_commas(F.col("content")).alias("content"))
-    entry = F.struct("line_id", "content", tokens(F.col("content")).alias("words"))
-    state = capped.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("left")).withColumn(
-        "left",
-        F.transform(
-            "left",
-            lambda x, i: F.struct(
-                i.cast("int").alias("i"), x["content"].alias("content"), x["words"].alias("words"),
-                F.lit(1e10).alias("d"),
-            ),
-        ),
-    )
-    picks = []
+    rows = durable(taken.select(*keys, "line_id", "content", tokens(F.col("content")).alias("_words")))
+    place = ["line_id", "content"]
+    rank, picks = -F.size("_words"), []
     for turn in range(k):
-        if turn == 0:
-            best = F.array_max(F.transform("left", lambda x: F.struct(F.size(x["words"]).alias("v"), (-x["i"]).alias("j"))))
-        elif nearest:
-            best = F.array_min(F.transform("left", lambda x: F.struct(x["d"].alias("v"), x["i"].alias("j"))))
-        else:
-            best = F.array_max(F.transform("left", lambda x: F.struct(x["d"].alias("v"), (-x["i"]).alias("j"))))
-        state = state.withColumn("_best", F.abs(best["j"]))
-        name = f"_p{turn}"
-        state = state.withColumn(
-            name, F.try_element_at(F.filter("left", lambda x: x["i"] == F.col("_best")), F.lit(1))
-        )
-        rest = F.filter("left", lambda x: x["i"] != F.col("_best"))
-        state = state.withColumn(
-            "left",
-            F.transform(
-                rest,
-                lambda x: F.struct(
-                    x["i"].alias("i"), x["content"].alias("content"), x["words"].alias("words"),
-                    F.least(x["d"], distance(x["words"], F.col(name)["words"], metric)).alias("d"),
-                ),
-            ),
-        )
-        picks.append(F.struct(F.lit(turn + 1).alias("pick"), F.col(name)["content"].alias("content")))
-    rows = state.select(*keys, F.explode(F.array(*picks)).alias("_p")).filter(F.col("_p.content").isNotNull())
-    return rows.select(*keys, "_p.pick", without_commas(F.col("_p.content")).alias("content"))
+        first = F.min_by(F.struct(*place, "_words"), F.struct(rank.alias("r"), *place)).alias("_pick")
+        pick = durable(rows.groupBy(*keys).agg(first))
+        picks.append(pick.select(*keys, F.lit(turn + 1).alias("pick"), F.col("_pick.content").alias("content")))
+        if turn == k - 1:
+            break
+        joined = lookup_join(rows, pick, keys, "inner")
+        gap = distance(F.col("_words"), F.col("_pick._words"), metric)
+        gap = F.least("_gap", gap) if turn else gap
+        left = joined.filter((F.col("line_id") != F.col("_pick.line_id")) | (F.col("content") != F.col("_pick.content")))
+        rows = durable(left.withColumn("_gap", gap).drop("_pick"))
+        rank = F.col("_gap") if nearest else -F.col("_gap")
+    result = picks[0]
+    for part in picks[1:]:
+        result = result.unionByName(part)
+    return result.select(*keys, "pick", without_commas(F.col("content")).alias("content"))
 
 
 def minimum_distances(

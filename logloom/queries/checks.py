@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from logloom.functions import scalars
-from logloom.operators import graph, quality, rollup, sampling
+from logloom.operators import events, graph, quality, rollup, sampling
 from logloom.operators.columns import FIREWALL
 from logloom.operators.templates import preprocess
 from logloom.queries.base import (
@@ -24,8 +24,12 @@ from logloom.queries.contract import (
     STATE_ROWS,
     STATE_SQL,
     accepted_sql,
+    assets,
+    devices,
     firewall_events,
     flat,
+    rejected_sql,
+    report_sql,
 )
 from logloom.queries.fields import FW_SQL, fw_rows
 from logloom.queries.graphs import OE, ON, order_graph
@@ -202,9 +206,19 @@ def export_status(spark, sf):
     return rollup.status_counts(rollup.export_status(rows))
 
 
-@query("run_metrics", f"SELECT source, count(*) AS lines, count(DISTINCT event_id) AS event_count FROM ({ASSIGNED}) GROUP BY source")
+@query("run_metrics", f"SELECT source, count(*) AS lines, count(DISTINCT event_id) AS event_count, true AS timed, 'second' AS run FROM ({ASSIGNED}) GROUP BY source")
 def run_metrics(spark, sf):
-    return rollup.run_metrics(app_parsed(spark, sf)[0])
+    """Two runs append their metrics, the first over a part of the sources; the last row of every source is read."""
+    base = scratch_path(spark, "measured")
+    parsed = app_parsed(spark, sf)[0].select("source", "line_id", "template", "event_id")
+    first = sinks.write_measured(parsed.filter("source < 'app/p'"), f"{base}/one", f"{base}/metrics", "first")
+    second = sinks.write_measured(parsed, f"{base}/two", f"{base}/metrics", "second")
+    if not 0 < first < second:
+        raise ValueError("the runs were not counted while they were written")
+    rows = spark.read.parquet(f"{base}/metrics")
+    order = parsed.select("source").distinct().withColumn("rank", F.col("source"))
+    last = rollup.latest_in_order(rows, order, "source", "started")
+    return last.select("source", "lines", "event_count", (F.col("seconds") > 0).alias("timed"), "run")
 
 
 @query(
@@ -385,13 +399,29 @@ def sink_graph(spark, sf):
 @query("sink_events", f"SELECT alarm_type, src_ip, dst_ip, login_account, time FROM ({accepted_sql(FIREWALL_BUILT)})")
 def sink_events(spark, sf):
     """Accepted events, rejected rows and report as JSON; the accepted ones read back."""
-    made = firewall_events(spark, sf)
-    from logloom.operators.events import report
+    back = read_events(spark, f"{written_events(spark, sf)}/{sinks.EVENTS_NAME}", name="part-*")
+    return back.select("alarm_type", *[F.coalesce(F.try_element_at("data", F.lit(f)), F.lit("")).alias(f) for f in ("src_ip", "dst_ip", "login_account", "time")])
+
 
+def written_events(spark, sf):
+    """Folder of the events, rejected rows and report of the firewall rows, made in one evaluation."""
+    made = events.export(fw_rows(spark, sf), assets(spark, sf), devices(spark, sf), stored=True)
     folder = scratch_path(spark, "events")
-    sinks.write_events(made.accepted, made.rejected, report(made), [folder, folder + "/"])
-    back = read_events(spark, f"{folder}/{sinks.EVENTS_NAME}", arrays=False)
-    return back.select("alarm_type", *[F.coalesce(F.try_element_at("data", F.lit(f)), F.lit("")).alias(f) for f in ("src_ip", "dst_ip", "login_account", "time")])
+    return sinks.write_events(made.accepted, made.rejected, events.report(made), [folder, folder + "/"], arrays=True)[0]
+
+
+@query("sink_rejected", f"SELECT source, source_row, reason FROM ({rejected_sql(FIREWALL_BUILT)})")
+def sink_rejected(spark, sf):
+    """Rejected rows as they were written beside the events."""
+    back = spark.read.schema("source string, source_row long, reason string").json(f"{written_events(spark, sf)}/{sinks.REJECTED_NAME}")
+    return back
+
+
+@query("sink_report", report_sql(FIREWALL_BUILT))
+def sink_report(spark, sf):
+    """The report as it was written beside the events."""
+    wanted = events.report(firewall_events(spark, sf)).schema
+    return spark.read.schema(wanted).json(f"{written_events(spark, sf)}/{sinks.REPORT_NAME}")
 
 
 @query("event_json_scan", "SELECT cast(1 + c_custkey % 4 AS INT) AS alarm_type, c_name AS src_ip, '' AS dst_ip FROM customer")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from logloom.functions.conditions import compile_condition
 from logloom.operators import graph, quality
 from logloom.queries.base import Rendered, query, sql_null, table
+from logloom.session import scratch_path
+from logloom.sinks import tables as sinks
 from logloom.sources.rules import rule_table, rules_from_lines
 
 ORDER_RULES = rules_from_lines(
@@ -381,19 +383,43 @@ def kg_identifiers(spark, sf):
     return graph.bad_identifiers(nodes, edges)
 
 
-@query(
-    "kg_upsert",
-    f"""WITH o AS ({ON}), n AS (SELECT 'User' AS label, concat('user', c_custkey) AS id, 'name' AS key, c_name AS value FROM customer
+STORED_NODES = f"""WITH o AS ({ON}), n AS (SELECT 'User' AS label, concat('user', c_custkey) AS id, 'name' AS key, c_name AS value FROM customer
         UNION ALL SELECT 'User', concat('user', c_custkey), 'user', c_mktsegment FROM customer)
-    SELECT label, id, key, coalesce(n.value, o.value) AS value FROM o FULL JOIN n USING (label, id, key)""",
-)
-def kg_upsert(spark, sf):
-    """Customers set over the users of the order graph: incoming values win."""
-    incoming = table(spark, sf, "customer").selectExpr(
+    SELECT label, id, key, coalesce(n.value, o.value) AS value FROM o FULL JOIN n USING (label, id, key)"""
+
+
+def stored_graph(spark, sf):
+    """The order graph, and customers set over its users with edges to their nations, of which every fourth is missing."""
+    folder = scratch_path(spark, "stored")
+    made = order_graph(spark, sf)
+    sinks.upsert_graph(spark, folder, made.nodes, made.edges)
+    customers = table(spark, sf, "customer")
+    nodes = customers.selectExpr(
         "'User' AS label", "concat('user', c_custkey) AS id", "map('name', c_name, 'user', c_mktsegment) AS properties"
     )
-    merged = graph.upsert(order_graph(spark, sf).nodes, incoming, graph.NODE)
-    return graph.property_rows(merged, graph.NODE)
+    nations = table(spark, sf, "nation").filter("n_nationkey % 4 <> 0").selectExpr("'Nation' AS label", "n_name AS id", "map('name', n_name) AS properties")
+    edges = customers.join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).selectExpr(
+        "'User' AS start_label", "concat('user', c_custkey) AS start_id", "'livesIn' AS predicate", "'Nation' AS end_label", "n_name AS end_id",
+        "map('since', c_mktsegment) AS properties",
+    )
+    sinks.upsert_graph(spark, folder, nodes.unionByName(nations), edges)
+    return sinks.read_stored_graph(spark, folder)
+
+
+@query("kg_upsert", f"{STORED_NODES} UNION ALL SELECT 'Nation', n_name, 'name', n_name FROM nation WHERE n_nationkey % 4 <> 0")
+def kg_upsert(spark, sf):
+    """Nodes of a stored graph after two upserts: incoming values win."""
+    return graph.property_rows(stored_graph(spark, sf)[0], graph.NODE)
+
+
+@query(
+    "kg_upsert_edges",
+    f"""SELECT {KEYS}, key, value FROM ({OE}) UNION ALL SELECT 'User', concat('user', c_custkey), 'livesIn', 'Nation', n_name, 'since', c_mktsegment
+    FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_nationkey % 4 <> 0""",
+)
+def kg_upsert_edges(spark, sf):
+    """Edges of a stored graph after two upserts; those without both of their nodes are left out."""
+    return graph.property_rows(stored_graph(spark, sf)[1], graph.EDGE)
 
 
 @query(

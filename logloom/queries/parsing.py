@@ -326,26 +326,38 @@ def _jaccard(a: str, b: str) -> str:
     return f"(1 - {common} / {union})"
 
 
-CAPPED = f"""SELECT source, line_id, content, {sql_tokens('content')} AS w FROM (
-    SELECT *, row_number() OVER (PARTITION BY source ORDER BY md5('42::' || content), line_id) AS h FROM ({PRE})) WHERE h <= 200"""
+def _cosine(a: str, b: str) -> str:
+    dot = lambda x, y: f"list_sum(list_transform(list_distinct({x}), lambda t: len(list_filter({x}, lambda u: u = t)) * len(list_filter({y}, lambda u: u = t))))"
+    return f"(1 - {dot(a, b)} / (sqrt(cast({dot(a, a)} AS DOUBLE)) * sqrt(cast({dot(b, b)} AS DOUBLE))))"
 
 
-@query(
-    "farthest_sample",
-    f"""WITH c AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY line_id) AS i FROM ({CAPPED})),
-    p1 AS (SELECT source, arg_max(i, (len(w), -i)) AS i1 FROM c GROUP BY source),
-    d1 AS (SELECT c.source, c.i, c.content, c.w, {_jaccard('c.w', 'f.w')} AS d FROM c JOIN p1 USING (source) JOIN c f ON f.source = c.source AND f.i = p1.i1 WHERE c.i <> p1.i1),
-    p2 AS (SELECT source, arg_max(i, (d, -i)) AS i2 FROM d1 GROUP BY source),
-    d2 AS (SELECT c.source, c.i, c.content, least(c.d, {_jaccard('c.w', 'f.w')}) AS d FROM d1 c JOIN p2 USING (source) JOIN c f ON f.source = c.source AND f.i = p2.i2 WHERE c.i <> p2.i2),
-    p3 AS (SELECT source, arg_max(i, (d, -i)) AS i3 FROM d2 GROUP BY source)
-    SELECT c.source, 1 AS pick, replace(content, ',', '') AS content FROM c JOIN p1 ON c.source = p1.source AND c.i = i1
-    UNION ALL SELECT c.source, 2, replace(content, ',', '') FROM c JOIN p2 ON c.source = p2.source AND c.i = i2
-    UNION ALL SELECT c.source, 3, replace(content, ',', '') FROM c JOIN p3 ON c.source = p3.source AND c.i = i3""",
-)
+def _picks(gap, sign: str = "-") -> str:
+    """Three picks per source: the longest line, then twice the one whose least distance to the picks is most (or least)."""
+    near = lambda n: f"""d{n} AS (SELECT c.source, c.line_id, c.content, c.w, {'least(c.d, ' if n > 1 else ''}{gap('c.w', 'f.w')}{')' if n > 1 else ''} AS d
+        FROM {f'd{n - 1}' if n > 1 else 'c'} AS c JOIN p{n} USING (source) JOIN c AS f ON f.source = c.source AND f.line_id = p{n}.i WHERE c.line_id <> p{n}.i),
+    p{n + 1} AS (SELECT source, arg_min(line_id, ({sign}d, line_id)) AS i FROM d{n} GROUP BY source)"""
+    shown = " UNION ALL ".join(f"SELECT c.source, {n} AS pick, replace(content, ',', '') AS content FROM c JOIN p{n} ON c.source = p{n}.source AND line_id = i" for n in (1, 2, 3))
+    return f"""WITH c AS (SELECT source, line_id, content, {sql_tokens('content')} AS w FROM ({PRE})),
+    p1 AS (SELECT source, arg_min(line_id, (-len(w), line_id)) AS i FROM c GROUP BY source), {near(1)}, {near(2)} {shown}"""
+
+
+@query("farthest_sample", _picks(_jaccard))
 def farthest_sample(spark, sf):
+    """Of all lines of each source the longest, then twice the farthest from those taken."""
     return sampling.representative(app_lines(spark, sf), ["source"])
 
 
+@query("farthest_cosine", _picks(_cosine))
+def farthest_cosine(spark, sf):
+    return sampling.representative(app_lines(spark, sf), ["source"], metric="cosine")
+
+
+@query("nearest_sample", _picks(_jaccard, sign=""))
+def nearest_sample(spark, sf):
+    """The longest line of each source, then twice the nearest to those taken."""
+    return sampling.representative(app_lines(spark, sf), ["source"], nearest=True)
+
+
 @query(
     "random_cap",
     f"""SELECT source, line_id FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY md5('42::' || content), line_id) AS h FROM ({PRE})) WHERE h <= 200""",

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import time
+import uuid
+from collections.abc import Iterable, Iterator
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.operators.graph import EDGE, NODE, Graph
+from logloom.operators.graph import EDGE, NODE, Graph, upsert, with_endpoints
+from logloom.operators.rollup import run_metrics
+from logloom.session import durable
 
 # Names of the event files.
 EVENTS_NAME = "customer_events.json"
@@ -49,19 +55,43 @@ def distinct_paths(paths: Iterable[str]) -> list[str]:
     return list(dict.fromkeys(p.rstrip("/") for p in paths))
 
 
-def write_events(accepted: DataFrame, rejected: DataFrame, report: DataFrame, folders: Iterable[str]) -> list[str]:
-    """JSON lines of accepted events in time order, rejected rows and the report.
+def _bracketed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The JSON objects of one part as the lines of one array, a batch at a time."""
+    started = False
+    for batch in batches:
+        lines = [f",{text}" for text in batch["value"]]
+        if lines and not started:
+            lines[0], started = "[" + lines[0][1:], True
+        yield pd.DataFrame({"value": lines})
+    if started:
+        yield pd.DataFrame({"value": ["]"]})
 
-    Rows stay distributed: each name is a folder of part files, sorted by range.
+
+def write_json_arrays(rows: DataFrame, path: str) -> None:
+    """One JSON array per part file, rows in the order that they have; no part is gathered."""
+    texts = rows.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns])).alias("value"))
+    texts.mapInPandas(_bracketed, "value string").write.mode("overwrite").text(path)
+
+
+def write_events(accepted: DataFrame, rejected: DataFrame, report: DataFrame, folders: Iterable[str], arrays: bool = False) -> list[str]:
+    """Accepted events in time order, rejected rows as JSON lines, and the report.
+
+    Rows stay distributed: each name is a folder of part files, sorted by range. Accepted events are JSON lines, or
+    with ``arrays`` one JSON array per part file, as other readers of such files expect. Each input is evaluated once,
+    however many folders there are; ``export(..., stored=True)`` also makes the three share one evaluation.
     """
-    written = []
-    for folder in distinct_paths(folders):
-        ordered = accepted.orderBy("source", F.col("ts").asc_nulls_last(), "source_row")
-        ordered.select("source", "source_row", "alarm_type", "data").write.mode("overwrite").json(f"{folder}/{EVENTS_NAME}")
+    folders = distinct_paths(folders)
+    ordered = accepted.orderBy("source", F.col("ts").asc_nulls_last(), "source_row")
+    ordered = durable(ordered.select("source", "source_row", "alarm_type", "data"))
+    rejected, report = durable(rejected), durable(report)
+    for folder in folders:
+        if arrays:
+            write_json_arrays(ordered, f"{folder}/{EVENTS_NAME}")
+        else:
+            ordered.write.mode("overwrite").json(f"{folder}/{EVENTS_NAME}")
         rejected.write.mode("overwrite").json(f"{folder}/{REJECTED_NAME}")
         report.write.mode("overwrite").json(f"{folder}/{REPORT_NAME}")
-        written.append(folder)
-    return written
+    return folders
 
 
 def properties_json(column: str = "properties") -> Column:
@@ -82,3 +112,69 @@ def read_graph(spark, folder: str) -> tuple[DataFrame, DataFrame]:
         return rows.select(*keys, F.from_json("properties_json", "map<string,string>").alias("properties"))
 
     return one("nodes", NODE), one("edges", EDGE)
+
+
+# Stored graphs: every upsert writes a whole new version aside, and a row of the table of versions makes it the current
+# one. A write that fails leaves no such row, so readers keep the version before it.
+VERSIONS = "version long, path string"
+
+
+def current_graph(spark: SparkSession, folder: str) -> tuple[int, str] | None:
+    """Number and path of the current version of a stored graph; None where there is none yet."""
+    try:
+        last = spark.read.schema(VERSIONS).parquet(f"{folder}/versions").agg(F.max(F.struct("version", "path")).alias("v")).first()["v"]
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return None if last is None else (last["version"], last["path"])
+
+
+def read_stored_graph(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame] | None:
+    """Nodes and edges of the current version."""
+    current = current_graph(spark, folder)
+    return None if current is None else read_graph(spark, current[1])
+
+
+def upsert_graph(spark: SparkSession, folder: str, nodes: DataFrame, edges: DataFrame) -> int:
+    """Set nodes and edges over those of a stored graph, and return the number of the new version.
+
+    Incoming properties win, others stay. An edge is taken only if both of its nodes exist after the upsert. Keys of
+    the incoming rows must be unique. One writer at a time; readers may read meanwhile.
+    """
+    current = current_graph(spark, folder)
+    if current is None:
+        old_nodes, old_edges = nodes.limit(0), edges.limit(0)
+    else:
+        old_nodes, old_edges = read_graph(spark, current[1])
+    number = current[0] + 1 if current else 1
+    path = f"{folder}/graph-{number}-{uuid.uuid4().hex}"
+    merged = upsert(old_nodes, nodes, NODE)
+    merged.select(*NODE, properties_json().alias("properties_json")).write.parquet(f"{path}/nodes")
+    known = spark.read.parquet(f"{path}/nodes")
+    joined = upsert(old_edges, with_endpoints(edges, known), EDGE)
+    joined.select(*EDGE, properties_json().alias("properties_json")).write.parquet(f"{path}/edges")
+    append(spark.createDataFrame([(number, path)], VERSIONS).coalesce(1), f"{folder}/versions")
+    return number
+
+
+def append_metrics(metrics: DataFrame, path: str, run: str, started: float, ended: float) -> None:
+    """Rows of a run's metrics with its name, start and seconds, behind those of earlier runs."""
+    timed = metrics.withColumns(
+        {"run": F.lit(run), "started": F.timestamp_seconds(F.lit(started)), "seconds": F.lit(ended - started)}
+    )
+    append(timed, path)
+
+
+def write_measured(parsed: DataFrame, path: str, metrics_path: str, run: str) -> int:
+    """Write parsed lines by source, and append their metrics per source with the time that the writing took.
+
+    The rows are counted while they are written; the metrics are read from what was written, not computed again.
+    """
+    seen = Observation(f"written-{run}")
+    started = time.time()
+    write_by_source(parsed.observe(seen, F.count(F.lit(1)).alias("lines")), path)
+    ended = time.time()
+    written = parsed.sparkSession.read.parquet(path)
+    append_metrics(run_metrics(written), metrics_path, run, started, ended)
+    return seen.get["lines"]
