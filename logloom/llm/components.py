@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.session import durable
+from logloom.session import durable, release
 
 
 def connected(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a, b): the root is the smallest node of the component.
 
     Every step is an aggregation with map-side combining and a join, so a node with many neighbours is no
-    group in one task; each round is cut off by a checkpoint. It ends when a round changes nothing.
+    group in one task; each round is cut off by a checkpoint, and what
+    earlier rounds wrote is removed. It ends when a round changes nothing.
     """
     high, low = F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
     current = durable(edges.filter(F.col("a") != F.col("b")).select(high, low).distinct())
@@ -30,5 +31,7 @@ def connected(edges: DataFrame) -> DataFrame:
         if (row["n"], row["h"]) == state:
             break
         state = (row["n"], row["h"])
+        del both, least, large, small
+        release(edges.sparkSession)
     roots = current.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("root"))
     return current.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
