@@ -13,8 +13,6 @@ from logloom.session import durable
 BROADCAST_BYTES = 32 * 1024 * 1024
 # Copies a lookup table is given when it is too large to broadcast.
 SALTS = 32
-# Width of one block of order values in blocked numbering.
-BLOCK_ROWS = 1_000_000
 
 
 def text_bytes(df: DataFrame) -> int:
@@ -59,32 +57,28 @@ def lookup_join(
     return spread.join(salted, [*keys, "_salt"], how).drop("_salt")
 
 
-def number_within(
-    df: DataFrame,
-    keys: list[str],
-    order: str,
-    out: str,
-    block: int = BLOCK_ROWS,
-) -> DataFrame:
-    """1-based position of each row among the rows of its key, by a numeric unique order.
+def number_within(df: DataFrame, keys: list[str], order: str, out: str) -> DataFrame:
+    """1-based position of each row among the rows of its key, by a unique order.
 
-    Rows are numbered inside (key, block of order values) and shifted by the counts of the
-    key's earlier blocks, so one key's rows are sorted by many tasks. Keys must not be NULL.
+    Rows are dealt by ranges of (keys, order) with about as many rows each, whatever the values are, so a key with
+    most rows lies in many ranges and is sorted by many tasks. Rows are numbered inside (key, range); only the first
+    and the last key of a range can go on in another one, and theirs are moved by the counts of earlier ranges. Keys
+    must not be NULL.
     """
-    blocked = df.withColumn("_block", F.floor(F.col(order) / F.lit(block)).cast("long"))
-    inside = Window.partitionBy(*keys, "_block").orderBy(order)
-    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = (
-        blocked.groupBy(*keys, "_block")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select(*keys, "_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_shift"))
-    )
-    return (
-        blocked.withColumn("_rn", F.row_number().over(inside))
-        .join(shifts, [*keys, "_block"])
-        .withColumn(out, F.col("_shift") + F.col("_rn"))
-        .drop("_block", "_rn", "_shift")
-    )
+    dealt = df.repartitionByRange(*keys, order).sortWithinPartitions(*keys, order)
+    dealt = durable(dealt.withColumn("_range", F.shiftright(F.monotonically_increasing_id(), 33).cast("int")))
+    inside = Window.partitionBy(*keys, "_range").orderBy(order)
+    numbered = dealt.withColumn("_rn", F.row_number().over(inside))
+    named = F.struct(*keys)
+    edges = dealt.groupBy("_range").agg(F.array(F.min(named), F.max(named)).alias("_ends"))
+    # Two keys per range at most, so this is small at any size.
+    wide = edges.select(F.explode("_ends").alias("_k")).groupBy("_k").agg(F.count(F.lit(1)).alias("_n"))
+    wide = wide.filter("_n > 1").select("_k.*")
+    counts = dealt.join(F.broadcast(wide), keys, "left_semi").groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = counts.select(*keys, "_range", F.sum("_n").over(earlier).alias("_shift")).filter("_shift IS NOT NULL")
+    placed = numbered.join(F.broadcast(shifts), [*keys, "_range"], "left")
+    return placed.withColumn(out, F.coalesce("_shift", F.lit(0)) + F.col("_rn")).drop("_range", "_rn", "_shift")
 
 
 def first_rows(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:

@@ -157,13 +157,25 @@ def test_fit_regex(spark):
     assert got == ["POST (.*?)$", "a(.*?)$", "v  (.*?) w"]
 
 
-def test_numbering_in_blocks(spark):
+def test_numbering_in_ranges(spark):
+    """Order values far apart and one hot key: ranges hold about as many rows each, and few keys are moved."""
     random.seed(1)
-    rows = [(n, random.choice(["hot"] * 5 + ["b", "c"])) for n in random.sample(range(10_000), 400)]
-    got = number_within(spark.createDataFrame(rows, "o long, k string"), ["k"], "o", "n", block=37).collect()
-    for key in ("hot", "b", "c"):
+    rows = [(n, random.choice(["hot"] * 5 + [f"k{n % 90}"])) for n in random.sample(range(1 << 50), 4000)]
+    frame = spark.createDataFrame(rows, "o long, k string").repartition(3)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        found = number_within(frame, ["k"], "o", "n")
+        got = found.collect()
+        dealt = frame.repartitionByRange("k", "o").groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len(dealt) == 16 and max(r["count"] for r in dealt) < 2 * 4000 / 16
+    for key in {k for _, k in rows}:
         part = sorted((r["o"], r["n"]) for r in got if r["k"] == key)
         assert [n for _, n in part] == list(range(1, len(part) + 1))
+    assert number_within(frame.limit(0), ["k"], "o", "n").count() == 0
 
 
 def test_lookup_join_salted_equals_broadcast(spark):
