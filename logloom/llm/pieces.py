@@ -25,7 +25,7 @@ SPACE = "▁"
 # No piece has a space mark after another letter, so no piece crosses the edge of a unit.
 UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 # Bounds of what a task remembers: ids of units, of at most 64 letters each, and verdicts on neighbours.
-CACHED_UNITS, CACHED_PAIRS = 1_000_000, 1_000_000
+CACHED_UNITS, CACHED_PAIRS = 600_000, 400_000
 # Parts from which a text is merged by a heap instead of by looking for the best pair each time.
 LONG_UNIT = 48
 UNKNOWN = -1
