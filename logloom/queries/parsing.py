@@ -21,7 +21,7 @@ from logloom.queries.base import (
     table,
     text_lines,
 )
-from logloom.session import durable
+from logloom.session import durable, scratch_path
 from logloom.sources import logs
 
 PRE = sql_preprocessed(APP_LINES.sql)
@@ -77,6 +77,40 @@ def logformat_errors(spark, sf):
     return logs.header_fields(APP_LINES.frame(spark, sf), ERROR_LAYOUT)
 
 
+def _masked_sql(layout: str, name: str) -> str:
+    masked = '"Content"'
+    for pattern in logs.LOG_FORMATS[name][1]:
+        masked = f"regexp_replace({masked}, '{pattern}', '<*>', 'g')"
+    return f"SELECT '{name}' AS format, source, line_id, \"Content\" AS content, {masked} AS masked FROM ({layout})"
+
+
+@query(
+    "named_formats",
+    _masked_sql(_layout_sql(SYSLOG_SHAPE, {"Content": 8}), "Linux") + " UNION ALL " + _masked_sql(_layout_sql(ERROR_SHAPE, {"Content": 3}), "Apache"),
+)
+def named_formats(spark, sf):
+    """Contents of lines that fit a public format, found by its name, with the format's own masks."""
+    rows = APP_LINES.frame(spark, sf)
+    parts = [
+        logs.format_fields(rows, name).select(F.lit(name).alias("format"), "source", "line_id", F.col("Content").alias("content"), "masked")
+        for name in ("Linux", "Apache")
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+@query(
+    "selected_lines",
+    f"""SELECT original_content, count(*) AS "count" FROM (SELECT unnest(string_split(original_content, chr(13))) AS original_content
+    FROM ({TEXT_LINES}) WHERE contains(lower(source), 'src1')) WHERE {sql_strip('original_content')} <> '' GROUP BY ALL""",
+)
+def selected_lines(spark, sf):
+    """Lines written in a folder per source, of which those of the sources that a selector names are read back."""
+    path = scratch_path(spark, "sources")
+    text_lines(spark, sf).select("source", "original_content").write.partitionBy("source").text(path)
+    back = logs.read_selected(spark, path, ["SRC1"], names=r"part-.*")
+    return back.groupBy("original_content").agg(F.count(F.lit(1)).alias("count"))
+
+
 NUMBERED = f"SELECT source, row_number() OVER (PARTITION BY source ORDER BY line_id) AS line_id, original_content FROM ({TEXT_LINES}) WHERE {sql_strip('original_content')} <> ''"
 
 

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from logloom.functions.text import captured, is_blank, strip
+from logloom.functions.text import WILDCARD, captured, is_blank, strip
 from logloom.operators.skew import lookup_join, number_within
 
 LOG_NAME = r"(?i)^.+\.log(?:\.[^./]*)*$"
@@ -65,7 +65,7 @@ def selected_by(source: Column, selectors: list[str]) -> Column:
     return hit
 
 
-def list_sources(spark: SparkSession, root: str, selectors: list[str] | None = None) -> DataFrame:
+def list_sources(spark: SparkSession, root: str, selectors: list[str] | None = None, names: str = LOG_NAME) -> DataFrame:
     """Log files below a folder with their sizes; no file content is read."""
     files = (
         spark.read.format("binaryFile")
@@ -73,7 +73,7 @@ def list_sources(spark: SparkSession, root: str, selectors: list[str] | None = N
         .load(root)
         .select(_relative(F.col("path"), root).alias("source"), F.col("length").alias("size_bytes"))
     )
-    return files.filter(is_log_source(F.col("source")) & selected_by(F.col("source"), selectors or []))
+    return files.filter(is_log_source(F.col("source"), names) & selected_by(F.col("source"), selectors or []))
 
 
 def require_some(sources: DataFrame, what: str) -> DataFrame:
@@ -82,6 +82,13 @@ def require_some(sources: DataFrame, what: str) -> DataFrame:
     return sources
 
 
+def read_selected(spark: SparkSession, root: str, selectors: list[str] | None = None, names: str = LOG_NAME) -> DataFrame:
+    """Numbered lines of the log files that the selectors choose; that none is chosen is an error, not an empty result."""
+    chosen = list_sources(spark, root, selectors, names)
+    require_some(chosen, f"no log file below {root} for {', '.join(selectors or ['all'])}")
+    return read_lines(spark, root, selectors, names)
+
+
 def read_lines(
     spark: SparkSession, root: str, selectors: list[str] | None = None, names: str = LOG_NAME
 ) -> DataFrame:
@@ -163,6 +170,24 @@ def header_fields(lines: DataFrame, layout: str, column: str = "original_content
     return found.filter("_g IS NOT NULL").select("source", "line_id", *fields)
 
 
+def known_format(name: str) -> tuple[str, list[str]]:
+    """Layout and masks of a public log format, by its name in any case."""
+    by_name = {known.lower(): known for known in LOG_FORMATS}
+    if name.lower() not in by_name:
+        raise ValueError(f"unknown log format {name}; known are {', '.join(LOG_FORMATS)}")
+    return LOG_FORMATS[by_name[name.lower()]]
+
+
+def format_fields(lines: DataFrame, name: str, column: str = "original_content") -> DataFrame:
+    """Header fields of a public log format, and ``masked``: its content with the format's variable parts as wildcards."""
+    layout, masks = known_format(name)
+    found = header_fields(lines, layout, column)
+    masked = F.col("Content")
+    for pattern in masks:
+        masked = F.regexp_replace(masked, pattern, WILDCARD)
+    return found.withColumn("masked", masked)
+
+
 def percent_slice(lines: DataFrame, first_pct: float = 100, start_pct: float = 0) -> DataFrame:
     """Lines of each source from a start percentage on, up to a percentage of the rest."""
     totals = lines.groupBy("source").agg(F.max("line_id").alias("_total"))

@@ -206,6 +206,27 @@ def test_lines_are_numbered_over_splits(spark, tmp_path):
     assert names == {"防火墙/a+b.log", "防火墙/old.log.1"}
 
 
+def test_no_chosen_source_is_an_error(spark, tmp_path):
+    (tmp_path / "web").mkdir()
+    (tmp_path / "web" / "a.log").write_text("one\ntwo\n")
+    (tmp_path / "b.log").write_text("three\n")
+    assert logs.read_selected(spark, str(tmp_path)).count() == 3
+    assert {r["original_content"] for r in logs.read_selected(spark, str(tmp_path), ["WEB"]).collect()} == {"one", "two"}
+    with pytest.raises(FileNotFoundError, match="nothing"):
+        logs.read_selected(spark, str(tmp_path), ["nothing"])
+
+
+def test_formats_by_name(spark):
+    rows = [("s", 1, "081109 203615 148 INFO dfs.DataNode: Received blk_-16 from 10.0.0.1:80"), ("s", 2, "other")]
+    frame = spark.createDataFrame(rows, "source string, line_id long, original_content string")
+    found = logs.format_fields(frame, "hdfs").collect()
+    assert [(r["Component"], r["masked"]) for r in found] == [("dfs.DataNode", "Received <*> from <*>")]
+    with pytest.raises(ValueError, match="unknown log format"):
+        logs.known_format("none")
+    for name in logs.LOG_FORMATS:
+        assert logs.format_fields(frame, name).columns[-1] == "masked"
+
+
 def test_representative_picks(spark):
     rows = lines(spark, ["a b c d", "a b c d", "x y", "a b, z"])
     got = sampling.representative(rows, ["source"], k=3).orderBy("pick").collect()
