@@ -222,6 +222,8 @@ MEMORY = f"""SELECT regex, min(first_line) AS seq, cast({WORDS.format('regex')}
 
 def app_memory(spark, sf):
     lines, found = app_parsed(spark, sf)
+    # Read by the learning and twice by the search.
+    lines = durable(lines.select("source", "line_id", "content"))
     logged = found.join(lines.select("source", F.col("line_id").alias("first_line"), F.col("content").alias("log")), ["source", "first_line"])
     return lines, memory.learn(
         logged.select(F.col("first_line").alias("seq"), regexes.template_to_regex(F.col("template")).alias("regex"), "log")
