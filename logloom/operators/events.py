@@ -20,7 +20,7 @@ from logloom.functions.scalars import (
 from logloom.functions.text import strip
 from logloom.operators.rollup import is_firewall_name
 from logloom.operators.rule_state import BLOCK_SECONDS, carry_forward, time_block
-from logloom.operators.skew import lookup_join
+from logloom.operators.skew import BROADCAST_BYTES, Lookup, lookup_join, text_size
 from logloom.session import durable
 
 # Labels of actions and policies.
@@ -137,30 +137,67 @@ def classify(permissive: Column) -> Column:
     )
 
 
-def _dimension(rows: DataFrame, table: DataFrame, fields: list[str], key: Column, prefix: str) -> DataFrame:
-    """Left join of a keyed dimension; columns <prefix><field> and <prefix>found."""
+@dataclass
+class Dimensions:
+    """Asset and device tables, ready to be joined, and the rows of the default keys."""
+
+    assets: Lookup
+    devices: Lookup
+    terminal: dict[str, str]
+    desk: dict[str, str]
+    device: dict[str, str]
+
+
+def _side(table: DataFrame, fields: list[str], prefix: str) -> DataFrame:
     known = set(table.columns)
     chosen = [(F.col(f) if f in known else F.lit("")).alias(f"{prefix}{f}") for f in fields]
-    side = table.select(F.col("_key").alias("_lookup"), *chosen, F.lit(True).alias(f"{prefix}found"))
-    return lookup_join(rows.withColumn("_lookup", key), side, ["_lookup"]).drop("_lookup")
+    return table.select(F.col("_key").alias(f"{prefix}key"), *chosen, F.lit(True).alias(f"{prefix}found"))
+
+
+def dimensions(assets: DataFrame, devices: DataFrame) -> Dimensions:
+    """Both tables are stored as one, then measured and searched for the default keys in one aggregation."""
+    assets, devices = _side(assets, ASSET_FIELDS, "_as_"), _side(devices, DEVICE_FIELDS, "_de_")
+    both = durable(assets.unionByName(devices, allowMissingColumns=True))
+    asset, device = F.struct(*assets.columns), F.struct(*devices.columns)
 
+    def only(key: str, value: str, row: Column, name: str) -> Column:
+        return F.max(F.when(F.col(key) == value, row)).alias(name)
 
-def _default_rows(table: DataFrame, keys: list[str]) -> dict[str, dict[str, str]]:
-    """The rows of a few fixed keys, at most one each."""
-    return {row["_key"]: row.asDict() for row in table.filter(F.col("_key").isin(keys)).collect()}
+    found = both.agg(
+        F.sum(F.when(F.col("_as_found"), text_size(assets.columns))).alias("asset_bytes"),
+        F.sum(F.when(F.col("_de_found"), text_size(devices.columns))).alias("device_bytes"),
+        only("_as_key", TERMINAL_IP, asset, "terminal"),
+        only("_as_key", MANAGEMENT_IP, asset, "desk"),
+        only("_de_key", DEFAULT_DEVICE, device, "device"),
+    ).first().asDict(recursive=True)
+
+    def part(prefix: str, columns: list[str], size: str) -> Lookup:
+        return Lookup(both.filter(f"{prefix}found").select(*columns), (found[size] or 0) <= BROADCAST_BYTES)
+
+    return Dimensions(
+        part("_as_", assets.columns, "asset_bytes"),
+        part("_de_", devices.columns, "device_bytes"),
+        *[found[name] or {} for name in ("terminal", "desk", "device")],
+    )
 
 
 def build_events(
-    params: DataFrame, assets: DataFrame, devices: DataFrame, block_seconds: int = BLOCK_SECONDS
+    params: DataFrame,
+    assets: DataFrame,
+    devices: DataFrame,
+    block_seconds: int = BLOCK_SECONDS,
+    types: list[int] | None = None,
 ) -> DataFrame:
     """Params (with source, source_row) with their alarm type or refusal and payload ``data``.
 
     ``assets`` and ``devices`` are keyed tables as made by ``sources.tables.keyed``. The
-    rows are materialised before rule state is carried, because that reads them twice.
+    rows are materialised before rule state is carried, because that reads them twice. Only rows
+    with a rule pass through windows; the others have no state and stay as they are. With
+    ``types`` rows of other alarm types, and refused ones, are left out of what follows the
+    materialised rows (a filter before them would be pushed into the extraction of all fields and
+    repeat its expressions); state belongs to rows of type 4, so the rows that stay do not change.
     """
-    assets, devices = durable(assets), durable(devices)
-    default_device = _default_rows(devices, [DEFAULT_DEVICE]).get(DEFAULT_DEVICE, {})
-    default_assets = _default_rows(assets, [TERMINAL_IP, MANAGEMENT_IP])
+    known = dimensions(assets, devices)
     rows = with_fields(params, ROW_FIELDS)
     lenient = is_firewall_name(F.col("source"))
     terminal = F.lower("module") == "terminal"
@@ -169,12 +206,12 @@ def build_events(
         return F.when(lenient, value).otherwise("")
 
     def default_asset(field: str) -> Column:
-        at_terminal, at_desk = (default_assets.get(ip, {}).get(field) or "" for ip in (TERMINAL_IP, MANAGEMENT_IP))
+        at_terminal, at_desk = (row.get(f"_as_{field}") or "" for row in (known.terminal, known.desk))
         return when_lenient(F.when(terminal, at_terminal).otherwise(at_desk))
 
     default_ip = when_lenient(F.when(terminal, TERMINAL_IP).otherwise(MANAGEMENT_IP))
     device_name = first_filled(
-        F.col("control_name"), F.col("device_name"), when_lenient(default_device.get("device_name") or "")
+        F.col("control_name"), F.col("device_name"), when_lenient(known.device.get("_de_device_name") or "")
     )
     rows = rows.withColumns(
         {
@@ -185,11 +222,11 @@ def build_events(
             "_source_ip": first_filled(F.col("src_ip"), F.col("management_ip"), default_ip),
         }
     )
-    rows = _dimension(rows, devices, DEVICE_FIELDS, F.lower("_device"), "_de_")
-    rows = _dimension(rows, assets, ASSET_FIELDS, F.col("_source_ip"), "_as_")
+    rows = lookup_join(rows.withColumn("_de_key", F.lower("_device")), known.devices, ["_de_key"])
+    rows = lookup_join(rows.withColumn("_as_key", F.col("_source_ip")), known.assets, ["_as_key"])
 
     def device(field: str) -> Column:
-        return F.when(F.col("_de_found"), F.col(f"_de_{field}")).otherwise(when_lenient(default_device.get(field) or ""))
+        return F.when(F.col("_de_found"), F.col(f"_de_{field}")).otherwise(when_lenient(known.device.get(f"_de_{field}") or ""))
 
     kind = F.col("_c.type")
     web = (kind == 2) | (F.lower("module") == "webui")
@@ -200,9 +237,7 @@ def build_events(
         "_type": kind,
         "_reason": F.col("_c.reason"),
         "_keyed": keyed,
-        "_key": F.when(keyed, F.concat_ws("\u0001", "source", F.lower("_device"), rule)).otherwise(
-            F.concat_ws("\u0002", "source", F.col("source_row").cast("string"))
-        ),
+        "_key": F.when(keyed, F.concat_ws("\u0001", "source", F.lower("_device"), rule)),
         "_block": time_block(F.col("_time"), F.col("source_row"), block_seconds),
         "_untimed": F.col("_time").isNull(),
         "_action": F.lower("event_action"),
@@ -229,25 +264,26 @@ def build_events(
     state = ["policy_type", "src_addr", "src_ip", "dst_addr", "dst_ip", "control_ip"]
     extra = [c for c in state if c not in params.columns]
     rows = durable(rows.select(*kept, *extra, *[c.alias(n) for n, c in cells.items()]))
+    if types is not None:
+        rows = rows.filter(F.col("_type").isin(types))
 
     def or_null(value: Column) -> Column:
         return F.when(value != "", value)
 
-    rows = carry_forward(
-        rows,
-        "_key",
-        "_block",
-        ["_untimed", "_time", "source_row"],
-        F.col("_keyed") & (F.col("_action") == "del"),
-        {
-            "_policy_type": (or_null(F.col("policy_type")), None),
-            "_src": (or_null(first_filled(F.col("src_addr"), F.col("src_ip"))), or_null(F.col("_default_ip"))),
-            "_dst": (
-                or_null(first_filled(F.col("dst_addr"), F.col("dst_ip"))),
-                F.when(F.col("_lenient"), or_null(F.col("_managed"))),
-            ),
-        },
+    fields = {
+        "_policy_type": (or_null(F.col("policy_type")), None),
+        "_src": (or_null(first_filled(F.col("src_addr"), F.col("src_ip"))), or_null(F.col("_default_ip"))),
+        "_dst": (
+            or_null(first_filled(F.col("dst_addr"), F.col("dst_ip"))),
+            F.when(F.col("_lenient"), or_null(F.col("_managed"))),
+        ),
+    }
+    order = ["_untimed", "_time", "source_row"]
+    ruled = carry_forward(rows.filter("_keyed"), "_key", "_block", order, F.col("_action") == "del", fields)
+    alone = rows.filter("NOT _keyed").withColumns(
+        {name: own if default is None else F.coalesce(own, default) for name, (own, default) in fields.items()}
     )
+    rows = ruled.unionByName(alone)
     return rows.select(
         *params.columns, "_type", "_reason", "_keyed", "_untimed", "_time", _payload().alias("data")
     )
@@ -340,9 +376,13 @@ def export(
     contract: dict[int, list[str]] = CONTRACT,
     block_seconds: int = BLOCK_SECONDS,
     stored: bool = False,
+    types: list[int] | None = None,
 ) -> Events:
-    """Accepted and rejected events of params rows; ``stored`` evaluates the rows behind both, and the report, once."""
-    built = validate(build_events(params, assets, devices, block_seconds), contract)
+    """Accepted and rejected events of params rows; ``stored`` evaluates the rows behind both, and the report, once.
+
+    ``types`` limits the work to rows of these alarm types.
+    """
+    built = validate(build_events(params, assets, devices, block_seconds, types), contract)
     if stored:
         built = durable(built)
     typed = F.col("_type").isNotNull()

@@ -15,9 +15,13 @@ BROADCAST_BYTES = 32 * 1024 * 1024
 SALTS = 32
 
 
+def text_size(columns: list[str]) -> Column:
+    """Bytes of a row's JSON text."""
+    return F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in columns])))
+
+
 def text_bytes(df: DataFrame) -> int:
-    row = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))
-    return df.agg(F.sum(F.octet_length(row)).alias("b")).first()["b"] or 0
+    return df.agg(F.sum(text_size(df.columns)).alias("b")).first()["b"] or 0
 
 
 @dataclass(frozen=True)

@@ -37,6 +37,6 @@ def firewall_alarms(
     params: DataFrame, assets: DataFrame, devices: DataFrame, owners: DataFrame, application: DataFrame
 ) -> DataFrame:
     """Firewall params and application alarms to one ordered alarm list."""
-    built = events.export(params, assets, devices)
+    built = events.export(params, assets, devices, types=[4])
     opened = alarms.latest_per_device(alarms.open_policies(built.accepted, owners))
     return alarms.alarm_list(opened, application)

@@ -167,8 +167,8 @@ def devices(spark, sf):
     return keyed(DEVICE_ROWS.frame(spark, sf), "device_name", "pos", casefold=True)
 
 
-def firewall_events(spark, sf):
-    return events.export(fw_rows(spark, sf), assets(spark, sf), devices(spark, sf))
+def firewall_events(spark, sf, types=None):
+    return events.export(fw_rows(spark, sf), assets(spark, sf), devices(spark, sf), types=types)
 
 
 def strict_events(spark, sf):
@@ -327,7 +327,7 @@ ALARM_CELLS = ["source", "source_row", "control_ip", "time", "control_name", "ac
 
 
 def open_alarms(spark, sf):
-    return alarms.open_policies(firewall_events(spark, sf).accepted, owners(spark, sf))
+    return alarms.open_policies(firewall_events(spark, sf, [4]).accepted, owners(spark, sf))
 
 
 @query("alarm_open_policies", OPEN_SQL)

@@ -142,3 +142,20 @@ def test_contract_violations(spark):
     row = made.built.first()
     assert row["errors"] == ["缺少必填字段: login_account"]
     assert row["warnings"] == ["src_mac 不是合法 MAC 地址", "dst_ip 不是标准 IP/CIDR，当前按防火墙地址对象保留"]
+
+
+def test_state_and_rows_without_rule(spark):
+    """Rows without a rule keep their own values; a limit on types changes nothing of the rows that stay."""
+    rows = [
+        policy(1, "r7"), policy(2, "r7", policy_type="", src_addr="", dst_addr=""), policy(3, "", policy_type="", src_addr="", src_ip="172.20.9.9"),
+        session(3, 4), policy(5, "r7", event_action="del", dst_addr="172.22.8.9"), policy(6, "r7", policy_type="", src_addr=""),
+    ]
+    given = params(spark, rows, "gate")
+    assets, devices = (keyed(frame(spark, [dict(r, pos="0")]), key, "pos", fold) for r, key, fold in ((ASSET, "src_ip", False), (DEVICE, "device_name", True)))
+    whole = events.build_events(given, assets, devices)
+    cells = {r["source_row"]: r["data"] for r in whole.filter("_type = 4").collect()}
+    assert cells[3]["src_ip"] == "172.21.0.0/16" and cells[3]["dst_ip"] == "172.22.8.1"
+    assert (cells[4]["src_ip"], cells[4]["dst_ip"]) == ("172.20.9.9", "172.22.8.1")
+    assert (cells[6]["dst_ip"], cells[7]["src_ip"]) == ("172.22.8.9", "")
+    only = events.build_events(given, assets, devices, types=[4])
+    assert {r["source_row"]: r["data"] for r in only.collect()} == cells
