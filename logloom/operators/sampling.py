@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.functions.regexes import without_commas
-from logloom.functions.similarity import distance
+from logloom.functions.similarity import METRICS, distance
 from logloom.functions.text import strip, tokens
-from logloom.operators.skew import BROADCAST_BYTES, SALTS, first_rows, lookup_join, text_bytes
+from logloom.operators.skew import BROADCAST_BYTES, SALTS, first_rows, lookup, lookup_join, text_bytes
 from logloom.session import durable
 
 # Most lines of a capped group, and lines picked of each.
 CANDIDATES = 200
 PICKS = 3
 SEED = 42
+# Rarest tokens of a set by which its first partner is chosen.
+SEEDS = 8
+# Part of the needed common tokens that a pair must show before it is compared.
+SHARE = 0.75
 
 
 def hashed_order(columns: list[str], seed: int = SEED) -> list[Column]:
@@ -67,53 +71,116 @@ def representative(
     return result.select(*keys, "pick", without_commas(F.col("content")).alias("content"))
 
 
+def _set_key(text: str) -> tuple[Column, Column]:
+    """Sorted tokens of a text, and their digest."""
+    words = F.array_sort(tokens(F.coalesce(F.col(text), F.lit(""))))
+    return words, F.sha2(F.array_join(words, " "), 256)
+
+
+def _token_sets(rows: DataFrame, text: str) -> DataFrame:
+    """Each different list of tokens once."""
+    words, key = _set_key(text)
+    return rows.select(key.alias("_set"), words.alias("_words")).dropDuplicates(["_set"])
+
+
+def _places(sets: DataFrame, order: DataFrame, metric: str, out: str) -> DataFrame:
+    """One row per set and token of ``order``: its weight, and how much of the set comes from there on.
+
+    Tokens stand in ``order`` (rare ones first). ``rest`` counts the tokens from this one on (jaccard) or is the norm
+    of their counts (cosine); ``size`` is the same for the whole set, unknown tokens included.
+    """
+    count = F.count(F.lit(1))
+    words = sets.select(F.col("_set").alias(out), F.explode("_words").alias("token")).groupBy(out, "token").agg(count.alias("_n"))
+    weight = F.lit(1).cast("long") if metric == "jaccard" else F.col("_n") * F.col("_n")
+    whole = Window.partitionBy(out)
+    sized = words.withColumn("_w", weight).withColumn("_size", F.sum("_w").over(whole))
+    known = lookup_join(sized, order, ["token"], "inner")
+    after = whole.orderBy(F.col("_place").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    return known.select(
+        "token", out, "_place", F.col("_n").alias(f"_n_{out}"), F.col("_size").alias(f"_size_{out}"),
+        F.sum("_w").over(after).alias(f"_rest_{out}"),
+    )
+
+
+def _verified(pairs: DataFrame, left: DataFrame, right: DataFrame, metric: str) -> DataFrame:
+    """Exact closeness of pairs (a, b) of sets."""
+    both = pairs.join(left.select(F.col("_set").alias("a"), F.col("_words").alias("_x")), "a")
+    both = lookup_join(both, right.select(F.col("_set").alias("b"), F.col("_words").alias("_y")), ["b"], "inner")
+    return both.select("a", "b", (1 - distance(F.col("_x"), F.col("_y"), metric)).alias("_close"))
+
+
+def nearest_sets(left: DataFrame, right: DataFrame, metric: str, seeds: int = SEEDS) -> tuple[DataFrame, DataFrame]:
+    """Closeness of every set of ``left`` to its nearest of ``right`` (columns a, _close), and all pairs compared.
+
+    First every set is compared with the one that looks nearest by its ``seeds`` rarest known tokens, which gives a
+    closeness it has at least. To beat it, two sets must have more than ``need`` in common. Their common tokens are looked at, rare ones
+    first, as long as what follows may still be more than ``need`` without a share of it (the smaller rest of the two
+    bounds it); a pair that has not found more than this share by then cannot reach ``need`` and is not compared.
+    Frequent tokens come last and leave little; lengths enter through ``need``. No pair that beats the seeds is lost.
+    """
+    df = right.select(F.explode(F.array_distinct("_words")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("_f"))
+    # The place of a token: how many sets hold it, and a hash among equals; any fixed order is right.
+    order = lookup(df.select("token", F.struct("_f", F.xxhash64("token").alias("_h"), "token").alias("_place")))
+    ours, theirs = durable(_places(left, order, metric, "a")), _places(right, order, metric, "b").drop("_place")
+    # A token has a row per set that holds it: hot ones on either side are spread by salts beyond the limit.
+    index = durable(theirs)
+    small = text_bytes(index) <= BROADCAST_BYTES
+
+    def meet(rows: DataFrame) -> DataFrame:
+        if small:
+            return rows.join(F.broadcast(index), "token")
+        salt = F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int")
+        copies = index.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        return rows.withColumn("_salt", salt).join(copies, ["token", "_salt"])
+
+    rare = F.row_number().over(Window.partitionBy("a").orderBy("_place"))
+    first = ours.withColumn("_rare", rare).filter(F.col("_rare") <= seeds)
+    size_a, size_b = F.col("_size_a"), F.col("_size_b")
+    if metric == "jaccard":
+        found, rest = F.lit(1), F.least("_rest_a", "_rest_b")
+        need = F.col("_least") / (1 + F.col("_least")) * (size_a + size_b)
+        seen = F.sum(found) / (F.first(size_a) + F.first(size_b) - F.sum(found))
+    else:
+        norms = F.sqrt(size_a.cast("double")) * F.sqrt(size_b.cast("double"))
+        found, rest = F.col("_n_a") * F.col("_n_b"), F.sqrt(F.col("_rest_a").cast("double")) * F.sqrt(F.col("_rest_b").cast("double"))
+        need = F.col("_least") * norms
+        seen = F.sum(found) / F.first(norms)
+    met = meet(first).groupBy("a", "b").agg(seen.alias("_seen"))
+    partner = met.groupBy("a").agg(F.max_by("b", F.struct("_seen", "b")).alias("b"))
+    tried = durable(_verified(partner, left, right, metric))
+    reached = tried.select("a", F.col("_close").alias("_least"))
+    # Rounding may only let more pairs through.
+    rows = meet(ours.join(reached, "a")).withColumn("_need", need * (1 - 1e-9))
+    rows = rows.filter(rest > F.col("_need") * (1 - SHARE))
+    shared = rows.groupBy("a", "b").agg(F.sum(found).alias("_found"), F.first("_need").alias("_need"))
+    open_pairs = shared.filter(F.col("_found") > F.col("_need") * SHARE).select("a", "b")
+    more = durable(_verified(open_pairs.join(tried, ["a", "b"], "left_anti"), left, right, metric))
+    compared = tried.unionByName(more)
+    return compared.groupBy("a").agg(F.max("_close").alias("_close")), compared
+
+
 def minimum_distances(
     candidates: DataFrame,
     selected: DataFrame,
-    candidate_id: str,
-    selected_id: str,
     metric: str = "jaccard",
     text: str = "text",
-    max_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Distance of every candidate to the nearest selected text.
 
-    Texts without a common token are at distance 1, so only common tokens are joined: token
-    products are summed per pair, and pairs shrink to the minimum per candidate. The tokens
-    of the selected texts are broadcast when their size allows; otherwise they are salted.
+    Equal token lists are compared once. Texts without a common token are at distance 1, and so is everything from
+    an empty selection; an empty (or NULL) text is at distance 0 from another one. See ``nearest_sets``.
     """
-    count = F.count(F.lit(1))
-
-    def exploded(rows: DataFrame, key: str, name: str) -> DataFrame:
-        words = rows.select(F.col(key), F.explode(tokens(F.col(text))).alias("token"))
-        counted = words.groupBy(key, "token").agg(count.alias(name))
-        return counted if metric == "cosine" else counted.withColumn(name, F.lit(1).cast("long"))
-
-    def sizes(words: DataFrame, key: str, weight: str, name: str) -> DataFrame:
-        return words.groupBy(key).agg(F.sum(F.col(weight) * F.col(weight)).alias(name))
-
-    left = durable(exploded(candidates, candidate_id, "_n"))
-    right = durable(exploded(selected, selected_id, "_m"))
-    if text_bytes(right) <= max_bytes:
-        paired = left.join(F.broadcast(right), "token")
-    else:
-        salt = F.pmod(F.xxhash64(candidate_id), F.lit(SALTS)).cast("int")
-        copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        paired = left.withColumn("_salt", salt).join(copies, ["token", "_salt"])
-    common = paired.groupBy(candidate_id, selected_id).agg(F.sum(F.col("_n") * F.col("_m")).alias("_dot"))
-    common = common.join(sizes(left, candidate_id, "_n", "_a"), candidate_id).join(
-        sizes(right, selected_id, "_m", "_b"), selected_id
+    if metric not in METRICS:
+        raise ValueError(f"unknown metric: {metric}")
+    left, right = durable(_token_sets(candidates, text)), durable(_token_sets(selected, text))
+    best, _ = nearest_sets(left, right, metric)
+    blank = not right.filter(F.size("_words") == 0).isEmpty()
+    gaps = left.join(best, F.col("_set") == F.col("a"), "left").select(
+        F.col("_set"),
+        F.when((F.size("_words") == 0) & F.lit(blank), 0.0).otherwise(1 - F.coalesce("_close", F.lit(0.0))).alias("min_distance"),
     )
-    if metric == "jaccard":
-        gap = 1 - F.col("_dot") / (F.col("_a") + F.col("_b") - F.col("_dot"))
-    else:
-        gap = 1 - F.col("_dot") / (F.sqrt(F.col("_a").cast("double")) * F.sqrt(F.col("_b").cast("double")))
-    nearest = common.groupBy(candidate_id).agg(F.min(gap).alias("_d"))
-    blank = selected.filter(F.size(tokens(F.col(text))) == 0).isEmpty()
-    untouched = F.lit(1.0) if blank else F.when(F.size(tokens(F.col(text))) == 0, 0.0).otherwise(1.0)
-    return candidates.join(nearest, candidate_id, "left").withColumn(
-        "min_distance", F.coalesce("_d", untouched)
-    ).drop("_d")
+    keyed = candidates.withColumn("_set", _set_key(text)[1])
+    return lookup_join(keyed, gaps, ["_set"]).drop("_set")
 
 
 def sample_bank(lines: DataFrame, k: int = PICKS, seed: int = SEED, group: str = "template") -> DataFrame:
@@ -172,6 +239,66 @@ def prefixed_key(template: Column, sample: Column) -> Column:
     return F.when(both, F.concat(prefix, F.lit(": "), rest)).otherwise(template)
 
 
+# Columns that a bank of each mode needs beside content, template and event id, in order of detection.
+BANK_COLUMNS = {"auth": ["component", "proto"], "syslog": ["component", "proto"], "dns": ["component"], "audit": ["type"]}
+
+
+def bank_mode(columns: list[str], mode: str = "auto") -> str:
+    """The mode of a bank; ``auto`` takes the first whose columns are there, in any case (syslog has auth's)."""
+    known = {c.lower() for c in columns}
+    fitting = [m for m, needed in BANK_COLUMNS.items() if known >= {"content", "eventtemplate", "eventid", *needed}]
+    if mode == "auto" and fitting:
+        return fitting[0]
+    if mode not in fitting:
+        raise ValueError(f"columns {columns} do not make a bank of mode {mode}")
+    return mode
+
+
+def template_bank(
+    lines: DataFrame, mode: str = "auto", k: int = PICKS, seed: int = SEED, order: str = "line_id", distinct: bool = False
+) -> DataFrame:
+    """Template keys with up to k sample lines in their context and an event id, for the lines of one log family.
+
+    Lines have Content, EventTemplate, EventId (names in any case), the mode's columns and a unique ``order``.
+    Blank contents are left out. Lines of auth are grouped by event id, or by template key where it is blank, and
+    their samples are distinct; other modes group by template key, and samples repeat unless ``distinct``. A group is
+    named by the key of its first line; of groups with one name the last to begin stays. Samples are the first k by
+    digest of seed, group, content and order.
+    """
+    mode = bank_mode([c for c in lines.columns if c != order], mode)
+    named = {c.lower(): c for c in lines.columns}
+
+    def cell(name: str) -> Column:
+        return F.coalesce(F.col(f"`{named[name]}`").cast("string"), F.lit(""))
+
+    parts = {name: cell(name) for name in BANK_COLUMNS[mode]}
+    # Context of a sample: as the key's, with what is in brackets.
+    context = F.concat_ws(" ", *[strip(p) for p in parts.values()])
+    rows = lines.select(
+        template_key(mode, cell("eventtemplate"), **parts).alias("template"),
+        F.concat(context, F.lit(": "), cell("content")).alias("sample"),
+        cell("content").alias("content"),
+        (strip(cell("eventid")) if mode == "auth" else cell("eventid")).alias("event_id"),
+        F.col(order).alias("_line"),
+    ).filter(strip(F.col("content")) != "")
+    group = F.concat(F.lit("t"), F.col("template"))
+    if mode == "auth":
+        group = F.when(F.col("event_id") == "", group).otherwise(F.concat(F.lit("e"), F.col("event_id")))
+    rows = rows.withColumn("_group", group)
+    names = rows.groupBy("_group").agg(F.min_by(F.struct("template", "event_id"), "_line").alias("_first"), F.min("_line").alias("_at"))
+    names = names.groupBy("_first.template").agg(F.max_by(F.struct("_group", "_first.event_id"), "_at").alias("_last"))
+    names = names.select("template", F.col("_last._group").alias("_group"), F.col("_last.event_id").alias("event_id"))
+    unit = "sample" if mode == "auth" else "content" if distinct else "_line"
+    # Lines to choose from combine before the shuffle where they have to differ.
+    if unit != "_line":
+        rows = rows.groupBy("_group", unit).agg(F.min_by("sample", "_line").alias("_s"), F.min("_line").alias("_line"))
+        rows = rows.select("_group", F.col("_s").alias("sample"), "_line")
+    digest = F.md5(F.concat_ws("::", F.lit(str(seed)), "_group", "sample", *([F.col("_line").cast("string")] if unit == "_line" else [])).cast("binary"))
+    chosen = first_rows(rows.withColumn("_digest", digest), ["_group"], [F.col("_digest"), F.col("_line")], k)
+    samples = chosen.groupBy("_group").agg(F.transform(F.array_sort(F.collect_list(F.struct("_rank", "sample"))), lambda x: x["sample"]).alias("samples"))
+    return names.join(samples, "_group").select("template", "samples", "event_id")
+
+
 def first_samples(lines: DataFrame, keys: list[str]) -> DataFrame:
     """First content and first filled event id of every key."""
     filled = strip(F.coalesce(F.col("event_id"), F.lit(""))) != ""

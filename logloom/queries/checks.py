@@ -371,6 +371,60 @@ def bank_keys(spark, sf):
     )
 
 
+# Lines of each family for a bank; ids and processes repeat, and some event ids are blank.
+BANK_LINES = Rendered(
+    "events",
+    line_id="event_id",
+    Component="concat('h', user_id % 3, ' ')",
+    Proto="concat('app', user_id % 2, '[', user_id, ']')",
+    Server="concat(' dnsmasq[', user_id % 50, ']')",
+    Type="concat('type=', upper(event_type))",
+    EventTemplate="concat(event_type, ' of <*> ', user_id % 2)",
+    Content="CASE WHEN event_id % 23 = 0 THEN '  ' ELSE concat(event_type, ' of ', user_id % 40, ' ', user_id % 2) END",
+    EventId="CASE WHEN user_id % 7 = 0 THEN ' ' ELSE concat('E', event_type, user_id % 4, ' ') END",
+)
+BANK_PARTS = {
+    "auth": (["Component", "Proto"], "trim(Component) || ' ' || {proto}", "trim(Component) || ' ' || Proto"),
+    "syslog": (["Component", "Proto"], "trim(Component) || ' ' || {proto}", "trim(Component) || ' ' || Proto"),
+    "dns": (["Server"], "{server}", "trim(Server)"),
+    "audit": (["Type"], "Type", "Type"),
+}
+
+
+def bank_sql(mode: str) -> str:
+    _, key, context = BANK_PARTS[mode]
+    key = key.format(proto=r"regexp_replace(Proto, '\[[^\]]*\]', '[<*>]', 'g')", server=r"trim(regexp_replace(Server, '\[[^\]]*\]', '[<*>]', 'g'))")
+    auth = mode == "auth"
+    event = "trim(EventId)" if auth else "EventId"
+    grouped = "CASE WHEN event_id = '' THEN 't' || template ELSE 'e' || event_id END" if auth else "'t' || template"
+    units = "SELECT g, sample, min(line_id) AS line_id FROM s GROUP BY ALL" if auth else "SELECT g, sample, line_id FROM s"
+    digest = "md5('42::' || g || '::' || sample)" if auth else "md5('42::' || g || '::' || sample || '::' || line_id)"
+    return f"""WITH l AS ({BANK_LINES.sql}),
+    s AS (SELECT *, {grouped} AS g FROM (SELECT line_id, {key} || ': ' || EventTemplate AS template, {context} || ': ' || Content AS sample, {event} AS event_id
+        FROM l WHERE trim(Content) <> '')),
+    n AS (SELECT g, arg_min(template, line_id) AS template, arg_min(event_id, line_id) AS event_id, min(line_id) AS began FROM s GROUP BY g),
+    m AS (SELECT template, arg_max(g, began) AS g, arg_max(event_id, began) AS event_id FROM n GROUP BY template),
+    r AS (SELECT g, sample, row_number() OVER (PARTITION BY g ORDER BY {digest}, line_id) AS k FROM ({units}))
+    SELECT m.template, string_agg(sample, '|' ORDER BY k) AS samples, any_value(m.event_id) AS event_id FROM m JOIN r USING (g) WHERE k <= 3 GROUP BY m.template"""
+
+
+def bank(mode: str):
+    def run(spark, sf):
+        names = BANK_PARTS[mode][0]
+        shown = [F.col(n).alias("Component" if n == "Server" else n) for n in names]
+        lines = BANK_LINES.frame(spark, sf).select("line_id", *shown, "EventTemplate", "Content", "EventId")
+        # Only syslog has to be named: its columns are those of auth.
+        found = sampling.template_bank(lines, mode if mode == "syslog" else "auto")
+        return found.select("template", F.array_join("samples", "|").alias("samples"), "event_id")
+
+    run.__doc__ = f"Sample bank of {mode} lines."
+    return run
+
+
+for _mode in BANK_PARTS:
+    query(f"bank_{_mode}", bank_sql(_mode))(bank(_mode))
+
+
 # Sinks: written to the shared folder and read again.
 
 

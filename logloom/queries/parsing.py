@@ -446,5 +446,5 @@ def min_distance(spark, sf):
     """Distance of every document to the nearest benchmark text."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
     chosen = table(spark, sf, "benchmark")
-    near = sampling.minimum_distances(docs, chosen, "doc_id", "item_id")
+    near = sampling.minimum_distances(docs, chosen)
     return near.select("doc_id", F.round("min_distance", 9).alias("min_distance"))

@@ -1,6 +1,7 @@
 """Lines, templates, clustering, memory and numbering."""
 
 import random
+from collections import Counter
 
 import pytest
 
@@ -235,12 +236,79 @@ def test_representative_picks(spark):
     assert [r["content"] for r in near] == ["a b c d", "a b c d"]
 
 
-def test_minimum_distances_both_ways(spark):
-    left = spark.createDataFrame([(1, "a b"), (2, "q"), (3, "a b c")], "i int, text string")
+def test_minimum_distances_small_and_odd_tables(spark, monkeypatch):
+    left = spark.createDataFrame([(1, "a b"), (2, "q"), (3, "c b  a"), (4, ""), (5, None)], "i int, text string")
     right = spark.createDataFrame([(7, "a b c"), (8, "z")], "j int, text string")
     for limit in (10**6, 0):
-        got = {r["i"]: round(r["min_distance"], 6) for r in sampling.minimum_distances(left, right, "i", "j", max_bytes=limit).collect()}
-        assert got == {1: round(1 - 2 / 3, 6), 2: 1.0, 3: 0.0}
+        monkeypatch.setattr(sampling, "BROADCAST_BYTES", limit)
+        got = {r["i"]: round(r["min_distance"], 6) for r in sampling.minimum_distances(left, right).collect()}
+        assert got == {1: round(1 - 2 / 3, 6), 2: 1.0, 3: 0.0, 4: 1.0, 5: 1.0}
+    blank = right.unionByName(spark.createDataFrame([(9, " ")], right.schema))
+    got = {r["i"]: round(r["min_distance"], 6) for r in sampling.minimum_distances(left, blank, "cosine").collect()}
+    assert got == {1: round(1 - 2 / 6**0.5, 6), 2: 1.0, 3: 0.0, 4: 0.0, 5: 0.0}
+    assert {r["min_distance"] for r in sampling.minimum_distances(left, right.limit(0)).collect()} == {1.0}
+
+
+def test_nearest_sets_equal_force_with_few_pairs(spark):
+    rng = random.Random(4)
+    words = [f"w{n}" for n in range(400)]
+    frequent = [1 / (n + 1) for n in range(400)]
+    theirs = [rng.choices(words, frequent, k=rng.randint(4, 30)) for _ in range(150)]
+    # Variants of the selected lines, as log lines are of one another, and a few that are like none.
+    ours = [[w if rng.random() < 0.8 else rng.choice(words) for w in rng.choice(theirs)] for _ in range(280)]
+    ours += [rng.choices(words, frequent, k=rng.randint(1, 30)) for _ in range(20)]
+
+    def close(x, y, metric):
+        if metric == "jaccard":
+            return len({*x} & {*y}) / len({*x} | {*y})
+        p, q = Counter(x), Counter(y)
+        norm = (sum(v * v for v in p.values()) * sum(v * v for v in q.values())) ** 0.5
+        return sum(p[w] * q[w] for w in p) / norm
+
+    left = spark.createDataFrame([(n, " ".join(x)) for n, x in enumerate(ours)], "i int, text string")
+    right = spark.createDataFrame([(" ".join(x),) for x in theirs], "text string")
+    for metric in ("jaccard", "cosine"):
+        got = {r["i"]: r["min_distance"] for r in sampling.minimum_distances(left, right, metric).collect()}
+        for n, x in enumerate(ours):
+            assert abs(got[n] - (1 - max(close(x, y, metric) for y in theirs))) < 1e-9
+        sets = sampling._token_sets(left, "text"), sampling._token_sets(right, "text")
+        compared = sampling.nearest_sets(*sets, metric)[1].count()
+        assert compared < sets[0].count() * sets[1].count() / 10, (metric, compared)
+
+
+def bank_frame(spark, rows):
+    return spark.createDataFrame(rows, "line_id int, Component string, Proto string, EventTemplate string, Content string, EventId string")
+
+
+def test_bank_of_auth_groups_by_event_id(spark):
+    rows = [
+        (1, "h1 ", "cron[7]", "open <*>", "open 1", "E1"), (2, "h1", "cron[8]", "open <*> now", "open 2", " E1 "),
+        (3, "h1", "cron[7]", "open <*>", "open 1", "E1"), (4, "h1", "cron[9]", "close", "close", None),
+        (5, "h1", "cron[9]", "close", "  ", "E9"), (6, "h2", "sshd[1]", "in", "in", ""),
+    ]
+    frame = bank_frame(spark, rows)
+    assert sampling.bank_mode(frame.columns) == "auth" and sampling.bank_mode(frame.columns, "syslog") == "syslog"
+    got = {r["template"]: (sorted(r["samples"]), r["event_id"]) for r in sampling.template_bank(frame).collect()}
+    assert got == {
+        "h1 cron[<*>]: open <*>": (["h1 cron[7]: open 1", "h1 cron[8]: open 2"], "E1"),
+        "h1 cron[<*>]: close": (["h1 cron[9]: close"], ""),
+        "h2 sshd[<*>]: in": (["h2 sshd[1]: in"], ""),
+    }
+    plain = {r["template"]: sorted(r["samples"]) for r in sampling.template_bank(frame, "syslog").collect()}
+    assert plain["h1 cron[<*>]: open <*>"] == ["h1 cron[7]: open 1"] * 2 and "h1 cron[<*>]: open <*> now" in plain
+    once = {r["template"]: r["samples"] for r in sampling.template_bank(frame, "syslog", distinct=True).collect()}
+    assert once["h1 cron[<*>]: open <*>"] == ["h1 cron[7]: open 1"]
+
+
+def test_bank_modes_by_columns(spark):
+    frame = bank_frame(spark, [(1, "dnsmasq[4]", "x", "query <*>", "query a", "D1")])
+    dns = sampling.template_bank(frame.drop("Proto")).first()
+    assert (dns["template"], dns["samples"], dns["event_id"]) == ("dnsmasq[<*>]: query <*>", ["dnsmasq[4]: query a"], "D1")
+    audit = frame.withColumnRenamed("Component", "TYPE").drop("Proto")
+    assert sampling.template_bank(audit).first()["template"] == "dnsmasq[4]: query <*>"
+    with pytest.raises(ValueError):
+        sampling.bank_mode(["content", "eventtemplate", "eventid"])
+    assert sampling.template_bank(frame.limit(0)).isEmpty()
 
 
 def test_header_layouts_like_plain_patterns(spark):
