@@ -11,8 +11,8 @@ from logloom.session import durable
 
 # Largest table that is sent to every executor, in bytes of its JSON text.
 BROADCAST_BYTES = 32 * 1024 * 1024
-# Copies a lookup table is given when it is too large to broadcast.
-SALTS = 32
+# Copies a lookup table is given when it is too large to broadcast; one, as Spark splits hot partitions of the facts.
+SALTS = 1
 
 
 def text_size(columns: list[str]) -> Column:
@@ -48,12 +48,15 @@ def lookup_join(
     """Join facts to a lookup table whose keys are unique and may be hot in the facts.
 
     The table is materialised and measured. Within ``max_bytes`` it is broadcast and the
-    facts are not shuffled; beyond it each entry gets ``salts`` copies, and the facts of
-    one key spread over that many partitions.
+    facts are not shuffled; beyond it both sides meet by key, and the adaptive skew join splits
+    the facts of a hot key among tasks (``session.prepare``). With ``salts`` above one each entry
+    gets that many copies instead: a large table grows as many times, whether keys are hot or not.
     """
     side = table if isinstance(table, Lookup) else lookup(table, max_bytes)
     if side.small:
         return facts.join(F.broadcast(side.table), keys, how)
+    if salts <= 1:
+        return facts.join(side.table, keys, how)
     salted = side.table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     spread = facts.withColumn(
         "_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in facts.columns]), F.lit(salts)).cast("int")

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from logloom.functions.text import (
     WILDCARD,
@@ -20,6 +24,10 @@ from logloom.session import durable
 ROUTE = ["source", "n_tokens", "route"]
 # Line numbers of one cluster are listed in arrays of at most this many.
 LISTING_CHUNK = 4096
+# Stands between the words of a folded line; it separates words, so none holds it.
+WORD_MARK = "\x1f"
+# Characters of groups that a task keeps before it sends them on.
+GROUP_BYTES = 32 * 1024 * 1024
 
 
 def preprocess(lines: DataFrame) -> DataFrame:
@@ -40,49 +48,78 @@ def routed(lines: DataFrame, masked: bool = True) -> DataFrame:
     )
 
 
-def generalise(rows: DataFrame, keys: list[str], column: str = "tokens") -> DataFrame:
-    """One template per key: a token stays where every row has it, else a wildcard.
+def _merged(kept: list[str], text: str) -> list[str]:
+    """Words that both have at the same place; other places, and those that only one has, become wildcards."""
+    words = text.split(WORD_MARK) if text else []
+    both = [a if a == b else WILDCARD for a, b in zip(kept, words)]
+    return both + [WILDCARD] * (max(len(kept), len(words)) - len(both))
+
+
+def _packed(groups: dict[tuple, list], schema: pa.Schema) -> pa.RecordBatch:
+    rows = [(*key, text if words is None else WORD_MARK.join(words), n, first) for key, (text, words, n, first) in groups.items()]
+    return pa.RecordBatch.from_arrays([pa.array(cells, field.type) for cells, field in zip(zip(*rows), schema)], schema=schema)
 
-    Shorter rows count as different at their missing positions. Minimum and maximum per
-    position combine before the shuffle, so a hot key sends one row per position and task.
+
+def _folded(in_order: bool):
+    """Rows (keys, text, n, first) with equal keys folded into one.
+
+    Rows in the order of their keys are folded for good, and only the last group stays open. Otherwise as many groups are
+    kept as the limit of bytes allows, and what is left of a key is folded after the shuffle.
     """
-    every = F.explode(
-        F.concat(
-            F.array(F.struct(F.lit(-1).alias("pos"), F.lit("").alias("tok"))),
-            F.transform(F.col(column), lambda t, i: F.struct(i.cast("int").alias("pos"), t.alias("tok"))),
-        )
-    )
-    spots = (
-        rows.select(*keys, every.alias("_e"))
-        .groupBy(*keys, F.col("_e.pos").alias("pos"))
-        .agg(F.min("_e.tok").alias("lo"), F.max("_e.tok").alias("hi"), F.count(F.lit(1)).alias("n"))
-    )
-    packed = spots.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("pos", "lo", "hi", "n"))).alias("_spots")
-    )
-    total = F.element_at("_spots", 1)["n"]
-    body = F.slice("_spots", F.lit(2), F.size("_spots"))
-    words = F.transform(
-        body,
-        lambda s: F.when((s["lo"] == s["hi"]) & (s["n"] == total), s["lo"]).otherwise(WILDCARD),
-    )
-    return packed.select(*keys, F.array_join(words, " ").alias("template"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups, size, schema = {}, 0, None
+        for batch in batches:
+            schema = batch.schema
+            *keys, texts, counts, firsts = (column.to_pylist() for column in batch.columns)
+            for key, text, n, first in zip(zip(*keys), texts, counts, firsts):
+                group = groups.get(key)
+                if group is None:
+                    if size > GROUP_BYTES:
+                        yield _packed(groups, schema)
+                        groups, size = {}, 0
+                    groups[key] = [text, None, n, first]
+                    size += len(text) + 100
+                    continue
+                if group[1] is not None or group[0] != text:
+                    group[1] = _merged((group[0].split(WORD_MARK) if group[0] else []) if group[1] is None else group[1], text)
+                group[2] += n
+                group[3] = group[3] if first is None else first if group[3] is None else min(group[3], first)
+            if in_order and len(groups) > 1:
+                last, open_group = groups.popitem()
+                yield _packed(groups, schema)
+                groups = {last: open_group}
+                size = len(open_group[0]) + 100
+        if groups:
+            yield _packed(groups, schema)
+
+    return run
+
+
+def fold(rows: DataFrame, keys: list[str], first: str, column: str = "tokens") -> DataFrame:
+    """One row per key: its ``template``, the ``count`` of its rows and the least ``first`` of them.
+
+    A token stays where every row has it, else it becomes a wildcard; shorter rows count as different at their missing
+    positions. Rows are folded before the shuffle, so a hot key sends a few rows per task, and a key of one row its text;
+    no token becomes a row of its own.
+    """
+    text = F.array_join(F.col(column), WORD_MARK).alias("_text")
+    sent = rows.select(*keys, text, F.lit(1).cast("long").alias("count"), F.col(first).alias("_first"))
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in sent.schema])
+    dealt = sent.mapInArrow(_folded(False), schema).repartition(*keys).sortWithinPartitions(*keys)
+    template = F.replace("_text", F.lit(WORD_MARK), F.lit(" ")).alias("template")
+    return dealt.mapInArrow(_folded(True), schema).select(*keys, template, "count", F.col("_first").alias("first_line"))
+
+
+def generalise(rows: DataFrame, keys: list[str], column: str = "tokens") -> DataFrame:
+    """One template per key, as ``fold`` makes it."""
+    return fold(rows.withColumn("_none", F.lit(0)), keys, "_none", column).select(*keys, "template")
 
 
 def discover(lines: DataFrame, masked: bool = True) -> DataFrame:
-    """Templates per (source, token count, routing token) from the distinct masked lines."""
-    distinct = (
-        routed(lines, masked)
-        .groupBy(*ROUTE, "tokens")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("line_id").alias("first_line"))
-    )
-    distinct = durable(distinct)
-    counts = distinct.groupBy(*ROUTE).agg(F.sum("n").alias("count"), F.min("first_line").alias("first_line"))
-    return (
-        generalise(distinct, ROUTE)
-        .join(counts, ROUTE)
-        .withColumn("event_id", event_id(F.col("template")))
-    )
+    """Templates per (source, token count, routing token), with the lines they stand for and the first of them."""
+    found = fold(routed(lines.filter(F.col("source").isNotNull()), masked), ROUTE, "line_id")
+    return found.withColumn("event_id", event_id(F.col("template")))
 
 
 def assign(lines: DataFrame, templates: Lookup, masked: bool = True) -> DataFrame:
@@ -121,6 +158,18 @@ def split_small(parsed: DataFrame, least: int = 5) -> tuple[DataFrame, DataFrame
     return sized.filter(F.col("_size") >= least).drop("_size"), sized.filter(F.col("_size") < least).drop("_size")
 
 
+def sized_lines(lines: DataFrame, least: int = 5, masked: bool = True) -> DataFrame:
+    """Lines (source, line_id) with their event id and whether its group is ``kept``: has at least ``least`` lines.
+
+    Sizes come from the templates, and lines meet event ids only, never the texts of templates.
+    """
+    found = durable(discover(lines, masked).select(*ROUTE, "event_id", "count"))
+    sizes = found.groupBy("source", "event_id").agg((F.sum("count") >= least).alias("kept"))
+    named = found.drop("count").join(sizes, ["source", "event_id"])
+    placed = routed(lines, masked).select(*ROUTE, "line_id")
+    return lookup_join(placed, named, ROUTE, "inner").select("source", "line_id", "event_id", "kept")
+
+
 def clusters(parsed: DataFrame) -> DataFrame:
     """Event id, template, first line and size of every cluster."""
     return parsed.groupBy("source", "event_id", "template").agg(
@@ -128,9 +177,20 @@ def clusters(parsed: DataFrame) -> DataFrame:
     )
 
 
+def template_clusters(found: DataFrame) -> DataFrame:
+    """The same clusters from the templates alone: every line belongs to one of them."""
+    return found.groupBy("source", "event_id", "template").agg(
+        F.min("first_line").alias("first_line"), F.sum("count").alias("count")
+    )
+
+
 def cluster_preview(parsed: DataFrame, limit: int = 50) -> DataFrame:
     """First clusters in order of appearance, with a flag that more exist."""
-    shown = clusters(parsed).orderBy("first_line", "source", "event_id").limit(limit + 1)
+    return first_clusters(clusters(parsed), limit)
+
+
+def first_clusters(every: DataFrame, limit: int = 50) -> DataFrame:
+    shown = every.orderBy("first_line", "source", "event_id").limit(limit + 1)
     numbered = shown.withColumn(
         "_rn", F.row_number().over(Window.orderBy("first_line", "source", "event_id"))
     )

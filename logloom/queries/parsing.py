@@ -172,9 +172,7 @@ TEXT_ROUTED = sql_routed(TEXT_PRE)
     JOIN (SELECT t.source, event_id, sum("count") AS n FROM ({sql_templates(TEXT_ROUTED)}) t GROUP BY ALL) USING (source, event_id)""",
 )
 def small_groups(spark, sf):
-    parsed, _ = templates.parse(templates.preprocess(text_lines(spark, sf)))
-    large, small = templates.split_small(parsed.select("source", "line_id", "event_id"))
-    return large.withColumn("kept", F.lit(True)).unionByName(small.withColumn("kept", F.lit(False)))
+    return templates.sized_lines(templates.preprocess(text_lines(spark, sf)))
 
 
 @query("cluster_lines", f"SELECT source, event_id, line_id FROM ({ASSIGNED})")
@@ -192,8 +190,8 @@ def cluster_lines(spark, sf):
               JOIN ({sql_templates(TEXT_ROUTED)}) t USING (source, n_tokens, route)) GROUP BY ALL)) WHERE rn <= 50""",
 )
 def cluster_list(spark, sf):
-    parsed, _ = templates.parse(templates.preprocess(text_lines(spark, sf)))
-    return templates.cluster_preview(parsed)
+    found = templates.discover(templates.preprocess(text_lines(spark, sf)))
+    return templates.first_clusters(templates.template_clusters(found))
 
 
 @query("drain_exact")
