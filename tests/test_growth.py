@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from logloom.operators import templates
+from logloom.operators import memory, skew, templates
 from logloom.operators.skew import lookup_join
 
 
@@ -51,3 +51,19 @@ def test_a_large_lookup_table_is_not_copied(spark):
     assert "Generate" not in spreading(joined)
     want = sorted((n, f"v{n % 7}" if n % 7 < 5 else "") for n in range(50))
     assert sorted((r["n"], r["v"] or "") for r in joined.collect()) == want
+
+
+def test_recall_is_the_same_in_all_ways(spark, monkeypatch):
+    contents = ["go to x", "go, to y", "stop all. now", "a.b c", "go to x\n", "one two three four", "wide one", "go to", None]
+    shapes = [r"go to (.*?)", "go to x", r"go to y", r"stop all\. now", r"a\.b c", r"one (.*?) four", r"wide (.*?) ?", r"(.*?) one", "go t(o|x) y", "stop a{2}ll"]
+    made = [(n, shape, log) for shape in shapes for n, log in enumerate(contents) if log]
+    known = memory.learn(spark.createDataFrame(made, "seq long, regex string, log string"))
+    assert known.filter("literal IS NULL").select("regex").distinct().count() == 5
+    lines = spark.createDataFrame([("s", n, c) for n, c in enumerate(contents)], "source string, line_id long, content string")
+    near = {r["line_id"]: r["regex"] for r in memory.recall(lines, known).collect()}
+    monkeypatch.setattr(memory, "SMALL", -1)
+    monkeypatch.setattr(skew.lookup, "__defaults__", (0,))
+    monkeypatch.setattr(skew.lookup_join, "__defaults__", ("left", 0, 1))
+    far = memory.recall(lines, known)
+    assert {r["line_id"]: r["regex"] for r in far.collect()} == near
+    assert near[8] is None and near[2] == r"stop all\. now" and near[3] == r"a\.b c"
