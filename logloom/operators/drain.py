@@ -17,6 +17,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,6 +31,9 @@ from logloom.session import durable, release
 SIMILARITY = 0.5
 BRANCHES = 100
 STREAM = ["source", "n_tokens"]
+# Branches of more clusters are compared as numbers; number of a template's wildcard.
+FEW = 8
+WILD_NUMBER = -1
 
 
 class _Branches:
@@ -55,32 +59,83 @@ class _Branches:
         return len(self.members) + reserved < BRANCHES
 
 
+class _Matrix:
+    """Templates of one branch as rows of token numbers, so that a line is compared with all of them at once."""
+
+    def __init__(self, width: int) -> None:
+        self.rows, self.wild = np.empty((4 * FEW, width), np.int32), np.empty(4 * FEW, np.int32)
+        self.clusters: list[int] = []
+        self.place: dict[int, int] = {}
+
+    def put(self, cluster: int, numbers: list[int]) -> None:
+        at = self.place.setdefault(cluster, len(self.clusters))
+        if at == len(self.clusters):
+            self.clusters.append(cluster)
+            if at == len(self.rows):
+                self.rows, self.wild = np.concatenate([self.rows, self.rows]), np.concatenate([self.wild, self.wild])
+        self.rows[at] = numbers
+        self.wild[at] = numbers.count(WILD_NUMBER)
+
+    def best(self, numbers: list[int]) -> tuple[int, int]:
+        """The first cluster with the most equal tokens, and of those the most wildcards; and how many are equal."""
+        n = len(self.clusters)
+        same = (self.rows[:n] == np.array(numbers, np.int32)).sum(axis=1)
+        most = same.max()
+        among = np.flatnonzero(same == most)
+        return self.clusters[among[self.wild[among].argmax()]], int(most)
+
+
 class Clusters:
     """Templates of one stream so far, in the order of their first lines."""
 
     def __init__(self, similarity: float = SIMILARITY) -> None:
         self.similarity, self.branches = similarity, _Branches()
         self.templates: list[list[str]] = []
+        self.matrices: dict[str, _Matrix] = {}
+        self.numbers: dict[str, int] = {}
+
+    def _numbered(self, words: list[str], wild: int) -> list[int]:
+        """Token numbers; a wildcard of a template and one of a line differ, because they never count as equal."""
+        return [wild if word == WILDCARD else self.numbers.setdefault(word, len(self.numbers)) for word in words]
+
+    def _nearest(self, branch: str, words: list[str]) -> tuple[int, float]:
+        members = self.branches.members.get(branch, ())
+        if len(members) > FEW:
+            if branch not in self.matrices:
+                matrix = self.matrices[branch] = _Matrix(len(words))
+                for number in members:
+                    matrix.put(number, self._numbered(self.templates[number], WILD_NUMBER))
+            best, same = self.matrices[branch].best(self._numbered(words, WILD_NUMBER - 1))
+            return best, same / len(words)
+        best, best_rank = -1, (-1.0, -1)
+        for number in members:
+            template = self.templates[number]
+            same = sum(a == b and a != WILDCARD for a, b in zip(template, words))
+            rank = (same / len(words), template.count(WILDCARD))
+            if rank > best_rank:
+                best, best_rank = number, rank
+        return best, best_rank[0]
 
     def add(self, words: list[str]) -> tuple[int, str | None]:
         """Number of the cluster that takes the line, widened to cover it, and the branch that this changed, if any."""
-        best, best_rank, branch = -1, (-1.0, -1), WILDCARD
+        best, likeness, branch = -1, -1.0, WILDCARD
         if len(words) > 1:
             branch = self.branches.branch(words[0])
-            for number in self.branches.members.get(branch, ()):
-                template = self.templates[number]
-                same = sum(a == b and a != WILDCARD for a, b in zip(template, words))
-                rank = (same / len(words), template.count(WILDCARD))
-                if rank > best_rank:
-                    best, best_rank = number, rank
-        if best_rank[0] < self.similarity:
+            best, likeness = self._nearest(branch, words)
+        if likeness < self.similarity:
             self.templates.append(list(words))
             best = len(self.templates) - 1
-            return best, self.branches.file(words[0], best) if len(words) > 1 else None
-        wider = [a if a == b else WILDCARD for a, b in zip(self.templates[best], words)]
-        changed = branch if wider != self.templates[best] else None
-        self.templates[best] = wider
-        return best, changed
+            if len(words) <= 1:
+                return best, None
+            branch = self.branches.file(words[0], best)
+        else:
+            wider = [a if a == b else WILDCARD for a, b in zip(self.templates[best], words)]
+            if wider == self.templates[best]:
+                return best, None
+            self.templates[best] = wider
+        if branch in self.matrices:
+            self.matrices[branch].put(best, self._numbered(self.templates[best], WILD_NUMBER))
+        return best, branch
 
 
 def cluster_in_order(token_lists: list[list[str]], similarity: float = SIMILARITY) -> list[str]:

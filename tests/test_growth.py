@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from logloom.operators import memory, skew, templates
+from logloom.operators import drain, memory, skew, templates
 from logloom.operators.skew import lookup_join
 
 
@@ -67,3 +67,19 @@ def test_recall_is_the_same_in_all_ways(spark, monkeypatch):
     far = memory.recall(lines, known)
     assert {r["line_id"]: r["regex"] for r in far.collect()} == near
     assert near[8] is None and near[2] == r"stop all\. now" and near[3] == r"a\.b c"
+
+
+def test_many_clusters_are_compared_as_numbers(monkeypatch):
+    draw = random.Random(11)
+    words = [f"w{n}x" for n in range(9)] + ["<*>", "aa", "bb", "cc"]
+    lists = [[draw.choice(words) for _ in range(6)] for _ in range(1500)]
+    used = []
+    best = drain._Matrix.best
+    monkeypatch.setattr(drain._Matrix, "best", lambda self, numbers: used.append(1) or best(self, numbers))
+    for similarity in (0.5, 0.7, 0.9):
+        fast = drain.cluster_in_order(lists, similarity)
+        monkeypatch.setattr(drain, "FEW", 10**9)
+        plain = drain.cluster_in_order(lists, similarity)
+        monkeypatch.setattr(drain, "FEW", 8)
+        assert fast == plain
+    assert len(used) > 1000
