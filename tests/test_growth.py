@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from logloom.operators import drain, memory, skew, templates
 from logloom.operators.skew import lookup_join
+from logloom.sources import specs
 
 
 def spreading(df):
@@ -83,3 +84,13 @@ def test_many_clusters_are_compared_as_numbers(monkeypatch):
         monkeypatch.setattr(drain, "FEW", 8)
         assert fast == plain
     assert len(used) > 1000
+
+
+def test_names_of_a_large_mapping_are_joined_once(spark, monkeypatch):
+    monkeypatch.setattr(skew.lookup, "__defaults__", (0,))
+    monkeypatch.setattr(skew.lookup_join, "__defaults__", ("left", 0, *skew.lookup_join.__defaults__[2:]))
+    rows = spark.createDataFrame([(n, p, f"s{p}", f"s{p}", False, "", "") for n in (1, 2) for p in (0, 1)], "spec_index int, pos int, source string, output string, mapped boolean, definition string, example string")
+    mapping = spark.createDataFrame([(2, "s0", "first"), (2, "s1", "second")], "spec_index int, source string, canonical string")
+    named = specs.with_canonical_names(rows, mapping)
+    assert "Generate" not in spreading(named)
+    assert {(r["spec_index"], r["pos"]): r["output"] for r in named.collect()} == {(1, 0): "s0", (1, 1): "s1", (2, 0): "s0", (2, 1): "second"}
