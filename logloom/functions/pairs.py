@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from logloom.functions.text import strip
 
-QUOTED = r""""(?:[^"\\]|\\.)*"|'[^']*'"""
-TOKEN = rf"""[^\s="']+=(?:{QUOTED}|[^\s"'\\]|\\.)*"""
+# Possessive: what one part takes no other part could, so nothing is given back and runs are read at once.
+QUOTED = r""""(?:[^"\\]++|\\.)*+"|'[^']*+'"""
+TOKEN = rf"""[^\s="']++=(?:{QUOTED}|[^\s"'\\]++|\\.)*+"""
 LOOSE_TOKEN = r"""[A-Za-z_][A-Za-z0-9_]*=(?:"[^"]*"|\S*)"""
 
 
@@ -29,7 +30,7 @@ def pairs(text: Column) -> Column:
 
     def quoted(token: Column) -> Column:
         raw = raw_of(token)
-        plain = F.regexp_replace(raw, r""""((?:[^"\\]|\\.)*)"|'([^']*)'""", "$1$2")
+        plain = F.regexp_replace(raw, r""""((?:[^"\\]++|\\.)*+)"|'([^']*+)'""", "$1$2")
         plain = F.regexp_replace(plain, r"\\(.)", "$1")
         plain = F.when(raw.rlike(r"""["'\\]"""), plain).otherwise(raw)
         return F.struct(key_of(token).alias("key"), F.trim(strip(plain), F.lit('"')).alias("value"))

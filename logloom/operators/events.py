@@ -81,6 +81,13 @@ ROW_FIELDS = [
     "control_device_type", "control_ip",
 ]
 
+# Columns of the params that events and rejections show.
+KEPT = ["source", "source_row", "event_type", "event_action", "module"]
+# Columns of the report.
+REPORT_SCHEMA = "source string, " + ", ".join(
+    f"{n} long" for n in ["input_rows", "event_count", "rejected_count", "warning_count", *[f"type_{k}" for k in CONTRACT]]
+) + ", ok boolean"
+
 
 @dataclass
 class Events:
@@ -181,12 +188,26 @@ def dimensions(assets: DataFrame, devices: DataFrame) -> Dimensions:
     )
 
 
+def once(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows with each of ``columns`` evaluated once per row.
+
+    Filters on them, or on what is made of them, do not move below the generator; they would take the whole
+    expressions with them and evaluate them again for every mention.
+    """
+    made = [f"_once_{n}" for n in range(len(columns))]
+    kept = [c for c in rows.columns if c not in columns]
+    cells = F.struct(*[F.col(f"`{c}`").alias(m) for c, m in zip(columns, made)])
+    rows = rows.select(*[F.col(f"`{c}`") for c in kept], F.inline(F.array(cells)))
+    return rows.withColumnsRenamed(dict(zip(made, columns)))
+
+
 def build_events(
     params: DataFrame,
     assets: DataFrame,
     devices: DataFrame,
     block_seconds: int = BLOCK_SECONDS,
     types: list[int] | None = None,
+    keep: list[str] | None = None,
 ) -> DataFrame:
     """Params (with source, source_row) with their alarm type or refusal and payload ``data``.
 
@@ -196,6 +217,7 @@ def build_events(
     ``types`` rows of other alarm types, and refused ones, are left out of what follows the
     materialised rows (a filter before them would be pushed into the extraction of all fields and
     repeat its expressions); state belongs to rows of type 4, so the rows that stay do not change.
+    ``keep`` names the columns of the params that stay in the result and in the materialised rows, by default all.
     """
     known = dimensions(assets, devices)
     rows = with_fields(params, ROW_FIELDS)
@@ -260,9 +282,10 @@ def build_events(
         "_device_type": first_filled(F.col("control_device_type"), device("device_type")),
         "_lenient": lenient,
     }
-    kept = [*params.columns, "_time", "_device", "_default_ip", "_source_ip"]
+    wanted = params.columns if keep is None else [c for c in params.columns if c in keep]
+    kept = [*wanted, "_time", "_device", "_default_ip", "_source_ip"]
     state = ["policy_type", "src_addr", "src_ip", "dst_addr", "dst_ip", "control_ip"]
-    extra = [c for c in state if c not in params.columns]
+    extra = [c for c in state if c not in wanted]
     rows = durable(rows.select(*kept, *extra, *[c.alias(n) for n, c in cells.items()]))
     if types is not None:
         rows = rows.filter(F.col("_type").isin(types))
@@ -284,9 +307,8 @@ def build_events(
         {name: own if default is None else F.coalesce(own, default) for name, (own, default) in fields.items()}
     )
     rows = ruled.unionByName(alone)
-    return rows.select(
-        *params.columns, "_type", "_reason", "_keyed", "_untimed", "_time", _payload().alias("data")
-    )
+    rows = rows.select(*wanted, "_type", "_reason", "_keyed", "_untimed", "_time", _payload().alias("data"))
+    return once(rows, ["data"])
 
 
 def _payload() -> Column:
@@ -333,25 +355,40 @@ def validate(built: DataFrame, contract: dict[int, list[str]] = CONTRACT) -> Dat
         part = F.array(*[F.lit(n) for n in names])
         hit = F.col("_type") == number
         required = F.when(hit, part) if required is None else required.when(hit, part)
-    rows = built.withColumn("_required", required)
-    blank = F.filter("_required", lambda n: strip(F.coalesce(F.try_element_at("data", n), F.lit(""))) == "")
+    every = list(dict.fromkeys(n for names in contract.values() for n in names))
+    texts = list(dict.fromkeys([*every, "src_mac", "policy", "login_time"]))
+    # Fields are read from the map once; errors and warnings are made of these texts.
+    rows = built.withColumn("_required", required).withColumns({f"_v_{n}": _get(n) for n in texts})
+
+    def of_type(parts: dict[int, Column], none: Column) -> Column:
+        chain = None
+        for number, part in parts.items():
+            hit = F.col("_type") == number
+            chain = F.when(hit, part) if chain is None else chain.when(hit, part)
+        return F.coalesce(chain, none)
+
+    def value(name: str) -> Column:
+        return F.col(f"_v_{name}")
+
+    blank = of_type(
+        {k: F.concat_ws(", ", *[F.when(value(n) == "", F.lit(n)) for n in names]) for k, names in contract.items()}, F.lit("")
+    )
     extra = F.array_sort(F.array_except(F.map_keys("data"), F.col("_required")))
+    rows = rows.withColumns({"_blank": blank, "_extra": extra})
     errors = F.array(
         F.when(F.col("_required").isNull(), F.concat(F.lit(BAD_TYPE), F.col("_type").cast("string"))),
-        F.when(F.size(blank) > 0, F.concat(F.lit(MISSING), F.array_join(blank, ", "))),
-        F.when(F.size(extra) > 0, F.concat(F.lit(EXTRA), F.array_join(extra, ", "))),
+        F.when(F.col("_blank") != "", F.concat(F.lit(MISSING), F.col("_blank"))),
+        F.when(F.size("_extra") > 0, F.concat(F.lit(EXTRA), F.array_join("_extra", ", "))),
     )
-    addresses = list(dict.fromkeys(n for names in contract.values() for n in names if n.endswith("_ip")))
-    for name in addresses:
-        bad = (_get(name) != "") & ~is_address(_get(name))
-        rows = rows.withColumn(f"_bad_{name}", F.when(bad, F.lit(name + BAD_ADDRESS)))
-    odd = None
-    for number, names in contract.items():
-        part = F.array(*[F.col(f"_bad_{n}") for n in names if n in addresses])
-        hit = F.col("_type") == number
-        odd = F.when(hit, part) if odd is None else odd.when(hit, part)
-    odd = F.coalesce(odd, F.array().cast("array<string>"))
-    mac, policy, stamp = _get("src_mac"), _get("policy"), _get("login_time")
+    addresses = [n for n in every if n.endswith("_ip")]
+    odd = of_type(
+        {
+            k: F.array(*[F.when((value(n) != "") & ~is_address(value(n)), F.lit(n + BAD_ADDRESS)) for n in names if n in addresses])
+            for k, names in contract.items()
+        },
+        F.array().cast("array<string>"),
+    )
+    mac, policy, stamp = value("src_mac"), value("policy"), value("login_time")
     policy_row = F.col("_type") == 4
     warnings = F.concat(
         F.array(
@@ -364,9 +401,8 @@ def validate(built: DataFrame, contract: dict[int, list[str]] = CONTRACT) -> Dat
             F.when((stamp != "") & event_time(stamp).isNull(), BAD_TIME),
         ),
     )
-    return rows.withColumns(
-        {"errors": F.array_compact(errors), "warnings": F.array_compact(warnings)}
-    ).drop("_required", *[f"_bad_{n}" for n in addresses])
+    rows = rows.withColumns({"errors": F.array_compact(errors), "warnings": F.array_compact(warnings)})
+    return once(rows.drop("_required", "_blank", "_extra", *[f"_v_{n}" for n in texts]), ["errors"])
 
 
 def export(
@@ -382,7 +418,7 @@ def export(
 
     ``types`` limits the work to rows of these alarm types.
     """
-    built = validate(build_events(params, assets, devices, block_seconds, types), contract)
+    built = validate(build_events(params, assets, devices, block_seconds, types, KEPT), contract)
     if stored:
         built = durable(built)
     typed = F.col("_type").isNotNull()

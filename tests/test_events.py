@@ -159,3 +159,24 @@ def test_state_and_rows_without_rule(spark):
     assert (cells[6]["dst_ip"], cells[7]["src_ip"]) == ("172.22.8.9", "")
     only = events.build_events(given, assets, devices, types=[4])
     assert {r["source_row"]: r["data"] for r in only.collect()} == cells
+
+
+def test_filters_do_not_repeat_the_payload(spark):
+    """Payload and errors are made once, below the generators; no filter builds them again for each mention."""
+    given = [params(spark, [policy(1, "r7"), session(2, 5), session(3, 4) | {"user": ""}], "gate")] + [
+        keyed(frame(spark, [dict(r, pos="0")]), key, "pos", fold) for r, key, fold in ((ASSET, "src_ip", False), (DEVICE, "device_name", True))
+    ]
+    made = events.export(*given)
+    for rows in (made.accepted, made.rejected):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        filters = [line for line in plan.splitlines() if line.strip(" +-:").startswith("Filter")]
+        assert filters and not any("map(" in line or "map_from" in line for line in filters)
+        assert plan.count("map(src_ip, ") <= 6
+    assert events.report(made).schema.simpleString() == spark.createDataFrame([], events.REPORT_SCHEMA).schema.simpleString()
+
+
+def test_only_shown_columns_are_stored(spark):
+    assets, devices = (keyed(frame(spark, [dict(r, pos="0")]), key, "pos", fold) for r, key, fold in ((ASSET, "src_ip", False), (DEVICE, "device_name", True)))
+    given = params(spark, [policy(1, "r7") | {"wide": "w"}], "gate")
+    assert "wide" in events.build_events(given, assets, devices).columns
+    assert "wide" not in events.export(given, assets, devices).built.columns

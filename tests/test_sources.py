@@ -121,3 +121,12 @@ def test_families_and_endpoints(spark):
     ends = spark.createDataFrame([("1.2.3.4:5",), ("::1:80",), ("[::1]:80",), ("h",)], "c string")
     got = [tuple(r[0]) for r in ends.select(endpoint(F.col("c"))).collect()]
     assert got == [("1.2.3.4", "5"), ("::1", "80"), ("[::1]", "80"), ("h", "")]
+
+
+def test_long_quoted_values_and_words(spark):
+    """Runs are read at once: neither long values nor long words without a pair are given back character by character."""
+    long_value, escaped = "v " * 20_000, '\\"' * 50
+    text = f'a="{long_value}" b="{escaped}" c=x"y z"w ' + "q" * 3_000 + " d='e f'"
+    found = spark.createDataFrame([(text,)], "t string").select(pairs(F.col("t")).alias("m")).first()["m"]
+    assert found["a"] == long_value.strip() and found["c"] == "xy zw" and found["d"] == "e f"
+    assert found["b"].strip('"') == ""
