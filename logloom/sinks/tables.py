@@ -82,8 +82,9 @@ def write_events(accepted: DataFrame, rejected: DataFrame, report: DataFrame, fo
     """
     folders = distinct_paths(folders)
     ordered = accepted.orderBy("source", F.col("ts").asc_nulls_last(), "source_row")
-    ordered = durable(ordered.select("source", "source_row", "alarm_type", "data"))
-    rejected, report = durable(rejected), durable(report)
+    ordered = ordered.select("source", "source_row", "alarm_type", "data")
+    if len(folders) > 1:
+        ordered, rejected, report = durable(ordered), durable(rejected), durable(report)
     for folder in folders:
         if arrays:
             write_json_arrays(ordered, f"{folder}/{EVENTS_NAME}")
