@@ -371,19 +371,26 @@ def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_col: s
     table = durable(prefixes(rows, size, percent, classes))
     total = table.agg(F.sum(F.octet_length("prefix") / 8).alias("n")).first()["n"] or 0
     index = durable(prefix_index(table, int(total // SLICE_ROWS) + 1, classes))
+    release(spark)
     nodes = table.select("node", "n", "matches", (F.octet_length("prefix") / 8).cast("long").alias("reach")).distinct()
     pairs = pairs_of_lists(index)
     long_lists = index.filter("token IS NOT NULL").select("token", "a")
     found = durable(likely(pairs, nodes, percent).union(chained(long_lists, nodes, percent)).distinct())
     long_nodes = long_lists.select(F.col("a").alias("node"))
     wanted = durable(found.select(F.col("a").alias("node")).union(found.select("b")).union(long_nodes).distinct())
+    # What plans, generated code and tables of a step took goes before the next one, so that they do not add up on the driver.
+    del pairs, nodes, table
+    release(spark)
     texts = durable(texts_of_nodes(rows, wanted, size))
+    del wanted
+    release(spark)
     links = durable(verified(found, texts, size, percent))
-    del found, wanted, pairs, nodes, table
+    del found
+    release(spark)
     roots = connected(links)
     more = across(long_lists, roots, texts, size, percent)
     links = durable(links.union(more))
-    del more, roots, texts, long_lists, long_nodes, index, shingles
+    del more, roots, texts, long_lists, long_nodes, index
     release(spark)
     return documents, links
 

@@ -144,3 +144,14 @@ def test_workers_without_the_package(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert "all there" in done.stdout, done.stderr[-3000:]
+
+
+def test_similarity_lets_go_between_its_steps(spark, monkeypatch):
+    """What a step leaves on the driver goes before the next one: after the index, the candidates, the texts and the links."""
+    from logloom.llm import jaccard
+
+    calls = []
+    monkeypatch.setattr(jaccard, "release", lambda s: calls.append(s))
+    docs = spark.createDataFrame([(1, "a b c d e"), (2, "a b c d e"), (3, "x y z w v")], "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in jaccard.similar_groups(docs).collect()}
+    assert found == {1: 1, 2: 1, 3: 3} and len(calls) >= 4
