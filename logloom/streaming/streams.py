@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -13,6 +15,8 @@ from logloom.operators.templates import preprocess
 
 STATE = "policy_type string, src string, dst string"
 STATE_FIELDS = ["policy_type", "src", "dst"]
+# Rows of a key that are Python objects at a time; the others wait in Arrow's columns.
+CHUNK_ROWS = 10_000
 STATE_OUTPUT = f"state_key string, row_id long, {STATE}"
 
 
@@ -29,19 +33,30 @@ def preprocessed_stream(lines: DataFrame) -> DataFrame:
     return preprocess(lines)
 
 
+def _packed(batch: pd.DataFrame) -> pa.Table:
+    """The columns that state depends on, without a Python object per value."""
+    texts = [f"{side}_{name}" for name in STATE_FIELDS for side in ("own", "default")]
+    cells = {c: pa.array(batch[c], from_pandas=True) for c in ("time", "row_id", "reset")}
+    return pa.table(cells | {c: pa.array(batch[c], pa.string(), from_pandas=True) for c in texts})
+
+
 def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     current = list(state.get) if state.exists else [None] * len(STATE_FIELDS)
-    rows = pd.concat(list(batches)).sort_values(["time", "row_id"], na_position="last", kind="stable")
-    out = []
-    for row in rows.itertuples(index=False):
-        for n, name in enumerate(STATE_FIELDS):
-            own, default = getattr(row, f"own_{name}"), getattr(row, f"default_{name}")
-            current[n] = own or current[n] or default or None
-        out.append((key[0], row.row_id, *current))
-        if row.reset:
-            current = [None] * len(STATE_FIELDS)
+    rows = pa.concat_tables([_packed(b) for b in batches], promote_options="permissive")
+    order = pc.sort_indices(rows, sort_keys=[("time", "ascending"), ("row_id", "ascending")])
+    for start in range(0, len(order), CHUNK_ROWS):
+        part = rows.take(order.slice(start, CHUNK_ROWS)).to_pydict()
+        sides = [list(zip(part[f"own_{name}"], part[f"default_{name}"])) for name in STATE_FIELDS]
+        out = []
+        for at, (row_id, reset) in enumerate(zip(part["row_id"], part["reset"])):
+            for n, side in enumerate(sides):
+                own, default = side[at]
+                current[n] = own or current[n] or default or None
+            out.append((key[0], row_id, *current))
+            if reset:
+                current = [None] * len(STATE_FIELDS)
+        yield pd.DataFrame(out, columns=["state_key", "row_id", *STATE_FIELDS])
     state.update(tuple(current))
-    yield pd.DataFrame(out, columns=["state_key", "row_id", *STATE_FIELDS])
 
 
 def rule_state_stream(changes: DataFrame) -> DataFrame:
@@ -49,7 +64,8 @@ def rule_state_stream(changes: DataFrame) -> DataFrame:
 
     Columns state_key, time, row_id, reset, own_* and default_* for policy_type, src, dst. A
     key's rows are ordered by time inside a micro-batch, whose size the source's trigger
-    limits; rows of later batches count as later.
+    limits; rows of later batches count as later. A task holds its key's rows of the micro-batch as
+    Arrow columns.
     """
     return changes.groupBy("state_key").applyInPandasWithState(
         _advance, STATE_OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout
