@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from logloom.functions.conditions import compile_condition
 from logloom.functions.scalars import clean, whole_number
 from logloom.operators.skew import lookup_join
+from logloom.session import durable
 from logloom.sources.rules import Rule
 
 NODE = ["label", "id"]
@@ -229,21 +230,24 @@ def isolated(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(endpoints(edges), NODE, "left_anti")
 
 
-def top_counts(rows: DataFrame, column: str, k: int = 12) -> DataFrame:
-    """Most frequent filled values, ties by name."""
-    counted = rows.filter(F.col(column) != "").groupBy(F.col(column).alias("name")).agg(
-        F.count(F.lit(1)).alias("count")
-    )
-    return counted.orderBy(F.desc("count"), "name").limit(k)
-
-
 def summary(nodes: DataFrame, edges: DataFrame, k: int = 12) -> DataFrame:
-    """Totals and the most frequent labels and predicates as (part, name, count)."""
+    """Totals and the most frequent labels and predicates as (part, name, count).
+
+    Nodes and edges are counted once, per label and predicate; totals are sums of these counts.
+    """
+    columns = {"node": (nodes, "label"), "edge": (edges, "predicate")}
+    tallies = [
+        rows.groupBy(F.col(column).alias("name")).agg(F.count(F.lit(1)).alias("count")).withColumn("part", F.lit(part))
+        for part, (rows, column) in columns.items()
+    ]
+    every = durable(tallies[0].unionByName(tallies[1]))
     parts = []
-    for part, rows, column in (("node", nodes, "label"), ("edge", edges, "predicate")):
-        total = rows.agg(F.count(F.lit(1)).alias("count"))
+    for part, (_, column) in columns.items():
+        counts = every.filter(F.col("part") == part)
+        total = counts.agg(F.coalesce(F.sum("count"), F.lit(0)).cast("long").alias("count"))
         parts.append(total.select(F.lit(part).alias("part"), F.lit("").alias("name"), "count"))
-        parts.append(top_counts(rows, column, k).select(F.lit(f"{part}_{column}").alias("part"), "name", "count"))
+        top = counts.filter(F.col("name") != "").orderBy(F.desc("count"), "name").limit(k)
+        parts.append(top.select(F.lit(f"{part}_{column}").alias("part"), "name", "count"))
     result = parts[0]
     for more in parts[1:]:
         result = result.unionByName(more)

@@ -89,3 +89,26 @@ def test_paths_reuse_and_inequality(spark):
     assert graph.paths(edges, steps[:1], where={0: late}).count() == 2
     with pytest.raises(ValueError):
         graph.paths(edges, [steps[0], graph.Step("p", "U", "P", "q", "X")])
+
+
+def test_summary_counts_its_tables_once(spark):
+    """Totals are sums of the counts per label; an empty table has the total 0."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def touch(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    nodes = spark.createDataFrame([("A", "1"), ("A", "2"), ("B", "3")], "label string, id string").coalesce(1).mapInPandas(touch, "label string, id string")
+    edges = spark.createDataFrame([], "predicate string")
+    found = {(r["part"], r["name"]): r["count"] for r in graph.summary(nodes, edges, 1).collect()}
+    assert found == {("node", ""): 3, ("node_label", "A"): 2, ("edge", ""): 0} and seen.value == 3
+
+
+def test_metrics_parse_their_lines_once(spark, monkeypatch):
+    from logloom.queries import checks
+
+    stored = []
+    monkeypatch.setattr(checks, "durable", lambda rows: stored.append(rows.localCheckpoint()) or stored[0], raising=False)
+    assert checks.run_metrics(spark, "/root/testdata/sf0.001").count() > 0 and len(stored) == 1
