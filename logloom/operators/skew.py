@@ -48,20 +48,22 @@ def lookup_join(
     """Join facts to a lookup table whose keys are unique and may be hot in the facts.
 
     The table is materialised and measured. Within ``max_bytes`` it is broadcast and the
-    facts are not shuffled; beyond it both sides meet by key, and the adaptive skew join splits
-    the facts of a hot key among tasks (``session.prepare``). With ``salts`` above one each entry
-    gets that many copies instead: a large table grows as many times, whether keys are hot or not.
+    facts are not shuffled; beyond it both sides are sorted and merged by key, and the adaptive skew
+    join splits the facts of a hot key among tasks (``session.prepare``). The hint says so because Spark
+    takes the table's size from its input files, which may be far smaller, and would broadcast it. With
+    ``salts`` above one each entry gets that many copies instead: a large table grows as many times,
+    whether keys are hot or not.
     """
     side = table if isinstance(table, Lookup) else lookup(table, max_bytes)
     if side.small:
         return facts.join(F.broadcast(side.table), keys, how)
     if salts <= 1:
-        return facts.join(side.table, keys, how)
+        return facts.join(side.table.hint("merge"), keys, how)
     salted = side.table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     spread = facts.withColumn(
         "_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in facts.columns]), F.lit(salts)).cast("int")
     )
-    return spread.join(salted, [*keys, "_salt"], how).drop("_salt")
+    return spread.join(salted.hint("merge"), [*keys, "_salt"], how).drop("_salt")
 
 
 def number_within(df: DataFrame, keys: list[str], order: str, out: str) -> DataFrame:

@@ -54,6 +54,18 @@ def test_a_large_lookup_table_is_not_copied(spark):
     assert sorted((r["n"], r["v"] or "") for r in joined.collect()) == want
 
 
+def test_a_large_lookup_table_is_not_broadcast(spark):
+    facts = spark.range(50).select((F.col("id") % 7).alias("k"), F.col("id").alias("n"))
+    table = spark.range(5).select(F.col("id").alias("k"), F.concat(F.lit("v"), "id").alias("v"))
+    for how in ("left", "inner"):
+        for salts in (1, 3):
+            joined = lookup_join(facts, table, ["k"], how, max_bytes=0, salts=salts)
+            # Spark itself takes this table for small: only the hint keeps it from being sent to every executor.
+            assert "Broadcast" not in spreading(joined) and "SortMergeJoin" in spreading(joined)
+            want = sorted((n, f"v{n % 7}" if n % 7 < 5 else "") for n in range(50) if how == "left" or n % 7 < 5)
+            assert sorted((r["n"], r["v"] or "") for r in joined.collect()) == want
+
+
 def test_recall_is_the_same_in_all_ways(spark, monkeypatch):
     contents = ["go to x", "go, to y", "stop all. now", "a.b c", "go to x\n", "one two three four", "wide one", "go to", None]
     shapes = [r"go to (.*?)", "go to x", r"go to y", r"stop all\. now", r"a\.b c", r"one (.*?) four", r"wide (.*?) ?", r"(.*?) one", "go t(o|x) y", "stop a{2}ll"]
