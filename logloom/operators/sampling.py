@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +24,8 @@ SEED = 42
 SEEDS = 8
 # Part of the needed common tokens that a pair must show before it is compared.
 SHARE = 0.75
+# Cells (texts times selected texts, or index entries) that a task holds as numbers at a time.
+CELLS = 1 << 21
 
 
 def hashed_order(columns: list[str], seed: int = SEED) -> list[Column]:
@@ -159,6 +166,54 @@ def nearest_sets(left: DataFrame, right: DataFrame, metric: str, seeds: int = SE
     return compared.groupBy("a").agg(F.max("_close").alias("_close")), compared
 
 
+def _counted(words: pa.ListArray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Different tokens of all lists, and a row per list and token: list, place of the token, how often it is there."""
+    flat = words.flatten().dictionary_encode()
+    kinds = max(len(flat.dictionary), 1)
+    lists = np.repeat(np.arange(len(words)), pc.list_value_length(words).to_numpy(zero_copy_only=False))
+    cells, counts = np.unique(lists * kinds + flat.indices.to_numpy(zero_copy_only=False), return_counts=True)
+    return flat.dictionary, cells // kinds, cells % kinds, counts
+
+
+def _gaps_to(selected: pa.ListArray, metric: str) -> Callable[[pa.Array], pa.Array]:
+    """Function from lists of tokens to the distance of each to the nearest selected list."""
+    vocabulary, holders, places, times = _counted(selected)
+    order = np.argsort(places, kind="stable")
+    # Entries of a token stand side by side: the selected lists that hold it, and how often they do.
+    starts = np.searchsorted(places[order], np.arange(len(vocabulary) + 1))
+    holders, times, many = holders[order], times[order], len(selected)
+    sizes = np.bincount(holders, None if metric == "jaccard" else times * times, many).astype(float)
+    blank = bool((sizes == 0).any())
+
+    def gaps(words: pa.Array) -> pa.Array:
+        tokens_here, rows, places, counts = _counted(words)
+        size = np.bincount(rows, None if metric == "jaccard" else counts * counts, len(words)).astype(float)
+        token = pc.index_in(tokens_here, value_set=vocabulary).fill_null(-1).to_numpy(zero_copy_only=False)[places]
+        rows, counts, token = rows[token >= 0], counts[token >= 0], token[token >= 0]
+        width = starts[token + 1] - starts[token]
+        best = np.zeros(len(words))
+        step = max(1, CELLS // max(many, 1))
+        for low in range(0, len(words) if many else 0, step):
+            high = min(low + step, len(words))
+            common = np.zeros((high - low) * many)
+            at, end = np.searchsorted(rows, [low, high])
+            ends = np.cumsum(width[at:end])
+            cuts = np.searchsorted(ends, np.arange(CELLS, ends[-1], CELLS)) if len(ends) else []
+            for part in np.split(np.arange(at, end), cuts):
+                wide = width[part]
+                entry = np.repeat(starts[token[part]] - np.cumsum(wide) + wide, wide) + np.arange(wide.sum())
+                pair = np.repeat((rows[part] - low) * many, wide) + holders[entry]
+                found = None if metric == "jaccard" else np.repeat(counts[part], wide) * times[entry]
+                common += np.bincount(pair, found, len(common))
+            common = common.reshape(-1, many)
+            mine = size[low:high, None]
+            whole = mine + sizes - common if metric == "jaccard" else np.sqrt(mine) * np.sqrt(sizes)
+            best[low:high] = np.divide(common, whole, out=np.zeros_like(common), where=whole > 0).max(axis=1)
+        return pa.array(np.where((size == 0) & blank, 0.0, 1 - best))
+
+    return gaps
+
+
 def minimum_distances(
     candidates: DataFrame,
     selected: DataFrame,
@@ -167,12 +222,18 @@ def minimum_distances(
 ) -> DataFrame:
     """Distance of every candidate to the nearest selected text.
 
-    Equal token lists are compared once. Texts without a common token are at distance 1, and so is everything from
-    an empty selection; an empty (or NULL) text is at distance 0 from another one. See ``nearest_sets``.
+    Texts without a common token are at distance 1, and so is everything from an empty selection; an empty (or NULL)
+    text is at distance 0 from another one. A small selection is sent to the candidates as an index of its tokens, in
+    which each batch of them is counted: nothing of the candidates is shuffled or stored. For a larger one equal token
+    lists are compared once, see ``nearest_sets``.
     """
     if metric not in METRICS:
         raise ValueError(f"unknown metric: {metric}")
-    left, right = durable(_token_sets(candidates, text)), durable(_token_sets(selected, text))
+    right = durable(_token_sets(selected, text))
+    if text_bytes(right) <= BROADCAST_BYTES // 8:
+        gaps = F.arrow_udf(_gaps_to(right.select("_words").toArrow()["_words"].combine_chunks(), metric), "double")
+        return candidates.withColumn("min_distance", gaps(tokens(F.coalesce(F.col(text), F.lit("")))))
+    left = durable(_token_sets(candidates, text))
     best, _ = nearest_sets(left, right, metric)
     blank = not right.filter(F.size("_words") == 0).isEmpty()
     gaps = left.join(best, F.col("_set") == F.col("a"), "left").select(

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from logloom.operators import drain, memory, skew, templates
+from logloom.operators import drain, memory, sampling, skew, templates
 from logloom.operators.skew import lookup_join
 from logloom.sources import specs
 
@@ -124,3 +124,24 @@ def test_field_specs_are_made_row_by_row(spark):
     assert specs.dynamic_columns(found, ["z"]) == ["z", "b", "a:a", "a"]
     seen = found.groupBy("output", "mapped").agg(F.min(F.struct("spec_index", "pos")).alias("at"))
     assert specs.dynamic_columns(found, []) == list(dict.fromkeys(r["output"] for r in seen.orderBy(F.desc("mapped"), "at").collect()))
+
+
+def test_distances_to_a_small_selection_without_a_shuffle(spark, monkeypatch):
+    draw = random.Random(5)
+    words = [f"w{n}" for n in range(60)]
+    frequent = [1 / (n + 1) for n in range(60)]
+    theirs = [" ".join(draw.choices(words[:40], frequent[:40], k=draw.randint(1, 12))) for _ in range(30)]
+    ours = [" ".join(draw.choices(words, frequent, k=draw.randint(0, 25))) for _ in range(120)] + ["", None, theirs[3], "zz zz"]
+    left = spark.createDataFrame(list(enumerate(ours)), "i int, text string").repartition(3)
+    for blank in ([], [""]):
+        right = spark.createDataFrame([(x,) for x in theirs + blank], "text string")
+        for metric in ("jaccard", "cosine"):
+            monkeypatch.setattr(sampling, "BROADCAST_BYTES", 0)
+            want = {r["i"]: round(r["min_distance"], 9) for r in sampling.minimum_distances(left, right, metric).collect()}
+            monkeypatch.setattr(sampling, "BROADCAST_BYTES", 10**6)
+            for cells in (1 << 21, 64, 1):
+                monkeypatch.setattr(sampling, "CELLS", cells)
+                near = sampling.minimum_distances(left, right, metric)
+                assert spreading(near).count("Exchange") == spreading(left).count("Exchange")
+                assert {r["i"]: round(r["min_distance"], 9) for r in near.collect()} == want
+    assert want[122] == 0.0 and want[123] == 1.0 and want[120] == want[121] == 0.0
