@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -315,17 +317,23 @@ def paths(
 ) -> DataFrame:
     """All bindings of a chain of typed steps; ``where`` filters a step's edges by number.
 
-    Every step is an equi-join on the nodes bound so far, and its edges are filtered by
-    labels and predicate before the join. Properties named in ``keep`` are returned as
-    ``e<step>_<name>``.
+    The edges are made and read once: those that fit a step are stored, and every step
+    takes its own from there. Every step is an equi-join on the nodes bound so far, and its
+    edges are filtered by labels and predicate before the join. Properties named in ``keep``
+    are returned as ``e<step>_<name>``.
     """
-    result, bound = None, set()
-    for number, step in enumerate(steps):
-        part = edges.filter(
+    def fits(step: Step) -> Column:
+        return (
             (F.col("start_label") == step.start_label)
             & (F.col("predicate") == step.predicate)
             & (F.col("end_label") == step.end_label)
         )
+
+    edges = edges.filter(reduce(or_, [fits(step) for step in steps]))
+    edges = durable(edges if where else edges.select(*EDGE, *(["properties"] if keep else [])))
+    result, bound = None, set()
+    for number, step in enumerate(steps):
+        part = edges.filter(fits(step))
         if where and number in where:
             part = part.filter(where[number])
         if step.start == step.end:
@@ -348,6 +356,12 @@ def paths(
     return result
 
 
+def rules_for(rules: list[Rule], steps: list[Step]) -> list[Rule]:
+    """Rules that can make an edge of a step; an edge of other rules never fits, and shares no property with one."""
+    kinds = {(s.start_label, s.predicate, s.end_label) for s in steps}
+    return [r for r in rules if (r.subject_type, r.predicate, r.object_type) in kinds]
+
+
 def capped(rows: DataFrame, order: list[str], limit: int = 50) -> tuple[DataFrame, DataFrame]:
     """First rows of a result, and whether more exist."""
     probe = rows.orderBy(*order).limit(limit + 1)

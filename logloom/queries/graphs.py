@@ -135,8 +135,13 @@ def sql_edges(facts: list, params: str) -> str:
     )
 
 
-def order_graph(spark, sf):
-    return graph.build_graph(ORDER_PARAMS.frame(spark, sf), ORDER_RULES, "row_id")
+def order_graph(spark, sf, rules=ORDER_RULES):
+    return graph.build_graph(ORDER_PARAMS.frame(spark, sf), rules, "row_id")
+
+
+def order_edges(spark, sf, steps):
+    """Edges that steps of a path may take: the other rules are not evaluated."""
+    return order_graph(spark, sf, graph.rules_for(ORDER_RULES, steps)).edges
 
 
 def event_graph(spark, sf):
@@ -327,7 +332,7 @@ def kg_pattern(spark, sf):
         graph.Step("child", "Process", "RUNS_ON", "host", "Host"),
         graph.Step("host", "Host", "PART_OF", "region", "Region"),
     ]
-    return graph.paths(order_graph(spark, sf).edges, steps, different=[("child", "parent")])
+    return graph.paths(order_edges(spark, sf, steps), steps, different=[("child", "parent")])
 
 
 @query(
@@ -343,7 +348,7 @@ def kg_pattern_filtered(spark, sf):
         graph.Step("user", "User", "PERFORMS", "action", "Action"),
     ]
     late = F.try_element_at("properties", F.lit("time")) >= "1996/01/01"
-    return graph.paths(order_graph(spark, sf).edges, steps, where={0: late}, keep=["time"])
+    return graph.paths(order_edges(spark, sf, steps), steps, where={0: late}, keep=["time"])
 
 
 CLAIMS = """SELECT 'label' AS kind, n_name AS name FROM nation UNION ALL SELECT 'label', 'User' UNION ALL SELECT 'property', p_brand FROM part

@@ -112,3 +112,40 @@ def test_metrics_parse_their_lines_once(spark, monkeypatch):
     stored = []
     monkeypatch.setattr(checks, "durable", lambda rows: stored.append(rows.localCheckpoint()) or stored[0], raising=False)
     assert checks.run_metrics(spark, "/root/testdata/sf0.001").count() > 0 and len(stored) == 1
+
+
+def test_edges_of_a_path_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(name):
+        made.add(1)
+        return name
+
+    rows = [("A", "1", "TO", "B", "2"), ("B", "2", "ON", "C", "3"), ("C", "3", "IN", "D", "4"), ("A", "5", "TO", "B", "6")]
+    edges = spark.createDataFrame([(*r, {"t": "9"}) for r in rows], "start_label string, start_id string, predicate string, end_label string, end_id string, properties map<string,string>")
+    edges = edges.withColumn("predicate", F.udf(seen).asNondeterministic()("predicate"))
+    steps = [graph.Step("a", "A", "TO", "b", "B"), graph.Step("b", "B", "ON", "c", "C"), graph.Step("c", "C", "IN", "d", "D")]
+    got = graph.paths(edges, steps, keep=["t"]).collect()
+    assert [(r["a"], r["b"], r["c"], r["d"], r["e2_t"]) for r in got] == [("1", "2", "3", "4", "9")]
+    assert made.value == len(rows)
+
+
+def test_rules_of_other_steps_change_no_edge(spark):
+    rules = rules_from_lines(
+        """
+        User; user; TO; Host; host; k; user not null
+        User; user; AT; Host; host; j; always
+        User; peer; TO; Host; host; j,k; peer not null
+        """
+    )
+    rows = [(1, "u", "p", "h", None, "j1"), (2, "p", "u", "h", "k2", "j2"), (3, "u", "u", "g", "k3", None)]
+    params = spark.createDataFrame(rows, "n int, user string, peer string, host string, k string, j string")
+    steps = [graph.Step("u", "User", "TO", "h", "Host")]
+    few = graph.rules_for(rules, steps)
+    assert [r.rule_id for r in few] == ["R1", "R3"]
+
+    def edges(rules):
+        made = graph.build_graph(params, rules, "n").edges.filter("predicate = 'TO'")
+        return sorted((r["start_id"], r["end_id"], sorted(r["properties"].items())) for r in made.collect())
+
+    assert edges(few) == edges(rules)
