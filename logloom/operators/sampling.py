@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.functions.regexes import without_commas
-from logloom.functions.similarity import METRICS, distance
+from logloom.functions.similarity import METRICS, distance, square
 from logloom.functions.text import strip, tokens
 from logloom.operators.skew import BROADCAST_BYTES, SALTS, first_rows, lookup, lookup_join, text_bytes
 from logloom.session import durable
@@ -57,20 +57,26 @@ def representative(
     if metric == "random":
         picked = first_rows(taken, keys, [*hashed_order(["content"], seed), F.col("line_id")], k)
         return picked.select(*keys, F.col("_rank").alias("pick"), without_commas(F.col("content")).alias("content"))
-    rows = durable(taken.select(*keys, "line_id", "content", tokens(F.col("content")).alias("_words")))
+    rows = taken.select(*keys, "line_id", "content", tokens(F.col("content")).alias("_words"))
+    # What a line brings to every distance alike is made once, not once per turn.
+    own = ["_words"] if metric == "jaccard" else ["_words", "_square"]
+    rows = durable(rows if metric == "jaccard" else rows.withColumn("_square", square(F.col("_words"))))
     place = ["line_id", "content"]
     rank, picks = -F.size("_words"), []
     for turn in range(k):
-        first = F.min_by(F.struct(*place, "_words"), F.struct(rank.alias("r"), *place)).alias("_pick")
+        first = F.min_by(F.struct(*place, *own), F.struct(rank.alias("r"), *place)).alias("_pick")
         pick = durable(rows.groupBy(*keys).agg(first))
         picks.append(pick.select(*keys, F.lit(turn + 1).alias("pick"), F.col("_pick.content").alias("content")))
         if turn == k - 1:
             break
         joined = lookup_join(rows, pick, keys, "inner")
-        gap = distance(F.col("_words"), F.col("_pick._words"), metric)
+        squares = None if metric == "jaccard" else (F.col("_square"), F.col("_pick._square"))
+        gap = distance(F.col("_words"), F.col("_pick._words"), metric, squares)
         gap = F.least("_gap", gap) if turn else gap
         left = joined.filter((F.col("line_id") != F.col("_pick.line_id")) | (F.col("content") != F.col("_pick.content")))
-        rows = durable(left.withColumn("_gap", gap).drop("_pick"))
+        rows = left.withColumn("_gap", gap).drop("_pick")
+        # The last pick reads its lines once: nothing to keep.
+        rows = rows if turn == k - 2 else durable(rows)
         rank = F.col("_gap") if nearest else -F.col("_gap")
     result = picks[0]
     for part in picks[1:]:

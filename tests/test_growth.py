@@ -1,9 +1,11 @@
 """Steps whose shuffles and tables must not outgrow their input."""
 
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
+from logloom.functions import similarity
 from logloom.operators import drain, memory, sampling, skew, templates
 from logloom.operators.skew import lookup_join
 from logloom.sources import specs
@@ -145,3 +147,33 @@ def test_distances_to_a_small_selection_without_a_shuffle(spark, monkeypatch):
                 assert spreading(near).count("Exchange") == spreading(left).count("Exchange")
                 assert {r["i"]: round(r["min_distance"], 9) for r in near.collect()} == want
     assert want[122] == 0.0 and want[123] == 1.0 and want[120] == want[121] == 0.0
+
+
+def test_cosine_picks_make_squares_once(spark, monkeypatch):
+    draw = random.Random(9)
+    words = [f"w{n}" for n in range(12)]
+    texts = [" ".join(draw.choices(words, k=draw.randint(0, 9))) for _ in range(80)]
+    rows = [(f"s{n % 3}", n, x) for n, x in enumerate(texts)]
+
+    def gap(x, y):
+        p, q = Counter(x.split()), Counter(y.split())
+        norm = sum(v * v for v in p.values()) ** 0.5 * sum(v * v for v in q.values()) ** 0.5
+        return 1 - sum(p[w] * q[w] for w in p) / norm if norm else float(bool(p or q))
+
+    want = set()
+    for source in ("s0", "s1", "s2"):
+        left = [(n, x) for s, n, x in rows if s == source]
+        pick = min(left, key=lambda r: (-len(r[1].split()), r[0]))
+        taken = []
+        for turn in (1, 2, 3):
+            taken.append(pick[1])
+            want.add((source, turn, pick[1]))
+            left.remove(pick)
+            pick = min(left, key=lambda r: (-min(gap(r[1], t) for t in taken), r[0]))
+    made, dot = [], similarity._dot
+    monkeypatch.setattr(similarity, "_dot", lambda a, b: made.append(1) or dot(a, b))
+    lines = spark.createDataFrame(rows, "source string, line_id long, content string")
+    got = sampling.representative(lines, ["source"], metric="cosine").collect()
+    assert {(r["source"], r["pick"], r["content"]) for r in got} == want
+    # One for each turn with picks to compare with; with the squares of both lines it was three.
+    assert len(made) == 2
