@@ -13,6 +13,8 @@ WHITESPACE = (
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
+# The whitespace besides the blank.
+OTHER_SPACE = r"[\t-\r\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 SPACE = r"[\s\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 # Timestamp layouts, in the order they are tried.
@@ -34,6 +36,8 @@ MASKS = (
     r"(?U)/[^\s,]+",
     r"(?U)([\w-]++\.)+[\w-]+",
 )
+# What every text holds in which the mask of the same place is found; it is looked for in a fraction of the time.
+MASK_SIGNS = (r"\d\.\d", ":", "[0-9a-fA-F]{8}", "/", r"\.[^\s.]")
 
 
 def strip(col: Column) -> Column:
@@ -103,8 +107,19 @@ def mask(content: Column) -> Column:
     return content
 
 
+def with_mask(lines: DataFrame, column: str, out: str) -> DataFrame:
+    """``mask`` of a column, step by step: a pattern runs only over texts that hold its sign."""
+    lines = lines.withColumn(out, F.col(column))
+    for pattern, sign in zip(MASKS, MASK_SIGNS):
+        held = F.contains(out, F.lit(sign)) if len(sign) == 1 else F.rlike(out, F.lit(sign))
+        lines = lines.withColumn(out, F.when(held, F.regexp_replace(out, pattern, WILDCARD)).otherwise(F.col(out)))
+    return lines
+
+
 def tokens(content: Column) -> Column:
-    return F.filter(F.split(content, SPACE + "+"), lambda t: t != "")
+    # Blanks alone are split at several times faster than a class of characters.
+    blanks = F.when(F.rlike(content, F.lit(OTHER_SPACE)), F.regexp_replace(content, OTHER_SPACE, " ")).otherwise(content)
+    return F.filter(F.split(blanks, " "), lambda t: t != "")
 
 
 def has_digit(text: Column) -> Column:

@@ -14,8 +14,8 @@ from logloom.functions.text import (
     event_id,
     has_digit,
     is_blank,
-    mask,
     tokens,
+    with_mask,
     with_timestamp,
 )
 from logloom.operators.skew import Lookup, lookup, lookup_join, number_within
@@ -39,10 +39,11 @@ def preprocess(lines: DataFrame) -> DataFrame:
 
 def routed(lines: DataFrame, masked: bool = True) -> DataFrame:
     """Token array, its size and the routing token (wildcard when it holds a digit)."""
-    text = mask(F.col("content")) if masked else F.col("content")
+    lines = with_mask(lines, "content", "_masked") if masked else lines.withColumn("_masked", F.col("content"))
     first = F.try_element_at("tokens", F.lit(1))
     return (
-        lines.withColumn("tokens", tokens(text))
+        lines.withColumn("tokens", tokens(F.col("_masked")))
+        .drop("_masked")
         .withColumn("n_tokens", F.size("tokens"))
         .withColumn("route", F.when(has_digit(first), WILDCARD).otherwise(F.coalesce(first, F.lit(""))))
     )

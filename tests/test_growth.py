@@ -6,6 +6,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from logloom.functions import similarity
+from logloom.functions.text import mask, with_mask
 from logloom.operators import drain, memory, sampling, skew, templates
 from logloom.operators.skew import lookup_join
 from logloom.sources import specs
@@ -177,3 +178,48 @@ def test_cosine_picks_make_squares_once(spark, monkeypatch):
     assert {(r["source"], r["pick"], r["content"]) for r in got} == want
     # One for each turn with picks to compare with; with the squares of both lines it was three.
     assert len(made) == 2
+
+
+def test_clustering_stores_less_than_the_text(spark):
+    """Token arrays of all lines were stored, and again for every pass, several times the bytes of the text."""
+    import os
+
+    from logloom.session import shared_dir
+
+    draw = random.Random(5)
+    words = ["".join(draw.choices("abcdefghijklmnop", k=6)) for _ in range(3000)]
+    known = [" ".join(draw.choices(words, k=draw.choice([40, 41, 60]))) for _ in range(1500)]
+    contents = known + draw.choices(known, k=1500)
+    folder = shared_dir(spark).removeprefix("file:")
+
+    def size():
+        return sum(os.path.getsize(f"{d}/{f}") for d, _, names in os.walk(folder) for f in names if os.path.exists(f"{d}/{f}"))
+
+    before = size()
+    rows = spark.createDataFrame([("s", n, c) for n, c in enumerate(contents)], "source string, line_id long, content string")
+    found = drain.drain(rows, masked=False)
+    assert size() - before < sum(map(len, contents))
+    assert found.count() == len(contents)
+
+
+def test_lines_of_a_stream_that_repeat_are_counted_once(spark):
+    """Every line has one template, that of the plain pass, however often its list is read again."""
+    draw = random.Random(2)
+    parts = ["<*>", "go", "stop", "x1", "p", "q", "r"]
+    contents = [" ".join(draw.choices(parts, k=draw.choice([1, 2, 3, 5]))) for _ in range(1200)] + ["", "one"]
+    rows = spark.createDataFrame([("s", n, c) for n, c in enumerate(contents)], "source string, line_id long, content string")
+    found = drain.drain(rows, masked=False).select("line_id", "template").collect()
+    assert len(found) == len(contents)
+    found = {r["line_id"]: r["template"] for r in found}
+    for k in range(6):
+        numbers = [n for n, c in enumerate(contents) if len(c.split()) == k]
+        want = drain.cluster_in_order([contents[n].split() for n in numbers]) if k > 1 else [contents[n] for n in numbers]
+        assert [found[n] for n in numbers] == want
+
+
+def test_masks_by_their_signs(spark):
+    """Masking step by step gives what the expression gives, with and without each sign."""
+    texts = ["a 1.2.3.4:80 b", "at 10:11:12.5 x", "id deadbeef01 y", "see /a/b,c", "www.é-x.org.", "end. Next", "1.2", "a:b", "abcdefgh", "1.2.3", "...", "a..b", "é.è", "x .y", "١٢:٣٤:٥٦ z", "", None, "1.2.3.4/x 00:00:00 a.b"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for got, want in with_mask(rows, "t", "m").select("m", mask(F.col("t"))).collect():
+        assert got == want
