@@ -3,7 +3,8 @@
 Groups of lines are tried all at once, round by round. Each round looks every line that is left up in the memory, makes
 one pattern per group from a few sample lines, keeps the lines in which it is found, and remembers the pattern. The
 lines of a group that its pattern misses form finer groups in the next round. A round's lines and memory are written
-before the next one starts, so no round repeats the scans of an earlier one.
+before the next one starts, so no round repeats the scans of an earlier one. Lines are written as compressed columns,
+sorted by group inside their part.
 """
 
 from __future__ import annotations
@@ -32,12 +33,14 @@ from logloom.operators import memory as memories
 from logloom.operators.sampling import hashed_order
 from logloom.operators.skew import first_rows, lookup_join
 from logloom.operators.templates import generalise
-from logloom.session import durable
+from logloom.session import durable, stored
 
 # What tells that a line holds variable parts, besides digits.
 VARIABLE_MARKS = (" is ", "=", " to ", "_", "-", ":", ".")
 ROUNDS = 3
 SAMPLES = 3
+# Hexadecimal digits of a digest that order contents as a number, and buckets whose least ones bound the samples.
+PLACE_DIGITS, BUCKETS = 15, 16
 
 Generator = Callable[[list[str]], str]
 
@@ -88,15 +91,33 @@ def asked(generator: Generator):
     return ask
 
 
+def _candidates(rest: DataFrame, groups: list[str], turn: int, samples: int) -> DataFrame:
+    """A few contents per group, among them the first ``samples`` by digest; only a group of one content has a single one.
+
+    The least digests of a group's buckets bound what is looked at, so no group is sorted or gathered.
+    """
+    place = F.conv(F.substring(hashed_order(["content"], turn)[0], 1, PLACE_DIGITS), 16, 10).cast("long")
+    dealt = rest.select(*groups, place.alias("_place"))
+    least = dealt.groupBy(*groups, F.pmod("_place", F.lit(max(BUCKETS, 4 * samples)))).agg(F.min("_place").alias("_place"))
+    nth = F.try_element_at(F.array_sort(F.collect_list("_place")), F.lit(max(samples, 2)))
+    bounds = least.groupBy(*groups).agg(F.coalesce(nth, F.lit(2**63 - 1)).alias("_bound"))
+    near = lookup_join(rest.select(*groups, "content", "line_id", place.alias("_place")), bounds, groups, "inner")
+    return near.filter("_place <= _bound").groupBy(*groups, "content").agg(F.min("line_id").alias("line_id"))
+
+
 def _group_patterns(
     rest: DataFrame, groups: list[str], turn: int, samples: int, generator: Generator | None, refine: bool
-) -> DataFrame:
-    """One row per group: template, regex, whether it is static, and the pattern as ``patterns.prepared`` gives it."""
-    picked = first_rows(rest, groups, hashed_order(["content"], turn) + [F.col("line_id")], samples)
+) -> tuple[DataFrame, DataFrame]:
+    """One row per group: template, regex, whether it is static, and the pattern as ``patterns.prepared`` gives it.
+
+    Also what the memory keeps of each regex.
+    """
+    near = durable(_candidates(rest, groups, turn, samples))
+    picked = first_rows(near, groups, hashed_order(["content"], turn) + [F.col("line_id")], samples)
     listed = picked.groupBy(*groups).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("_rank", "content"))), lambda s: s["content"]).alias("_samples")
     )
-    sizes = rest.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = near.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
     plain = generalise(picked.withColumn("tokens", tokens(F.col("content"))), groups).withColumnRenamed("template", "_plain")
     made = listed.join(sizes, groups).join(plain, groups)
     made = made.withColumn("_first", F.element_at("_samples", 1)).withColumn("static", is_static(F.col("_first"), F.col("_n")))
@@ -110,10 +131,13 @@ def _group_patterns(
     made = made.withColumn("regex", F.when(F.col("static"), escape(F.col("_first"))).otherwise(regex))
     # One row per group. Written here, because the long expression of the regex would be copied to each of its uses.
     kept = durable(made.select(*groups, "template", "regex", "static"))
+    described = durable(memories.described(kept.select("regex").distinct()))
     # A pattern that says next to nothing would be found in every line.
     able = F.when(~says_too_little(F.col("regex")), without_commas(F.col("regex")))
-    kept = kept.withColumn("_made", patterns.prepared(able))
-    return kept.withColumn("_made", F.col("_made").withField("java", patterns.runnable(F.col("_made.java"))))
+    made = kept.withColumn("_made", patterns.prepared(able))
+    made = made.withColumn("_made", F.col("_made").withField("java", patterns.runnable(F.col("_made.java"))))
+    memory = described.select("regex", F.struct("pattern", "keys", "literal").alias("_kept"))
+    return made.join(memory, "regex", "left"), described
 
 
 def fit_stage(
@@ -132,49 +156,69 @@ def fit_stage(
     round. ``generator`` makes a template from a group's sample lines; where there is none, or it fails for all
     numbers of samples, the samples are generalised by position. ``refine`` widens numbers, merges wildcards and fits
     the pattern to a sample line. The first try and ``rounds`` more are made; from the second on, groups are split by
-    token count and first token. Equal lines of a group are tried once. No lines give no rows.
+    token count and first token. No lines give no rows.
+
+    Lines are not shuffled where memory and groups are small: each is tried where it is, beside the lines of its group,
+    so that a pattern is compiled once for all of them. The rows per round count distinct lines, when they are read.
     """
-    spark = lines.sparkSession
-    text = F.coalesce("content", F.lit("")).alias("content")
-    left = durable(lines.groupBy(*keys, text).agg(F.min("line_id").alias("line_id")))
+    every = lines.withColumn("content", F.coalesce("content", F.lit("")))
+    names = every.columns
+    left = every
     known = memory
-    parts, report = [], []
-    columns = [*keys, "content", "round", "way", "template", "regex"]
+    parts, remembered = [], []
     for turn in range(rounds + 1):
-        recalled = left.withColumn("regex", F.lit(None).cast("string")) if known is None else memories.recall(left, known)
-        recalled = durable(recalled)
-        rest, groups = recalled.filter("regex IS NULL").drop("regex"), list(keys)
+        groups = list(keys)
         if turn:
             words = tokens(F.col("content"))
             first = F.coalesce(F.try_element_at(words, F.lit(1)), F.lit(""))
-            rest = rest.withColumn("n_tokens", F.size(words)).withColumn("route", F.when(has_digit(first), WILDCARD).otherwise(first))
-            groups += ["n_tokens", "route"]
-        made = _group_patterns(rest, groups, turn, samples, generator, refine)
-        tried = lookup_join(rest, made, groups)
-        tried = durable(tried.withColumn("_hit", patterns.found_in(F.col("content"), F.col("_made"))).drop("_made", "n_tokens", "route"))
-        hits = tried.filter("_hit")
-        way = F.when(F.col("static"), "static").otherwise("fitted")
-        parts.append(hits.select(*keys, "content", F.lit(turn).alias("round"), way.alias("way"), "template", "regex"))
-        named = recalled.filter("regex IS NOT NULL").withColumn("template", regex_to_template(F.col("regex")))
-        parts.append(named.select(*keys, "content", F.lit(turn).alias("round"), F.lit("memory").alias("way"), "template", "regex"))
-        learned = memories.learn(hits.select(F.col("line_id").alias("seq"), "regex", F.col("content").alias("log")))
-        known = durable(memories.merged(known, learned))
-        left = tried.filter("NOT _hit").select(*keys, "content", "line_id")
-        n = tried.agg(
-            F.count(F.lit(1)).alias("rest"), F.count_if(F.col("_hit") & F.col("static")).alias("static"), F.count_if("_hit").alias("hit")
-        ).first()
-        n_named, n_known = named.count(), known.count()
-        report.append((turn, n_named + n["rest"], n_named, n["static"], n["hit"] - n["static"], n["rest"] - n["hit"], n_known))
-        if n["rest"] == n["hit"]:
+            route = F.when(has_digit(first), WILDCARD).otherwise(first)
+            left = left.withColumns({"_n_tokens": F.size(words), "_route": route})
+            groups += ["_n_tokens", "_route"]
+        recalled = left.withColumn("regex", F.lit(None).cast("string")) if known is None else memories.recall(left, known)
+        recalled = stored(recalled.sortWithinPartitions(*groups), "recalled")
+        rest = recalled.filter("regex IS NULL").drop("regex")
+        made, described = _group_patterns(rest, groups, turn, samples, generator, refine)
+        tried = lookup_join(rest, made, groups).withColumn("_hit", patterns.found_in(F.col("content"), F.col("_made")))
+        shown = [F.when(F.col("_hit"), F.col(c)).alias(c) for c in ("template", "regex", "static")]
+        whole = (F.col("_hit") & memories.fits(F.col("content"), F.col("_kept"))).alias("_whole")
+        tried = stored(tried.select(*names, *shown, "_hit", whole), "tried")
+        round_ = F.lit(turn).alias("round")
+        way = F.when(F.col("static"), "static").otherwise("fitted").alias("way")
+        parts.append(tried.filter("_hit").select(*names, round_, way, "template", "regex"))
+        if known is not None:
+            named = recalled.filter("regex IS NOT NULL")
+            template = regex_to_template(F.col("regex")).alias("template")
+            parts.append(named.select(*names, round_, F.lit("memory").alias("way"), template, "regex"))
+        learned = tried.filter("_whole").groupBy("regex").agg(F.min("line_id").alias("seq"))
+        known = durable(memories.merged(known, memories.placed(learned, described)))
+        remembered.append(known.count())
+        left = tried.filter("NOT _hit").select(*names)
+        if left.isEmpty():
             break
-    own = left.select(
-        *keys, "content", F.lit(rounds + 1).alias("round"), F.lit("own").alias("way"), F.col("content").alias("template"),
+    result = left.select(
+        *names, F.lit(rounds + 1).alias("round"), F.lit("own").alias("way"), F.col("content").alias("template"),
         escape(F.col("content")).alias("regex"),
     )
-    result = own
     for part in reversed(parts):
-        result = part.select(*columns).unionByName(result)
-    result = result.withColumn("event_id", event_id(F.col("template")))
-    found = lookup_join(lines.withColumn("content", text), result, [*keys, "content"], "inner", salts=1)
-    fields = "round int, tried long, recalled long, static long, fitted long, missed long, remembered long"
-    return Stage(found, spark.createDataFrame(report, fields), known)
+        result = part.unionByName(result)
+    shown = [*keys, "content", *[c for c in names if c not in (*keys, "content")]]
+    found = result.select(*shown, "round", "way", "template", "regex").withColumn("event_id", event_id(F.col("template")))
+    # A line without a key has no group.
+    return Stage(found.dropna(subset=keys), _report(result.select(*keys, "content", "round", "way"), remembered), known)
+
+
+def _report(result: DataFrame, remembered: list[int]) -> DataFrame:
+    """A row per round: how many distinct lines of a key it tried, and what became of them."""
+    at = F.col("round")
+
+    def told(turn: int, n_known: int) -> Column:
+        counts = {
+            "tried": at >= turn, "recalled": (at == turn) & (F.col("way") == "memory"),
+            "static": (at == turn) & (F.col("way") == "static"), "fitted": (at == turn) & (F.col("way") == "fitted"),
+            "missed": at > turn,
+        }
+        cells = [F.count_if(hit).alias(name) for name, hit in counts.items()]
+        return F.struct(F.lit(turn).alias("round"), *cells, F.lit(n_known).cast("long").alias("remembered"))
+
+    rows = F.array(*[told(turn, n_known) for turn, n_known in enumerate(remembered)])
+    return result.distinct().agg(rows.alias("_rows")).select(F.inline("_rows"))

@@ -166,3 +166,56 @@ def test_flow_from_raw_lines(spark):
         assert len(rows) == 40 and {r["timestamp"][:10] for r in rows} == {"2024-01-01", "2024-01-02"}
         again = flows.parse_sources(frame, remembered=done.memory, in_order=in_order).lines
         assert again.filter("way = 'memory'").count() == 40
+
+
+def test_patterns_of_wildcards_are_tried_in_one_pass(spark):
+    """A line that lacks the last word made the engine try all ways to share the line among the wildcards."""
+    import time
+
+    shape, line = "(.*?) x " * 12 + "end", "ab x " * 60
+    quick = patterns.straight(f"^{shape}$")
+    started = time.time()
+    assert not re.search(quick, line) and not re.search(patterns.straight(shape), line)
+    assert re.search(quick, line + "end") and time.time() - started < 1
+    rng = random.Random(6)
+    for _ in range(5000):
+        pattern = "(.*?)".join("".join(rng.choices(["a", "b", " ", r"\.", r"\$"], k=rng.randint(0, 2))) for _ in range(rng.randint(2, 5)))
+        pattern = rng.choice(["", "^"]) + pattern + rng.choice(["", "$"])
+        text = "".join(rng.choices("ab .$\n", weights=[5, 5, 3, 1, 1, 1], k=rng.randint(0, 9)))
+        assert bool(re.search(pattern, text)) == bool(re.search(patterns.straight(pattern), text)), (pattern, text)
+    for pattern in (None, "a", "a(b|c)(.*?)", "[a](.*?)", "a\n(.*?)b", "(.*?)(?i)b"):
+        assert patterns.straight(pattern) == pattern
+    rows = [(shape, f"{line}end", True), (shape, line, False), (r"a\$(.*?)", "xa$", True), ("b(.*?)c", "b\nc", False), ("(.*?)b(.*?)c", "b\nbc", True)]
+    made = spark.createDataFrame(rows, "regex string, t string, want boolean").withColumn("_made", patterns.prepared(F.col("regex")))
+    assert all(r["got"] == r["want"] for r in made.select("want", patterns.found_in(F.col("t"), F.col("_made")).alias("got")).collect())
+
+
+def test_stage_stores_its_lines_in_few_bytes(spark):
+    """Lines were stored uncompressed several times a round, with their patterns beside them."""
+    import os
+
+    from logloom.session import shared_dir
+
+    contents = [f"login of user u{n % 700} from 10.0.{n % 250}.{n % 99} over channel {n % 13} was {'kept' if n % 3 else 'lost'}" for n in range(20_000)]
+    folder = shared_dir(spark).removeprefix("file:")
+
+    def size():
+        return sum(os.path.getsize(f"{d}/{f}") for d, _, names in os.walk(folder) for f in names if os.path.exists(f"{d}/{f}"))
+
+    before = size()
+    done = stage.fit_stage(lines(spark, contents), ["source"], refine=False)
+    assert size() - before < 1.2 * sum(map(len, contents))
+    assert done.lines.count() == len(contents)
+    report = {r["round"]: r for r in done.rounds.collect()}
+    assert report[0]["tried"] == len(set(contents))
+
+
+def test_recall_by_a_memory_in_the_query(spark, monkeypatch):
+    """A small memory is written into the query; the order of its tries stays."""
+    contents = ["a x end", "a y end", "b, x end", "a x", "a x end more", "", None]
+    rows = [(5, "a (.*?) end", "a x end"), (3, "(.*?) x end", "a x end"), (4, "a x end", "a x end"), (1, "a (.*?) end (.*?)", "a x end more")]
+    known = memory.learn(spark.createDataFrame(rows, "seq long, regex string, log string"))
+    here = {r["line_id"]: r["regex"] for r in memory.recall(lines(spark, contents), known).collect()}
+    monkeypatch.setattr(memory, "WRITTEN", -1)
+    there = {r["line_id"]: r["regex"] for r in memory.recall(lines(spark, contents), known).collect()}
+    assert here == there and sum(r is not None for r in here.values()) == 4
